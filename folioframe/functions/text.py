@@ -58,7 +58,15 @@ def fold_text(text: str) -> str:
 
 
 def fold(text: Column) -> Column:
-    """Fold case, diacritics and width inside the JVM."""
+    """Fold case, diacritics and width inside the JVM; ASCII text only needs its case folded."""
+    return F.when(_is_ascii(text), F.lower(text)).otherwise(_fold_any(text))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _fold_any(text: Column) -> Column:
     source, target = fold_table()
     return F.translate(F.lower(text), source, target)
 
@@ -71,8 +79,13 @@ def fold_unicode(text: pd.Series) -> pd.Series:
 
 def key(text: Column, folded: Column | None = None) -> Column:
     """Matching key: folded letters, marks and digits, words separated by one space."""
-    base = fold(text) if folded is None else folded
-    return F.trim(F.regexp_replace(base, NOT_ALPHANUMERIC, " "))
+    if folded is not None:
+        return F.trim(F.regexp_replace(folded, NOT_ALPHANUMERIC, " "))
+    return F.trim(
+        F.when(_is_ascii(text), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")).otherwise(
+            F.regexp_replace(_fold_any(text), NOT_ALPHANUMERIC, " ")
+        )
+    )
 
 
 def stem_key(stem: Column) -> Column:
@@ -164,7 +177,7 @@ def filename(path: Column) -> Column:
 
 
 def directory(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*$", "")
+    return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")
 
 
 def extension(path: Column) -> Column:
