@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import SPACE, extension, last_first, number_text, stem, trim_space
+from folioframe.functions.text import SPACE, last_first, number_text, stem, trim_space
 from folioframe.schemas import NAME_BYTES
 
 # The tokens a template may use.
@@ -140,8 +140,8 @@ def render(template: str, values: dict[str, Column]) -> tuple[Column, Column]:
     )
 
 
-def sanitize(raw: Column, ext: Column) -> Column:
-    """A legal file name: separators tidied, no control characters, at most 255 bytes."""
+def tidy_name(raw: Column) -> Column:
+    """Separators tidied and control characters dropped; may be empty or too long."""
     name = F.translate(raw, "/:", "--")
     name = F.regexp_replace(name, r"[\p{Cc}\p{Cf}]", "")
     name = F.regexp_replace(name, SPACE + "{2,}", " ")
@@ -151,14 +151,43 @@ def sanitize(raw: Column, ext: Column) -> Column:
     name = F.regexp_replace(name, SPACE + r"+\.", ".")
     name = F.regexp_replace(name, SPACE + "{2,}", " ")
     name = F.regexp_replace(name, "^[ _-]+|[ _-]+$", "")
-    name = F.regexp_replace(name, r"^\.+", "")
-    name = F.when(name == "", F.concat(F.lit("Untitled."), F.lower(ext))).otherwise(name)
-    return truncate_bytes(name)
+    return F.regexp_replace(name, r"^\.+", "")
+
+
+def with_legal_name(df: DataFrame, raw: Column, ext: Column, out: str) -> DataFrame:
+    """Add ``out``: a legal file name of at most 255 bytes, never empty.
+
+    Every step is a column of its own, so that no step's text is computed more than once.
+    """
+    untitled = F.concat(F.lit("Untitled."), F.lower(ext))
+    return (
+        df.withColumn("_tidy", tidy_name(raw))
+        .withColumn("_full", F.when(F.col("_tidy") == "", untitled).otherwise(F.col("_tidy")))
+        .withColumns({"_stem": stem(F.col("_full")), "_suffix": suffix(F.col("_full"))})
+        .withColumn("_budget", F.lit(NAME_BYTES) - F.octet_length("_suffix"))
+        .withColumn(
+            out,
+            F.when(
+                F.octet_length("_full") > NAME_BYTES,
+                F.concat(trim_to_bytes(F.col("_stem"), F.col("_budget")), F.col("_suffix")),
+            ).otherwise(F.col("_full")),
+        )
+        .drop("_tidy", "_full", "_stem", "_suffix", "_budget")
+    )
+
+
+def suffix(name: Column) -> Column:
+    """Extension with its dot; empty when the name has none."""
+    return F.regexp_extract(name, r"^[^/]+(\.[^./\s]+)$", 1)
 
 
 def trim_to_bytes(text: Column, budget: Column) -> Column:
-    """Longest run of whole graphemes within ``budget`` UTF-8 bytes, then trimmed."""
-    graphemes = F.regexp_extract_all(text, F.lit(r"(\X)"), F.lit(1))
+    """Longest run of whole graphemes within ``budget`` (at most 255) UTF-8 bytes, then trimmed.
+
+    A grapheme that reaches past the first 256 characters cannot fit, so the rest is not split.
+    """
+    head = F.substring(text, 1, NAME_BYTES + 1)
+    graphemes = F.regexp_extract_all(head, F.lit(r"(\X)"), F.lit(1))
     start = F.struct(F.lit("").alias("kept"), F.lit(False).alias("full"))
 
     def step(state: Column, grapheme: Column) -> Column:
@@ -172,20 +201,8 @@ def trim_to_bytes(text: Column, budget: Column) -> Column:
     return F.when(F.octet_length(text) > budget, cut).otherwise(text)
 
 
-def dotted(ext: Column) -> Column:
-    return F.when(ext == "", F.lit("")).otherwise(F.concat(F.lit("."), ext))
-
-
-def truncate_bytes(name: Column, limit: int = NAME_BYTES) -> Column:
-    """Cap a name at ``limit`` UTF-8 bytes, keeping its extension."""
-    suffix = dotted(extension(name))
-    short = F.concat(trim_to_bytes(stem(name), F.lit(limit) - F.octet_length(suffix)), suffix)
-    return F.when(F.octet_length(name) > limit, short).otherwise(name)
-
-
-def with_counter(name: Column, counter: Column, limit: int = NAME_BYTES) -> Column:
-    """``name`` with `` (n)`` before its extension; the cap shortens the stem, never the counter."""
-    suffix = dotted(extension(name))
+def counted(stem: Column, suffix: Column, counter: Column) -> Column:
+    """A name with `` (n)`` before its suffix; the cap shortens the stem, never the counter."""
     marker = F.concat(F.lit(" ("), counter.cast("string"), F.lit(")"))
-    budget = F.lit(limit) - F.octet_length(suffix) - F.octet_length(marker)
-    return F.concat(trim_to_bytes(stem(name), budget), marker, suffix)
+    budget = F.lit(NAME_BYTES) - F.octet_length(suffix) - F.octet_length(marker)
+    return F.concat(trim_to_bytes(stem, budget), marker, suffix)

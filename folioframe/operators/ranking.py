@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.session import materialize
@@ -37,12 +37,20 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
     return table.withColumn(name, (offset + place + 1).cast("long")).drop("_place")
 
 
-def rank_in_group(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """``row_number() over (partition by keys order by order)`` without a task per group.
+def rank_in_group(
+    df: DataFrame, keys: list[str], order: list[str], name: str, window_limit: int = 1_000_000
+) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` that survives a hot group.
 
-    The rank is the row's overall number in (keys, order) minus the first number of its group. The
-    first numbers are one row per key, joined back; a hot key only splits the large side.
+    The largest group is counted first. While it is small a plain window is the cheapest plan.
+    Otherwise the rank is the row's overall number in (keys, order) minus the first number of its
+    group; the first numbers are one row per key, and a hot key only splits the large side of
+    that join.
     """
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_limit:
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(window).cast("long"))
     numbered = number_rows(df, [*keys, *order], "_number")
     first = numbered.groupBy(*keys).agg(F.min("_number").alias("_first"))
     return (

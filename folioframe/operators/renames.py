@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
-from folioframe.functions.naming import render, sanitize, token_values, with_counter
+from folioframe.functions.naming import counted, render, suffix, token_values, with_legal_name
 from folioframe.operators.ranking import number_rows, rank_in_group
 from folioframe.schemas import DEFAULT_TEMPLATE, NAME_BYTES
+from folioframe.session import materialize
 
 # Names this long may be shortened when a counter is added, so different names can meet.
 _LONG_BYTES = NAME_BYTES - 22
@@ -36,7 +37,7 @@ def rendered_names(
         ext=ext,
     )
     text, missing = render(template, values)
-    return members.join(entity, "book_id").select(
+    rows = members.join(entity, "book_id").select(
         F.col("id").alias("file_id"),
         "book_id",
         "title",
@@ -44,9 +45,11 @@ def rendered_names(
         X.directory(F.col("path")).alias("dir"),
         X.filename(F.col("path")).alias("current_name"),
         F.coalesce("missing", F.lit(False)).alias("missing"),
-        sanitize(text, ext).alias("proposed"),
         missing.alias("tokens"),
+        text.alias("_text"),
+        ext.alias("_ext"),
     )
+    return with_legal_name(rows, F.col("_text"), F.col("_ext"), "proposed").drop("_text", "_ext")
 
 
 def plan_renames(
@@ -64,7 +67,8 @@ def plan_renames(
     named = rendered_names(entities, members, template)
     same_key = F.lower("proposed") == F.lower("current_name")
     tokens = F.array_join(F.transform("tokens", lambda t: F.concat(F.lit("{"), t, F.lit("}"))), ", ")
-    named = named.withColumns(
+    # Names are read by several joins below; render them once.
+    named = materialize(named.withColumns(
         {
             "status": F.when(F.col("missing") | (F.size("tokens") > 0), "excluded")
             .when(same_key & (F.col("proposed") == F.col("current_name")), "no_op")
@@ -74,10 +78,10 @@ def plan_renames(
                 F.size("tokens") > 0, F.concat(F.lit("Missing value for "), tokens)
             ),
         }
-    )
+    ).drop("tokens"))
     stays = named.filter(F.col("status") != "move")
     moves = named.filter(F.col("status") == "move")
-    occupied = occupied_names(listing, moves, stays)
+    occupied = materialize(occupied_names(listing, moves, stays))
     assigned = assign_names(moves, occupied)
     plan = ["file_id", "book_id", "title", "current_path", "proposed_name", "status", "reason"]
     kept_name = F.when(F.col("status") == "excluded", F.col("current_name")).otherwise(F.col("proposed"))
@@ -98,16 +102,19 @@ def occupied_names(listing: DataFrame, moves: DataFrame, stays: DataFrame) -> Da
     return present.join(leaving, ["dir", "taken"], "left_anti").union(staying).distinct()
 
 
-def _family(name: Column) -> Column:
-    """Names that can get in each other's way: the name without its counters.
+def _with_family(df: DataFrame, name: str) -> DataFrame:
+    """Add ``family``: names that can get in each other's way have one family.
 
-    A long name is cut before it gets a counter, so long names meet by their first characters.
+    A family is a name without its counters. A long name is cut before it gets a counter, so long
+    names meet by their first characters.
     """
-    bare = F.regexp_replace(X.stem(name), r"( \([0-9]+\))+$", "")
+    parts = df.withColumns({"_stem": X.stem(F.col(name)), "_suffix": suffix(F.col(name))})
+    bare = F.regexp_replace("_stem", r"( \([0-9]+\))+$", "")
     long = F.octet_length(name) > _LONG_BYTES
-    return F.when(long, F.concat(F.lit("long/"), F.substring(name, 1, 40))).otherwise(
-        F.concat_ws("/", F.lit("short"), bare, X.extension(name))
+    family = F.when(long, F.concat(F.lit("long/"), F.substring(name, 1, 40))).otherwise(
+        F.concat(F.lit("short/"), bare, F.col("_suffix"))
     )
+    return parts.withColumn("family", family).drop("_stem", "_suffix")
 
 
 def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
@@ -118,8 +125,8 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     other files. Families in which several proposed names compete are decided file by file, each
     family on its own.
     """
-    moves = moves.withColumn("base", F.lower("proposed")).withColumn("family", _family(F.col("base")))
-    taken = occupied.withColumn("family", _family(F.col("taken")))
+    moves = _with_family(moves.withColumn("base", F.lower("proposed")), "base")
+    taken = _with_family(occupied, "taken")
     families = moves.groupBy("dir", "family").agg(
         F.min("base").alias("low"), F.max("base").alias("high"), F.count(F.lit(1)).alias("files")
     )
@@ -137,13 +144,23 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     )
 
 
-def _slot_of(name: Column, base: Column) -> Column:
-    """Slot a taken name blocks: 1 for the base itself, k for its counter k, else null."""
-    counter = F.regexp_extract(X.stem(name), r" \(([1-9][0-9]{0,8})\)$", 1)
-    k = F.when(counter != "", counter).cast("long")
-    return F.when(name == base, F.lit(1).cast("long")).when(
-        (k >= 2) & (F.lower(with_counter(base, k)) == name), k
+def _with_slot(df: DataFrame) -> DataFrame:
+    """Add ``slot``: what a taken name blocks of ``base``.
+
+    1 is the base itself, k its counter k; names that block nothing are dropped.
+    """
+    counter = F.regexp_extract(X.stem(F.col("taken")), r" \(([1-9][0-9]{0,8})\)$", 1)
+    numbered = df.withColumns(
+        {
+            "_k": counter.try_cast("long"),
+            "_stem": X.stem(F.col("base")),
+            "_suffix": suffix(F.col("base")),
+        }
+    ).withColumn("_name", F.lower(counted(F.col("_stem"), F.col("_suffix"), F.col("_k"))))
+    slot = F.when(F.col("taken") == F.col("base"), F.lit(1).cast("long")).when(
+        (F.col("_k") >= 2) & (F.col("_name") == F.col("taken")), F.col("_k")
     )
+    return numbered.withColumn("slot", slot).filter(F.col("slot").isNotNull())
 
 
 def _assign_simple(moves: DataFrame, taken: DataFrame) -> DataFrame:
@@ -152,11 +169,8 @@ def _assign_simple(moves: DataFrame, taken: DataFrame) -> DataFrame:
     ranked = rank_in_group(moves, key, ["current_path"], "rank")
     # A long name is cut to different stems for different counters, so look at its whole family.
     bases = moves.groupBy("dir", "family", "base").agg(F.count(F.lit(1)).alias("files"))
-    blocked = (
-        taken.join(bases, ["dir", "family"])
-        .withColumn("slot", _slot_of(F.col("taken"), F.col("base")))
-        .filter(F.col("slot").isNotNull())
-        .select("dir", "base", "slot", "files")
+    blocked = _with_slot(taken.join(bases, ["dir", "family"])).select(
+        "dir", "base", "slot", "files"
     )
     # Slots past files + blocked ones are never reached. They are generated in blocks, so that a
     # name with very many files is spread over tasks.
@@ -173,10 +187,18 @@ def _assign_simple(moves: DataFrame, taken: DataFrame) -> DataFrame:
         *key, F.explode(F.sequence(first, F.least("last", first + _SLOT_BLOCK - 1))).alias("slot")
     ).join(blocked.select(*key, "slot"), [*key, "slot"], "left_anti")
     free = rank_in_group(slots, key, ["slot"], "rank")
-    slot = F.coalesce("slot", "rank")
-    return ranked.join(free, [*key, "rank"], "left").withColumn(
+    placed = ranked.join(free, [*key, "rank"], "left").withColumns(
+        {
+            "_slot": F.coalesce("slot", "rank"),
+            "_stem": X.stem(F.col("proposed")),
+            "_suffix": suffix(F.col("proposed")),
+        }
+    )
+    return placed.withColumn(
         "proposed_name",
-        F.when(slot == 1, F.col("proposed")).otherwise(with_counter(F.col("proposed"), slot)),
+        F.when(F.col("_slot") == 1, F.col("proposed")).otherwise(
+            counted(F.col("_stem"), F.col("_suffix"), F.col("_slot"))
+        ),
     )
 
 

@@ -24,6 +24,7 @@ from folioframe.operators import (
 from folioframe.plans import sql_text as S
 from folioframe.plans import stand_ins as V
 from folioframe.sources import export, providers, tagged
+from folioframe.session import materialize
 from folioframe.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,12 +218,12 @@ GUESS_STEM = (
 
 @query(
     f"WITH c AS (SELECT p_partkey, {S.clean_stem(GUESS_STEM)} AS s FROM part), "
-    "p AS (SELECT p_partkey, s, strpos(s, ' - ') AS at, trim(substr(s, 1, strpos(s, ' - ') - 1)) AS a, "
+    "p AS (SELECT p_partkey, s, strpos(s, ' - ') AS pos, trim(substr(s, 1, strpos(s, ' - ') - 1)) AS a, "
     "trim(substr(s, strpos(s, ' - ') + 3)) AS b FROM c), "
     "q AS (SELECT *, len(list_filter(string_split(a, ' '), lambda w: w <> '')) <= 4 "
     "AND NOT regexp_matches(a, '[0-9]') AS is_author FROM p) "
-    "SELECT p_partkey, CASE WHEN at = 0 THEN s WHEN is_author THEN b ELSE a END AS title, "
-    "CASE WHEN at = 0 THEN NULL WHEN is_author THEN a ELSE b END AS author FROM q"
+    "SELECT p_partkey, CASE WHEN pos = 0 THEN s WHEN is_author THEN b ELSE a END AS title, "
+    "CASE WHEN pos = 0 THEN NULL WHEN is_author THEN a ELSE b END AS author FROM q"
 )
 def filename_guess(spark, d):
     size = F.col("p_size")
@@ -238,11 +239,12 @@ def filename_guess(spark, d):
     )
 
 
+TITLE_TEXT = "' A ' || p_name"
 PERSON = "p_name || ' ' || p_brand || ' ' || p_type"
 
 
 @query(
-    f"SELECT p_partkey, {S.title_sort(f'''' A '' || p_name''')} AS title_sort, "
+    f"SELECT p_partkey, {S.title_sort(TITLE_TEXT)} AS title_sort, "
     f"{S.last_first(PERSON)} AS last_first, lower({S.last_first(PERSON)}) AS author_sort, "
     f"{S.last_first('p_type')} AS single FROM part"
 )
@@ -818,10 +820,11 @@ def purge_missing(spark, d):
 
 @query(
     "SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN url WHEN starts_with(url, 'https://') THEN "
-    "'/mnt/' || substr(url, 9) ELSE url END AS path FROM (SELECT page_id, replace(url, 'https://m.', 'https:x//m.') "
+    "'/mnt//' || substr(url, 9) ELSE url END AS path FROM (SELECT page_id, replace(url, 'https://m.', 'https:x//m.') "
     "AS url FROM pages)"
 )
 def rebase_paths(spark, d):
+    # The old root is "https:", so what follows its slash starts with another one.
     url = F.replace("url", F.lit("https://m."), F.lit("https:x//m."))
     return V.table(spark, d, "pages").select(
         "page_id", maintenance.rebase_path(url, "https:/", "/mnt").alias("path")
@@ -931,7 +934,7 @@ PART_MATCH = "WITH " + candidate_sql(S.PARTS, PART_CATALOG)
 def page_candidates(spark, d):
     queries = matching.queries(V.page_entities(spark, d))
     found = matching.find_candidates(queries, V.page_catalog(spark, d))
-    return queries, found.withColumn("error", V.null("string"))
+    return queries, materialize(found.withColumn("error", V.null("string")))
 
 
 def part_candidates(spark, d):
@@ -944,7 +947,7 @@ def part_candidates(spark, d):
     )
     queries = matching.queries(entity)
     found = matching.find_candidates(queries, catalog)
-    return entity, queries, found.withColumn("error", V.null("string"))
+    return entity, queries, materialize(found.withColumn("error", V.null("string")))
 
 
 @query(PAGE_MATCH + "SELECT entity_id, candidate_id, source, title, similarity FROM found")
@@ -1070,18 +1073,16 @@ def sanitize_names(spark, d):
     raw = F.concat(
         "p_brand", F.lit(": "), "p_type", F.lit("/ () - - - [ ]"), "p_name", F.lit("   - .epub")
     )
-    return V.table(spark, d, "part").select(
-        "p_partkey", naming.sanitize(raw, F.lit("epub")).alias("name")
-    )
+    parts = V.table(spark, d, "part")
+    return naming.with_legal_name(parts, raw, F.lit("epub"), "name").select("p_partkey", "name")
 
 
 @query()
 def cap_names(spark, d):
     """Whole documents as names: cut to 255 bytes on a grapheme boundary."""
-    name = naming.sanitize(F.concat("text", F.lit(".epub")), F.lit("epub"))
-    return V.table(spark, d, "documents").select("doc_id", name.alias("name")).withColumn(
-        "bytes", F.octet_length("name")
-    )
+    documents = V.table(spark, d, "documents")
+    named = naming.with_legal_name(documents, F.concat("text", F.lit(".epub")), F.lit("epub"), "name")
+    return named.select("doc_id", "name", F.octet_length("name").alias("bytes"))
 
 
 def part_files(spark, d):
@@ -1090,7 +1091,7 @@ def part_files(spark, d):
         "id",
         F.col("id").alias("book_id"),
         F.concat(F.lit("/lib/"), "p_type", F.lit("/"), F.col("id").cast("string"), F.lit(".epub")).alias("path"),
-        (F.col("p_retailprice") < 950).alias("missing"),
+        (F.col("p_size") % 9 == 0).alias("missing"),
     )
     # Names that are there already: "<brand> - <title> - <year>.epub" and its second copy.
     groups = entity.filter(F.col("year").isNotNull()).groupBy("p_type", "p_brand", "title", "year").agg(
@@ -1106,7 +1107,7 @@ def part_files(spark, d):
 PLAN = f"""
 WITH e AS ({S.PARTS}),
 f AS (SELECT id AS file_id, title, '/lib/' || p_type || '/' || id || '.epub' AS current_path, p_type, p_brand, year,
-             p_retailprice < 950 AS missing, p_brand || ' - ' || title || ' - ' || year AS stem FROM e),
+             p_size % 9 = 0 AS missing, p_brand || ' - ' || title || ' - ' || year AS stem FROM e),
 present AS (SELECT p_type, stem, max(file_id) % 3 = 0 AS one, max(file_id) % 2 = 0 AS two FROM f
             WHERE stem IS NOT NULL GROUP BY ALL),
 moves AS (SELECT *, row_number() OVER (PARTITION BY p_type, lower(stem) ORDER BY current_path) AS r FROM f
