@@ -37,17 +37,28 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
     return table.withColumn(name, (offset + place + 1).cast("long")).drop("_place")
 
 
+# Groups up to this size are ranked by a plain window in one task.
+WINDOW_ROWS = 1_000_000
+
+
 def rank_in_group(
-    df: DataFrame, keys: list[str], order: list[str], name: str, window_limit: int = 1_000_000
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    name: str,
+    largest: int | None = None,
+    window_limit: int = WINDOW_ROWS,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` that survives a hot group.
 
-    The largest group is counted first. While it is small a plain window is the cheapest plan.
+    The largest group is counted first, unless the caller knows a bound (``largest``). While it is
+    small a plain window is the cheapest plan.
     Otherwise the rank is the row's overall number in (keys, order) minus the first number of its
     group; the first numbers are one row per key, and a hot key only splits the large side of
     that join.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= window_limit:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))

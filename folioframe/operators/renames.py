@@ -68,21 +68,19 @@ def plan_renames(
     same_key = F.lower("proposed") == F.lower("current_name")
     tokens = F.array_join(F.transform("tokens", lambda t: F.concat(F.lit("{"), t, F.lit("}"))), ", ")
     # Names are read by several joins below; render them once.
-    named = materialize(named.withColumns(
-        {
-            "status": F.when(F.col("missing") | (F.size("tokens") > 0), "excluded")
-            .when(same_key & (F.col("proposed") == F.col("current_name")), "no_op")
-            .when(same_key, "ready")
-            .otherwise("move"),
-            "reason": F.when(F.col("missing"), "File is missing on disk").when(
-                F.size("tokens") > 0, F.concat(F.lit("Missing value for "), tokens)
-            ),
-        }
-    ).drop("tokens"))
+    status = (
+        F.when(F.col("missing") | (F.size("tokens") > 0), "excluded")
+        .when(same_key & (F.col("proposed") == F.col("current_name")), "no_op")
+        .when(same_key, "ready")
+        .otherwise("move")
+    )
+    reason = F.when(F.col("missing"), "File is missing on disk").when(
+        F.size("tokens") > 0, F.concat(F.lit("Missing value for "), tokens)
+    )
+    named = materialize(named.withColumns({"status": status, "reason": reason}).drop("tokens"))
     stays = named.filter(F.col("status") != "move")
     moves = named.filter(F.col("status") == "move")
-    occupied = materialize(occupied_names(listing, moves, stays))
-    assigned = assign_names(moves, occupied)
+    assigned = assign_names(moves, occupied_names(listing, moves, stays))
     plan = ["file_id", "book_id", "title", "current_path", "proposed_name", "status", "reason"]
     kept_name = F.when(F.col("status") == "excluded", F.col("current_name")).otherwise(F.col("proposed"))
     rows = stays.withColumn("proposed_name", kept_name).select(*plan)
@@ -125,22 +123,29 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     other files. Families in which several proposed names compete are decided file by file, each
     family on its own.
     """
-    moves = _with_family(moves.withColumn("base", F.lower("proposed")), "base")
-    taken = _with_family(occupied, "taken")
-    families = moves.groupBy("dir", "family").agg(
+    moves = materialize(_with_family(moves.withColumn("base", F.lower("proposed")), "base"))
+    taken = materialize(_with_family(occupied, "taken"))
+    key = ["dir", "family"]
+    families = moves.groupBy(*key).agg(
         F.min("base").alias("low"), F.max("base").alias("high"), F.count(F.lit(1)).alias("files")
     )
-    # Long names are shortened from case-folded text only; treat variants of case as competing.
-    competing = families.filter(F.col("low") != F.col("high")).select(
-        "dir", "family", F.lit(True).alias("competing")
-    )
-    marked = moves.join(competing, ["dir", "family"], "left")
-    simple = marked.filter(F.col("competing").isNull())
-    contested = marked.filter(F.col("competing"))
-    contested_taken = taken.join(competing, ["dir", "family"], "left_semi")
+    competing = families.filter(F.col("low") != F.col("high")).select(*key, F.lit(True).alias("competing"))
+    size = families.agg(F.max("files"), F.count_if(F.col("low") != F.col("high"))).first()
+    largest, contested = size[0] or 0, size[1] > 0
+    obstacles = taken.join(families.select(*key), key, "left_semi").groupBy(*key).count()
+    blocked = obstacles.agg(F.max("count")).first()[0] or 0
+
     columns = [*[c for c in moves.columns if c not in ("base", "family")], "proposed_name"]
-    return _assign_simple(simple, taken).select(*columns).unionByName(
-        _assign_contested(contested, contested_taken).select(*columns)
+    if not contested:
+        return _assign_simple(moves, taken, largest, blocked).select(*columns)
+    marked = moves.join(competing, key, "left")
+    simple = marked.filter(F.col("competing").isNull())
+    rest = marked.filter(F.col("competing"))
+    rest_taken = taken.join(competing, key, "left_semi")
+    return (
+        _assign_simple(simple, taken, largest, blocked)
+        .select(*columns)
+        .unionByName(_assign_contested(rest, rest_taken).select(*columns))
     )
 
 
@@ -163,10 +168,18 @@ def _with_slot(df: DataFrame) -> DataFrame:
     return numbered.withColumn("slot", slot).filter(F.col("slot").isNotNull())
 
 
-def _assign_simple(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """The i-th file of a name takes its i-th free slot (slot 1 is the name without a counter)."""
+def _assign_simple(
+    moves: DataFrame, taken: DataFrame, largest: int, blocked_slots: int
+) -> DataFrame:
+    """The i-th file of a name takes its i-th free slot (slot 1 is the name without a counter).
+
+    ``largest`` and ``blocked_slots`` bound the files and the taken names of one family.
+    """
     key = ["dir", "base"]
-    ranked = rank_in_group(moves, key, ["current_path"], "rank")
+    ranked = rank_in_group(moves, key, ["current_path"], "rank", largest)
+    ranked = ranked.withColumns({"_stem": X.stem(F.col("proposed")), "_suffix": suffix(F.col("proposed"))})
+    if not blocked_slots:
+        return _place(ranked.withColumn("_slot", F.col("rank")))
     # A long name is cut to different stems for different counters, so look at its whole family.
     bases = moves.groupBy("dir", "family", "base").agg(F.count(F.lit(1)).alias("files"))
     blocked = _with_slot(taken.join(bases, ["dir", "family"])).select(
@@ -186,15 +199,13 @@ def _assign_simple(moves: DataFrame, taken: DataFrame) -> DataFrame:
     slots = blocks.select(
         *key, F.explode(F.sequence(first, F.least("last", first + _SLOT_BLOCK - 1))).alias("slot")
     ).join(blocked.select(*key, "slot"), [*key, "slot"], "left_anti")
-    free = rank_in_group(slots, key, ["slot"], "rank")
-    placed = ranked.join(free, [*key, "rank"], "left").withColumns(
-        {
-            "_slot": F.coalesce("slot", "rank"),
-            "_stem": X.stem(F.col("proposed")),
-            "_suffix": suffix(F.col("proposed")),
-        }
-    )
-    return placed.withColumn(
+    free = rank_in_group(slots, key, ["slot"], "rank", largest + blocked_slots)
+    placed = ranked.join(free, [*key, "rank"], "left")
+    return _place(placed.withColumn("_slot", F.coalesce("slot", "rank")))
+
+
+def _place(ranked: DataFrame) -> DataFrame:
+    return ranked.withColumn(
         "proposed_name",
         F.when(F.col("_slot") == 1, F.col("proposed")).otherwise(
             counted(F.col("_stem"), F.col("_suffix"), F.col("_slot"))
