@@ -47,7 +47,7 @@ def rank_in_group(
     order: list[str],
     name: str,
     largest: int | None = None,
-    window_limit: int = WINDOW_ROWS,
+    window_limit: int | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` that survives a hot group.
 
@@ -59,7 +59,7 @@ def rank_in_group(
     """
     if largest is None:
         largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_limit:
+    if largest <= (WINDOW_ROWS if window_limit is None else window_limit):
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("long"))
     numbered = number_rows(df, [*keys, *order], "_number")
