@@ -29,7 +29,7 @@ def _none(type_: str) -> Column:
 
 
 def _decoded(responses: DataFrame, schema: str) -> DataFrame:
-    """Responses that decode as a whole; the others give no rows."""
+    """Responses that decode; the others give no rows. A nested field of another type is null."""
     return responses.withColumn("doc", F.from_json("body", schema)).filter(
         F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull()
     )
