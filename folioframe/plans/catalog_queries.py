@@ -1501,7 +1501,7 @@ def package_metadata(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT user_id AS root, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < "
+    "WITH e AS (SELECT user_id AS root, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= "
     "INTERVAL 1 HOUR THEN 0 ELSE 1 END AS starts FROM events), b AS (SELECT *, sum(starts) OVER (PARTITION BY root "
     "ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e) "
     f"SELECT root, strftime(min(ts), {STAMP}) AS started_at, strftime(max(ts), {STAMP}) AS last_at, count(*) AS n_events "

@@ -14,7 +14,8 @@ DEFAULT_GAP_SECONDS = 1
 def change_bursts(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS) -> DataFrame:
     """Bursts of a table of events (root, ts): (root, started_at, last_at, n_events).
 
-    A burst ends when no event follows within the gap. Events of one gap-long time slot always
+    A burst ends when no event follows within the gap (an event exactly one gap later still
+    belongs to it, as in session windows). Events of one gap-long time slot always
     belong to one burst, so they are combined before the shuffle; what is left per root is at most
     one row per slot, however many events the root has.
     """
@@ -26,7 +27,7 @@ def change_bursts(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS) ->
         .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n"))
     )
     by_time = Window.partitionBy("root").orderBy("slot")
-    starts = F.coalesce(F.col("first") - F.lag("last").over(by_time) >= gap, F.lit(True))
+    starts = F.coalesce(F.col("first") - F.lag("last").over(by_time) > gap, F.lit(True))
     numbered = slots.withColumn("starts", starts).withColumn(
         "burst", F.sum(F.col("starts").cast("int")).over(by_time)
     )
