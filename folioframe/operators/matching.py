@@ -9,7 +9,7 @@ from folioframe.functions.fields import has_items
 from folioframe.functions.identifiers import lookup_query
 from folioframe.functions.text import author_sort_key, similarity, title_sort_key, tokens
 from folioframe.operators.overrides import status_column
-from folioframe.operators.similarity import similar_titles, title_words
+from folioframe.operators.similarity import containing_titles, title_words
 from folioframe.schemas import (
     CANDIDATE_FIELDS,
     CANDIDATES_PER_SOURCE,
@@ -53,18 +53,14 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int)
 
 
 def find_candidates(
-    queries: DataFrame,
-    catalog: DataFrame,
-    minimum: float = CONFIDENCE_MARGIN,
-    per_source: int = CANDIDATES_PER_SOURCE,
+    queries: DataFrame, catalog: DataFrame, per_source: int = CANDIDATES_PER_SOURCE
 ) -> DataFrame:
     """Candidate rows (entity_id, candidate columns, similarity), at most ``per_source`` each.
 
     ``catalog`` has candidate_id, source, title, authors, isbn10, isbn13 and other fields.
     Entities with an ISBN are looked up by it; entities without one by title and, when they have
-    an author, by at least one shared author word. A title search returns titles with at least
-    ``minimum`` word overlap: a runner-up below the decision margin cannot make a confident match
-    ambiguous, so the default loses no decision to apply.
+    an author, by at least one shared author word. Like the search of an external catalog, a title
+    search returns records that have every word of the title; ``similarity`` is the word overlap.
 
     Titles are matched as distinct word lists, and a list keeps only its first ``per_source``
     candidates per author word before it is joined, so neither a title nor an identifier shared
@@ -72,9 +68,7 @@ def find_candidates(
     could be among an entity's first ``per_source``.
     """
     by_isbn = _isbn_candidates(queries.filter(F.col("isbn").isNotNull()), catalog, per_source)
-    by_title = _title_candidates(
-        queries.filter(F.col("isbn").isNull()), catalog, minimum, per_source
-    )
+    by_title = _title_candidates(queries.filter(F.col("isbn").isNull()), catalog, per_source)
     return by_isbn.unionByName(by_title)
 
 
@@ -96,9 +90,7 @@ def _isbn_candidates(queries: DataFrame, catalog: DataFrame, per_source: int) ->
     )
 
 
-def _title_candidates(
-    queries: DataFrame, catalog: DataFrame, minimum: float, per_source: int
-) -> DataFrame:
+def _title_candidates(queries: DataFrame, catalog: DataFrame, per_source: int) -> DataFrame:
     # Every query asks with each of its author words, or with "" when it has no author. Candidates
     # answer to each of their author words and to "". All candidates of one title are equally
     # similar, so the first few per (title, author word, source) hold every possible answer.
@@ -121,10 +113,9 @@ def _title_candidates(
         offered, ["right_words", "author_word", "source"], [F.col("candidate_id")], per_source
     )
     questions = asked.select("left_words", "author_word").distinct()
-    pairs = similar_titles(
+    pairs = containing_titles(
         questions.select(F.col("left_words").alias("words")).distinct(),
         index.select(F.col("right_words").alias("words")).distinct(),
-        minimum,
     )
     best_first = [F.col("similarity").desc(), F.col("candidate_id")]
     answers = first_per_group(

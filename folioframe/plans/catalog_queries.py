@@ -861,11 +861,11 @@ def page_words(spark, d):
     "v AS (SELECT words FROM w WHERE len(words) > 0), "
     f"s AS (SELECT a.words AS a, b.words AS b, {S.jaccard('a.words', 'b.words')} AS similarity FROM v a, v b) "
     "SELECT array_to_string(a, ' ') AS left_words, array_to_string(b, ' ') AS right_words, similarity FROM s "
-    "WHERE similarity >= 0.3"
+    "WHERE similarity >= 0.6"
 )
 def title_similarity(spark, d):
     words = page_words(spark, d)
-    return similarity.similar_titles(words, words, 0.3).select(
+    return similarity.similar_titles(words, words, 0.6).select(
         F.array_join("left_words", " ").alias("left_words"),
         F.array_join("right_words", " ").alias("right_words"),
         "similarity",
@@ -890,7 +890,9 @@ q AS (SELECT id AS entity_id, isbn13 AS isbn, title, authors[1] AS author FROM e
       WHERE isbn13 IS NOT NULL OR coalesce(title, '') <> ''),
 qt AS (SELECT title, {S.words('title')} AS words FROM (SELECT DISTINCT title FROM q)),
 ct AS (SELECT title, {S.words('title')} AS words FROM (SELECT DISTINCT title FROM cat)),
-sim AS (SELECT qt.title AS a, ct.title AS b, {S.jaccard('qt.words', 'ct.words')} AS similarity FROM qt, ct),
+sim AS (SELECT qt.title AS a, ct.title AS b, {S.jaccard('qt.words', 'ct.words')} AS similarity,
+               len(qt.words) > 0 AND len(list_intersect(qt.words, ct.words)) = len(qt.words) AS contained
+        FROM qt, ct),
 qa AS (SELECT q.*, {S.words("coalesce(author, '')")} AS aw FROM q),
 ca AS (SELECT cat.*, {S.words("array_to_string(authors, ' ')")} AS aw FROM cat),
 hits AS (
@@ -898,7 +900,7 @@ hits AS (
   FROM q JOIN cat c ON q.isbn = c.isbn13 JOIN sim ON sim.a = q.title AND sim.b = c.title
   UNION ALL
   SELECT entity_id, isbn, c.candidate_id, c.source, c.title, similarity
-  FROM qa q JOIN sim ON sim.a = q.title AND similarity >= 0.3 JOIN ca c ON c.title = sim.b
+  FROM qa q JOIN sim ON sim.a = q.title AND contained JOIN ca c ON c.title = sim.b
   WHERE q.isbn IS NULL AND (len(q.aw) = 0 OR list_has_any(q.aw, c.aw))),
 found AS (
   SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY
@@ -994,7 +996,7 @@ def apply_sql(policy: str) -> str:
             sets[f] = f"len(c.authors) > 0 AND ({policy == 'overwrite'} OR len(e.authors) = 0) AND e.authors <> c.authors"
         else:
             sets[f] = f"{known} AND ({policy == 'overwrite'} OR {empty})"
-    free = {f: f"NOT (coalesce(e.p_size % 2 = 0, false) AND '{f}' IN ('title', 'year'))" for f in sets}
+    free = {f: f"NOT (coalesce(e.p_size > 25, false) AND '{f}' IN ('title', 'year'))" for f in sets}
     test = {f: f"coalesce({s} AND {free[f]}, false)" for f, s in sets.items()}
     value = {f: f"CASE WHEN {t} THEN c.{f} ELSE e.{f} END" for f, t in test.items()}
     value["authors"] = f"array_to_string({value['authors']}, '|')"
@@ -1013,7 +1015,7 @@ def applied(spark, d, policy):
     entity, queries, found = part_candidates(spark, d)
     decisions = matching.decide(queries, found).filter(F.col("outcome") == "applied")
     chosen = found.drop("error").join(decisions.select("entity_id", "candidate_id"), ["entity_id", "candidate_id"])
-    manual = entity.filter(F.col("p_size") % 2 == 0).select(
+    manual = entity.filter(F.col("p_size") > 25).select(
         "id", F.array(F.lit("title"), F.lit("year")).alias("manual_fields")
     )
     rows = matching.apply_candidates(entity, chosen, manual, policy)
@@ -1094,12 +1096,10 @@ def part_files(spark, d):
         (F.col("p_size") % 9 == 0).alias("missing"),
     )
     # Names that are there already: "<brand> - <title> - <year>.epub" and its second copy.
-    groups = entity.filter(F.col("year").isNotNull()).groupBy("p_type", "p_brand", "title", "year").agg(
-        F.max("id").alias("top")
-    )
+    groups = entity.filter(F.col("year").isNotNull()).select("p_type", "p_brand", "title", "year").distinct()
     base = F.concat(F.lit("/lib/"), "p_type", F.lit("/"), F.concat_ws(" - ", "p_brand", "title", "year"))
-    first = groups.filter("top % 3 = 0").select(F.concat(base, F.lit(".epub")).alias("path"))
-    second = groups.filter("top % 2 = 0").select(F.concat(base, F.lit(" (2).epub")).alias("path"))
+    first = groups.filter("p_brand LIKE '%1%'").select(F.concat(base, F.lit(".epub")).alias("path"))
+    second = groups.filter("p_type > 'P'").select(F.concat(base, F.lit(" (2).epub")).alias("path"))
     listing = members.filter(~F.col("missing")).select("path").union(first).union(second)
     return entity, members, listing
 
@@ -1108,8 +1108,8 @@ PLAN = f"""
 WITH e AS ({S.PARTS}),
 f AS (SELECT id AS file_id, title, '/lib/' || p_type || '/' || id || '.epub' AS current_path, p_type, p_brand, year,
              p_size % 9 = 0 AS missing, p_brand || ' - ' || title || ' - ' || year AS stem FROM e),
-present AS (SELECT p_type, stem, max(file_id) % 3 = 0 AS one, max(file_id) % 2 = 0 AS two FROM f
-            WHERE stem IS NOT NULL GROUP BY ALL),
+present AS (SELECT DISTINCT p_type, stem, p_brand LIKE '%1%' AS one, p_type > 'P' AS two FROM f
+            WHERE stem IS NOT NULL),
 moves AS (SELECT *, row_number() OVER (PARTITION BY p_type, lower(stem) ORDER BY current_path) AS r FROM f
           WHERE NOT missing AND stem IS NOT NULL),
 slots AS (SELECT m.*, CASE WHEN two AND r + one::INTEGER >= 2 THEN r + one::INTEGER + 1 ELSE r + one::INTEGER END AS slot

@@ -39,6 +39,18 @@ def test_similar_titles_against_all_pairs(spark, minimum):
     assert got == want
 
 
+def test_similar_long_lists(spark):
+    """Lists around the size limit take both ways of pairing."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = list({tuple(sorted(rng.sample(vocabulary, rng.randint(15, 36)))) for _ in range(60)})
+    frame = spark.createDataFrame([(list(r),) for r in rows], "words array<string>")
+    pairs = similar_titles(frame, frame, 0.5).collect()
+    got = {(tuple(r["left_words"]), tuple(r["right_words"])) for r in pairs}
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.5
+    assert got == {(a, b) for a in rows for b in rows if alike(a, b)} and len(pairs) == len(got)
+
+
 def test_a_word_in_every_title_does_not_pair_them(spark):
     """Titles that share only a common word never meet in the join."""
     frame = spark.range(400).select(F.array(F.lit("the"), F.concat(F.lit("w"), "id")).alias("words"))
