@@ -105,12 +105,14 @@ def resolve_groups(identities: DataFrame) -> DataFrame:
     staged = materialize(_link(members, "isbn_node", "meta_node", "meta_component"))
     linked = _link(staged, "meta_component", "stem_node", "group")
     own = _node("path", F.col("path"))
-    linked = linked.select(
-        "path",
-        F.coalesce(_node("token", F.col("token")), "group", own).alias("group"),
-        F.coalesce("meta_component", own).alias("meta_component"),
-        F.coalesce("isbn_node", own).alias("isbn_component"),
-        F.col("token").isNotNull().alias("manual"),
+    linked = materialize(
+        linked.select(
+            "path",
+            F.coalesce(_node("token", F.col("token")), "group", own).alias("group"),
+            F.coalesce("meta_component", own).alias("meta_component"),
+            F.coalesce("isbn_node", own).alias("isbn_component"),
+            F.col("token").isNotNull().alias("manual"),
+        )
     )
     method = (
         F.when(F.col("manual"), "manual")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe import schemas
 from folioframe.functions import fields, identifiers, naming
 from folioframe.functions import text as X
 from folioframe.operators import (
@@ -23,8 +25,9 @@ from folioframe.operators import (
 )
 from folioframe.plans import sql_text as S
 from folioframe.plans import stand_ins as V
-from folioframe.sources import export, providers, tagged
-from folioframe.session import materialize
+from folioframe.plans.refresh import Catalog, refresh_catalog
+from folioframe.session import materialize, work_folder
+from folioframe.sources import export, providers, store, tagged
 from folioframe.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1307,6 +1310,107 @@ def template_preview(spark, d):
     return rows.select("id", "current_name", shown.alias("proposed"), joined("tokens"))
 
 
+# ---- whole refresh and snapshots -----------------------------------------------------------
+
+
+def document_metadata(spark, d):
+    files = V.document_files(spark, d)
+    listing = files.select(
+        "path", X.extension(F.col("path")).alias("format"), "size_bytes", F.timestamp_seconds(F.lit(0)).alias("modified_at")
+    )
+    authors = F.when(F.col("author_key").isNotNull(), F.array("author_key")).otherwise(F.array().cast("array<string>"))
+    metadata = files.select(
+        "path",
+        "title",
+        authors.alias("authors"),
+        V.null("string").alias("series"),
+        V.null("double").alias("series_index"),
+        V.null("string").alias("publisher"),
+        V.null("int").alias("year"),
+        V.null("string").alias("language"),
+        V.null("string").alias("isbn10"),
+        "isbn",
+        V.null("string").alias("description"),
+        V.null("string").alias("parse_error_note"),
+    ).withColumnRenamed("isbn", "isbn13")
+    return listing, metadata
+
+
+def empty_catalog(spark):
+    return Catalog(*[spark.createDataFrame([], s) for s in (schemas.ENTITY, schemas.MEMBER, schemas.PROVENANCE)])
+
+
+REFRESHED = RESOLVED + """,
+first AS (
+  SELECT component, any_value(method) AS group_method, arg_min(title, f.path) AS title,
+         coalesce(arg_min(f.author_key, f.path) FILTER (f.author_key IS NOT NULL), '') AS authors,
+         arg_min(f.isbn, f.path) AS isbn13
+  FROM resolved JOIN f ON f.path = resolved.path GROUP BY component),
+numbered AS (SELECT *, row_number() OVER (ORDER BY component) AS id FROM first)
+"""
+
+
+@query(
+    REFRESHED + "SELECT id, title, authors, isbn13, CASE WHEN authors = '' THEN 'unresolved' ELSE 'complete' END AS "
+    "metadata_status, group_method FROM numbered"
+)
+def refresh_entities(spark, d):
+    """First refresh of an empty catalog from the document files."""
+    result = refresh_catalog(*document_metadata(spark, d), empty_catalog(spark))
+    return result.catalog.entity.select("id", "title", joined("authors"), "isbn13", "metadata_status", "group_method")
+
+
+@query(
+    REFRESHED + "SELECT r.path, n.id AS book_id, row_number() OVER (ORDER BY r.path) AS id, f.lang = 'de' AS missing "
+    "FROM resolved r JOIN numbered n ON n.component = r.component JOIN (SELECT f.path, d.lang FROM f JOIN documents d "
+    "USING (doc_id)) f ON f.path = r.path"
+)
+def refresh_again(spark, d):
+    """Second refresh, after all German files have gone: ids stay, the members are marked missing."""
+    listing, metadata = document_metadata(spark, d)
+    first = refresh_catalog(listing, metadata, empty_catalog(spark)).catalog
+    saved = Catalog(*[materialize(t) for t in (first.entity, first.member, first.provenance)])
+    result = refresh_catalog(listing.filter("path NOT LIKE '/lib/de/%'"), metadata, saved)
+    return result.catalog.member.select("path", "book_id", "id", "missing")
+
+
+@query(
+    f"WITH m AS ({S.MEMBER}) SELECT book_id, '/new' || substr(path, 5) AS path, format, size_bytes, missing FROM m"
+)
+def snapshot_restore(spark, d):
+    """A snapshot written under one root and restored into an empty catalog under another."""
+    entities, members = order_catalog(spark, d)
+    tables = {
+        "entity": entities,
+        "member": members,
+        "provenance": provenance.latest(V.event_provenance(spark, d), ["event_id"]),
+        "rename_journal": V.event_journal(spark, d),
+    }
+    folder = f"{work_folder(spark)}/store-{uuid.uuid4().hex}"
+    store.write_snapshot(tables, folder, 1, "/lib")
+    empty = {name: table.limit(0) for name, table in tables.items()}
+    restored, _ = store.restore_if_empty(spark, empty, folder, "/new")
+    return restored["member"].select("book_id", "path", "format", "size_bytes", "missing")
+
+
+@query(
+    PLAN + ", again AS (SELECT *, status = 'ready' AND p_brand LIKE '%2%' AS stale FROM plan JOIN (SELECT file_id, "
+    "p_brand, p_type, stem FROM f) USING (file_id) WHERE included), used AS (SELECT p_type, stem, max(CASE WHEN status = "
+    "'ready' THEN 1 ELSE regexp_extract(proposed_name, '\\(([0-9]+)\\)\\.epub$', 1)::INTEGER END) AS top FROM again "
+    "GROUP BY ALL), p AS (SELECT DISTINCT p_type, stem, two FROM present) "
+    "SELECT file_id, CASE WHEN NOT stale THEN proposed_name ELSE stem || ' (' || CASE WHEN top > 1 THEN top + 1 "
+    "WHEN two THEN 3 ELSE 2 END || ').epub' END AS proposed_name, CASE WHEN stale THEN 'collision' ELSE status END AS status "
+    "FROM again JOIN used USING (p_type, stem) JOIN p USING (p_type, stem)"
+)
+def recheck_plan(spark, d):
+    """A plan applied late: meanwhile every plain name of some brands has been taken."""
+    _, _, listing = part_files(spark, d)
+    rows = renames.actionable(part_plan(spark, d))
+    ready = rows.filter("status = 'ready' AND proposed_name LIKE 'Brand#%2% - %' AND split(proposed_name, ' - ')[0] LIKE '%2%'")
+    appeared = ready.select(renames.target_path().alias("path"))
+    return renames.recheck_plan(rows, listing.union(appeared)).select("file_id", "proposed_name", "status")
+
+
 # ---- export --------------------------------------------------------------------------------
 
 
