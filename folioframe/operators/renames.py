@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,42 +120,52 @@ def _with_family(df: DataFrame, name: str) -> DataFrame:
 def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     """Add ``proposed_name``: the proposed name, or its first free counter in path order.
 
-    Only names of one family (a name and its counters) can collide. In a family with one proposed
-    name the i-th file takes the i-th free slot, which needs a distributed rank and no look at the
-    other files. Families in which several proposed names compete are decided file by file, each
-    family on its own.
+    A name and its counters are slots: slot 1 is the name, slot k its counter k. The i-th file of a
+    name takes the i-th slot that nothing blocks, so all that is needed are ranks and the blocked
+    slots: those of names that are present, and those that another proposed name gets first.
     """
     moves = materialize(_with_family(moves.withColumn("base", F.lower("proposed")), "base"))
     taken = materialize(_with_family(occupied, "taken"))
+    columns = [*[c for c in moves.columns if c not in ("base", "family")], "proposed_name"]
+    bases = materialize(
+        moves.groupBy("dir", "family", "base").agg(
+            F.min("current_path").alias("first_path"), F.count(F.lit(1)).alias("files")
+        )
+    )
+    # Different long names can be cut to the same text; such families are served file by file.
     key = ["dir", "family"]
-    families = moves.groupBy(*key).agg(
-        F.min("base").alias("low"), F.max("base").alias("high"), F.count(F.lit(1)).alias("files")
+    several = (
+        bases.filter(F.col("family").startswith("long/"))
+        .groupBy(*key)
+        .agg(F.min("base").alias("low"), F.max("base").alias("high"))
+        .filter(F.col("low") != F.col("high"))
+        .select(*key, F.lit(True).alias("several"))
     )
-    competing = families.filter(F.col("low") != F.col("high")).select(*key, F.lit(True).alias("competing"))
-    size = families.agg(F.max("files"), F.count_if(F.col("low") != F.col("high"))).first()
-    largest, contested = size[0] or 0, size[1] > 0
-    obstacles = taken.join(families.select(*key), key, "left_semi").groupBy(*key).count()
-    blocked = obstacles.agg(F.max("count")).first()[0] or 0
-
-    columns = [*[c for c in moves.columns if c not in ("base", "family")], "proposed_name"]
-    if not contested:
-        return _assign_simple(moves, taken, largest, blocked).select(*columns)
-    marked = moves.join(competing, key, "left")
-    simple = marked.filter(F.col("competing").isNull())
-    rest = marked.filter(F.col("competing"))
-    rest_taken = taken.join(competing, key, "left_semi")
+    in_order = not several.isEmpty()
+    simple = bases
+    if in_order:
+        simple = bases.join(several, key, "left_anti")
+    present = _with_slot(taken.join(simple, key)).select("dir", "base", "slot")
+    contests = _contests(simple)
+    if contests.isEmpty():
+        blocked = present
+    else:
+        blocked = _resolve_contests(moves, materialize(contests), materialize(present))
+    blocked = materialize(blocked.join(simple.select("dir", "base", "files"), ["dir", "base"]))
+    if not in_order:
+        return _take_slots(moves, blocked).select(*columns)
+    marked = moves.join(several, key, "left")
     return (
-        _assign_simple(simple, taken, largest, blocked)
+        _take_slots(marked.filter(F.col("several").isNull()), blocked)
         .select(*columns)
-        .unionByName(_assign_contested(rest, rest_taken).select(*columns))
+        .unionByName(
+            _serve(marked.filter("several"), taken.join(several, key, "left_semi")).select(*columns)
+        )
     )
 
 
 def _with_slot(df: DataFrame) -> DataFrame:
-    """Add ``slot``: what a taken name blocks of ``base``.
-
-    1 is the base itself, k its counter k; names that block nothing are dropped.
-    """
+    """Add ``slot``: what a taken name blocks of ``base``; names that block nothing are dropped."""
     counter = F.regexp_extract(X.stem(F.col("taken")), r" \(([1-9][0-9]{0,8})\)$", 1)
     numbered = df.withColumns(
         {
@@ -168,28 +180,117 @@ def _with_slot(df: DataFrame) -> DataFrame:
     return numbered.withColumn("slot", slot).filter(F.col("slot").isNotNull())
 
 
-def _assign_simple(
-    moves: DataFrame, taken: DataFrame, largest: int, blocked_slots: int
-) -> DataFrame:
-    """The i-th file of a name takes its i-th free slot (slot 1 is the name without a counter).
+def _contests(bases: DataFrame) -> DataFrame:
+    """(dir, base, slot, child, first_path): proposed names that are a counter of another one."""
+    stem = X.stem(F.col("base"))
+    pattern = r"^(.*) \(([1-9][0-9]{0,8})\)$"
+    children = (
+        bases.filter(F.col("family").startswith("short/"))
+        .select(
+            "dir",
+            F.concat(F.regexp_extract(stem, pattern, 1), suffix(F.col("base"))).alias("parent"),
+            F.regexp_extract(stem, pattern, 2).try_cast("long").alias("slot"),
+            F.col("base").alias("child"),
+            "first_path",
+        )
+        .filter(F.col("slot") >= 2)
+    )
+    return children.join(
+        bases.select("dir", F.col("base").alias("parent")), ["dir", "parent"]
+    ).withColumnRenamed("parent", "base")
+
+
+def _resolve_contests(moves: DataFrame, contests: DataFrame, present: DataFrame) -> DataFrame:
+    """Blocked slots (dir, base, slot) when proposed names compete for a slot.
 
-    ``largest`` and ``blocked_slots`` bound the files and the taken names of one family.
+    The slot goes to the first file of its own name or to the file of the parent name that gets
+    there, whichever has the smaller path. What a parent gets depends on its own slot, so names are
+    settled level by level from the outside in. Per contested slot one number is needed: how many
+    files of the parent come before the first file of the name itself.
     """
     key = ["dir", "base"]
-    ranked = rank_in_group(moves, key, ["current_path"], "rank", largest)
+    marks = contests.select(*key, "slot", F.col("first_path").alias("current_path"))
+    files = moves.join(contests.select(*key).distinct(), key, "left_semi")
+    together = files.select(*key, "current_path", F.lit(None).cast("long").alias("slot")).unionByName(marks)
+    among_all = rank_in_group(together, key, ["current_path"], "n").filter(F.col("slot").isNotNull())
+    among_marks = rank_in_group(marks, key, ["current_path"], "m")
+    before = (
+        among_all.join(among_marks.select(*key, "slot", "m"), [*key, "slot"])
+        .select(*key, "slot", (F.col("n") - F.col("m")).alias("before"))
+    )
+    fixed = present.select(*key, "slot", F.lit(-1).cast("long").alias("before"))
+    open_ = materialize(
+        contests.join(present, [*key, "slot"], "left_anti")
+        .join(before, [*key, "slot"])
+        .select(*key, "slot", "before", "child")
+    )
+    blocked = [present]
+    parents = contests.select(*key).distinct()
+    level = parents.join(contests.select("dir", F.col("child").alias("base")), key, "left_anti")
+    own_taken = present.limit(0)
+    while not level.isEmpty():
+        rows = (
+            open_.drop("child")
+            .unionByName(fixed.unionByName(own_taken.withColumn("before", F.lit(-1).cast("long"))).distinct())
+            .join(level, key, "left_semi")
+        )
+        settled = materialize(_settle(rows))
+        lost = settled.filter("lost").select(*key, "slot")
+        won = (
+            settled.filter(~F.col("lost"))
+            .join(open_, [*key, "slot"])
+            .select("dir", F.col("child").alias("base"), F.lit(1).cast("long").alias("slot"))
+        )
+        blocked += [lost, won]
+        own_taken = won
+        level = materialize(
+            contests.join(level, key, "left_semi")
+            .select("dir", F.col("child").alias("base"))
+            .distinct()
+            .join(parents, key, "left_semi")
+        )
+    out = blocked[0]
+    for part in blocked[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """(dir, base, slot, before) -> (dir, base, slot, lost): slots a name cannot have.
+
+    Slots are passed in order with a running count of the lost ones; rows stream through, and only
+    that count is kept. ``before`` is -1 for slots that are taken anyway.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, missed = None, 0
+        for batch in batches:
+            lost = []
+            for row in batch.itertuples(index=False):
+                if current != (row.dir, row.base):
+                    current, missed = (row.dir, row.base), 0
+                gone = row.before < 0 or row.slot - missed > row.before
+                missed += gone
+                lost.append(gone)
+            yield batch[["dir", "base", "slot"]].assign(lost=lost)
+
+    return (
+        rows.repartition("dir", "base")
+        .sortWithinPartitions("dir", "base", "slot")
+        .mapInPandas(scan, "dir STRING, base STRING, slot BIGINT, lost BOOLEAN")
+    )
+
+
+def _take_slots(moves: DataFrame, blocked: DataFrame) -> DataFrame:
+    """The i-th file of a name takes its i-th slot outside ``blocked`` (dir, base, slot, files)."""
+    key = ["dir", "base"]
+    ranked = rank_in_group(moves, key, ["current_path"], "rank")
     ranked = ranked.withColumns({"_stem": X.stem(F.col("proposed")), "_suffix": suffix(F.col("proposed"))})
-    if not blocked_slots:
+    if blocked.isEmpty():
         return _place(ranked.withColumn("_slot", F.col("rank")))
-    # A long name is cut to different stems for different counters, so look at its whole family.
-    bases = moves.groupBy("dir", "family", "base").agg(F.count(F.lit(1)).alias("files"))
-    blocked = _with_slot(taken.join(bases, ["dir", "family"])).select(
-        "dir", "base", "slot", "files"
-    )
     # Slots past files + blocked ones are never reached. They are generated in blocks, so that a
     # name with very many files is spread over tasks.
-    reach = blocked.groupBy(*key).agg(
-        (F.max("files") + F.count(F.lit(1))).alias("last"), F.count(F.lit(1)).alias("n_blocked")
-    )
+    reach = blocked.groupBy(*key).agg((F.max("files") + F.count(F.lit(1))).alias("last"))
     blocks = reach.select(
         *key,
         "last",
@@ -199,7 +300,7 @@ def _assign_simple(
     slots = blocks.select(
         *key, F.explode(F.sequence(first, F.least("last", first + _SLOT_BLOCK - 1))).alias("slot")
     ).join(blocked.select(*key, "slot"), [*key, "slot"], "left_anti")
-    free = rank_in_group(slots, key, ["slot"], "rank", largest + blocked_slots)
+    free = rank_in_group(slots, key, ["slot"], "rank")
     placed = ranked.join(free, [*key, "rank"], "left")
     return _place(placed.withColumn("_slot", F.coalesce("slot", "rank")))
 
@@ -213,41 +314,40 @@ def _place(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _assign_contested(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """Families with several proposed names: first come, first served in path order."""
-    rows = moves.select("dir", "family", "current_path", "proposed").withColumn("kind", F.lit(1))
+def _serve(moves: DataFrame, taken: DataFrame) -> DataFrame:
+    """Name the files of a family one by one in path order, as a stream sorted by family."""
+    rows = moves.select("dir", "family", "current_path", "proposed", F.lit(1).alias("kind"))
     marks = taken.select(
         "dir", "family", F.lit("").alias("current_path"), F.col("taken").alias("proposed"), F.lit(0).alias("kind")
     )
-    schema = "dir STRING, current_path STRING, proposed_name STRING"
     decided = (
-        rows.unionByName(marks).groupBy("dir", "family").applyInPandas(_serve_in_order, schema)
+        rows.unionByName(marks)
+        .repartition("dir", "family")
+        .sortWithinPartitions("dir", "family", "kind", "current_path")
+        .mapInPandas(_serve_in_order, "dir STRING, current_path STRING, proposed_name STRING")
     )
     return moves.join(decided, ["dir", "current_path"])
 
 
-def _serve_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    taken = set(rows.loc[rows["kind"] == 0, "proposed"].str.lower())
-    files = rows[rows["kind"] == 1].sort_values("current_path")
-    next_counter: dict[str, int] = {}
-    names = []
-    for proposed in files["proposed"]:
-        name = proposed
-        if name.lower() in taken:
-            counter = next_counter.get(proposed, 2)
-            while (name := counted_name(proposed, counter)).lower() in taken:
-                counter += 1
-            # Counters below this one are taken for good: nothing is released in a batch.
-            next_counter[proposed] = counter
-        taken.add(name.lower())
-        names.append(name)
-    return pd.DataFrame(
-        {
-            "dir": files["dir"].to_numpy(),
-            "current_path": files["current_path"].to_numpy(),
-            "proposed_name": names,
-        }
-    )
+def _serve_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, taken, counters = None, set(), {}
+    for batch in batches:
+        named = []
+        for row in batch.itertuples(index=False):
+            if current != (row.dir, row.family):
+                current, taken, counters = (row.dir, row.family), set(), {}
+            name = row.proposed
+            if row.kind and name.lower() in taken:
+                # Names are never released, so counters below the last one stay taken.
+                counter = counters.get(name, 2)
+                while (free := counted_name(name, counter)).lower() in taken:
+                    counter += 1
+                counters[name] = counter + 1
+                name = free
+            taken.add(name.lower())
+            if row.kind:
+                named.append((row.dir, row.current_path, name))
+        yield pd.DataFrame(named, columns=["dir", "current_path", "proposed_name"], dtype="object")
 
 
 def counted_name(name: str, counter: int, limit: int = NAME_BYTES) -> str:

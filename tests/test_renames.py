@@ -84,14 +84,15 @@ def test_long_name_keeps_its_counter(spark):
     assert plan[4][0] == "é" * 123 + " (2).epub"
 
 
-@pytest.mark.parametrize("window", [1_000_000, 0])
-def test_against_greedy_simulation(spark, monkeypatch, window):
-    """One name per family takes the set-based path; competing names go file by file."""
+@pytest.mark.parametrize(("window", "seed"), [(1_000_000, 11), (1_000_000, 12), (0, 13)])
+def test_against_greedy_simulation(spark, monkeypatch, window, seed):
+    """Plain names, names that are counters of each other, taken names, and long names."""
     monkeypatch.setattr(ranking, "WINDOW_ROWS", window)
-    rng = random.Random(11)
-    pool = ["Dune", "DUNE", "Dune (2)", "Dune (3)", "Dune (2) (2)", "Emma", "Solo", "Rework (2)"]
+    rng = random.Random(seed)
+    pool = ["Dune", "DUNE", "Dune (2)", "Dune (3)", "Dune (9)", "Dune (2) (2)", "Dune (2) (3)", "Emma", "Solo"]
+    pool += ["Rework (2)", "Rework (3)", "Rework (2) (2)", "Emma (3)"]
     pool += ["P" * 249, "P" * 247 + "xyz"]
-    titles = [rng.choice(pool) for _ in range(120)]
+    titles = [rng.choice(pool) for _ in range(160)]
     present = ["/d/emma (2).epub", "/d/Emma (4).epub", "/d/Solo.epub", "/d/solo (3).epub", "/d/Dune (5).epub"]
     got = rows(plan_of(spark, titles, present))
     names = greedy([f"{t}.epub" for t in titles], [p.rsplit("/", 1)[1] for p in present])
