@@ -24,17 +24,15 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
         .withColumn("_place", F.monotonically_increasing_id())
     )
     table = materialize(ranged)
-    part = F.shiftright("_place", _ROW_BITS)
-    sizes = table.groupBy(part.alias("part")).count().orderBy("part").collect()
-    offsets, seen = [], start
-    for row in sizes:
-        offsets += [F.lit(row["part"]), F.lit(seen)]
-        seen += row["count"]
-    if not offsets:
-        return table.withColumn(name, F.lit(0).cast("long")).drop("_place")
+    part = F.shiftright("_place", _ROW_BITS).cast("int")
+    sizes = {r["part"]: r["count"] for r in table.groupBy(part.alias("part")).count().collect()}
+    before, seen = [], start
+    for index in range(max(sizes, default=0) + 1):
+        before.append(seen)
+        seen += sizes.get(index, 0)
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), part)
     place = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    offset = F.element_at(F.create_map(*offsets), part)
-    return table.withColumn(name, (offset + place + 1).cast("long")).drop("_place")
+    return table.withColumn(name, offset + place + 1).drop("_place")
 
 
 # Groups up to this size are ranked by a plain window in one task.

@@ -11,13 +11,30 @@ from pyspark.sql.streaming import StreamingQuery
 DEFAULT_GAP_SECONDS = 1
 
 
+# Time slots per piece of a root's history.
+_SLOTS_PER_PIECE = 100_000
+
+
+def _close_gaps(spans: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Join spans (first, last, n) of a key that lie no further apart than the gap."""
+    by_time = Window.partitionBy(*keys).orderBy("first")
+    starts = F.coalesce(F.col("first") - F.lag("last").over(by_time) > gap, F.lit(True))
+    numbered = spans.withColumn("starts", starts.cast("int")).withColumn(
+        "burst", F.sum("starts").over(by_time)
+    )
+    return numbered.groupBy(*keys, "burst").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")
+    )
+
+
 def change_bursts(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS) -> DataFrame:
     """Bursts of a table of events (root, ts): (root, started_at, last_at, n_events).
 
     A burst ends when no event follows within the gap (an event exactly one gap later still
-    belongs to it, as in session windows). Events of one gap-long time slot always
-    belong to one burst, so they are combined before the shuffle; what is left per root is at most
-    one row per slot, however many events the root has.
+    belongs to it, as in session windows). Events of one gap-long time slot always belong to one
+    burst, so they are combined before the shuffle. The history of a root is then closed piece by
+    piece; only the outer bursts of every piece can continue in the next one, and only those are
+    looked at per root.
     """
     gap = gap_seconds * 1_000_000
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -25,20 +42,23 @@ def change_bursts(events: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS) ->
         events.select("root", micros.alias("us"))
         .groupBy("root", F.floor(F.col("us") / gap).alias("slot"))
         .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n"))
+        .withColumn("piece", F.floor(F.col("slot") / _SLOTS_PER_PIECE))
     )
-    by_time = Window.partitionBy("root").orderBy("slot")
-    starts = F.coalesce(F.col("first") - F.lag("last").over(by_time) > gap, F.lit(True))
-    numbered = slots.withColumn("starts", starts).withColumn(
-        "burst", F.sum(F.col("starts").cast("int")).over(by_time)
+    last_of_piece = F.max("burst").over(Window.partitionBy("root", "piece"))
+    closed = _close_gaps(slots, ["root", "piece"], gap).withColumn(
+        "outer", (F.col("burst") == 1) | (F.col("burst") == last_of_piece)
     )
+    spans = ["root", "first", "last", "n"]
+    across = _close_gaps(closed.filter("outer").select(*spans), ["root"], gap)
     return (
-        numbered.groupBy("root", "burst")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n_events"))
+        closed.filter(~F.col("outer"))
+        .select(*spans)
+        .unionByName(across.select(*spans))
         .select(
             "root",
             F.timestamp_micros("first").alias("started_at"),
             F.timestamp_micros("last").alias("last_at"),
-            "n_events",
+            F.col("n").alias("n_events"),
         )
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioframe import schemas
@@ -31,7 +32,10 @@ def test_bursts(spark):
     ]
 
 
-def test_batch_equals_session_windows(spark):
+@pytest.mark.parametrize("slots", [100_000, 3, 1])
+def test_batch_equals_session_windows(spark, monkeypatch, slots):
+    """Also when bursts run over many pieces of a root's history."""
+    monkeypatch.setattr(watch, "_SLOTS_PER_PIECE", slots)
     rows = [(r, (i * i * 37 % 4001) / 10) for i in range(300) for r in ("a", "b")]
     frame = events(spark, *rows)
     want = (
