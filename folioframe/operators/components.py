@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.session import discard, materialize
+from folioframe.session import discard, materialize, same_table
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -61,5 +61,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(current)
         current = following
         if _is_finished(current):
-            return current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+            result = current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+            return same_table(result, current)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.functions.identifiers import isbn_is_plausible
 from folioframe.functions.text import stem_key
 from folioframe.operators.components import connected_components
-from folioframe.session import materialize
+from folioframe.session import discard, materialize
 
 
 def identity(
@@ -74,19 +74,25 @@ def member_keys(identities: DataFrame) -> DataFrame:
 
 
 def _link(members: DataFrame, first: str, second: str, out: str) -> DataFrame:
-    """Add ``out``: the component of the member's first key, else of its second, else null."""
+    """Add ``out``: the component of the member's first key, else of its second, else null.
+
+    Returns a new table in place of ``members``.
+    """
     edges = (
         members.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
         .select(first, second)
         .distinct()
     )
-    components = connected_components(edges).withColumnRenamed("node", "_key")
-    return (
+    components = connected_components(edges)
+    linked = materialize(
         members.withColumn("_key", F.coalesce(first, second))
-        .join(components, "_key", "left")
+        .join(components.withColumnRenamed("node", "_key"), "_key", "left")
         .withColumn(out, F.coalesce("component", "_key"))
         .drop("_key", "component")
     )
+    discard(components)
+    discard(members)
+    return linked
 
 
 def resolve_groups(identities: DataFrame) -> DataFrame:
@@ -102,17 +108,15 @@ def resolve_groups(identities: DataFrame) -> DataFrame:
     metadata did.
     """
     members = materialize(member_keys(identities))
-    staged = materialize(_link(members, "isbn_node", "meta_node", "meta_component"))
+    staged = _link(members, "isbn_node", "meta_node", "meta_component")
     linked = _link(staged, "meta_component", "stem_node", "group")
     own = _node("path", F.col("path"))
-    linked = materialize(
-        linked.select(
-            "path",
-            F.coalesce(_node("token", F.col("token")), "group", own).alias("group"),
-            F.coalesce("meta_component", own).alias("meta_component"),
-            F.coalesce("isbn_node", own).alias("isbn_component"),
-            F.col("token").isNotNull().alias("manual"),
-        )
+    linked = linked.select(
+        "path",
+        F.coalesce(_node("token", F.col("token")), "group", own).alias("group"),
+        F.coalesce("meta_component", own).alias("meta_component"),
+        F.coalesce("isbn_node", own).alias("isbn_component"),
+        F.col("token").isNotNull().alias("manual"),
     )
     method = (
         F.when(F.col("manual"), "manual")

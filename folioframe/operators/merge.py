@@ -24,13 +24,16 @@ def merge_metadata(
     records: DataFrame, keys: list[str], order: list[str], fields: list[str] = EDIT_FIELDS
 ) -> DataFrame:
     """First known value of every field per key, in ``order``; authors: first non-empty list."""
+    return records.groupBy(*keys).agg(*merged_fields(order, fields))
+
+
+def merged_fields(order: list[str], fields: list[str] = EDIT_FIELDS) -> list[Column]:
+    """The aggregates of ``merge_metadata``, to be combined with others in one pass."""
     by = F.struct(*order)
-    return records.groupBy(*keys).agg(
-        *[
-            first_known(F.col(f), by, has_items(F.col(f)) if f == "authors" else None).alias(f)
-            for f in fields
-        ]
-    )
+    return [
+        first_known(F.col(f), by, has_items(F.col(f)) if f == "authors" else None).alias(f)
+        for f in fields
+    ]
 
 
 def owner_votes(members: DataFrame, group: str, owner: str) -> DataFrame:
@@ -62,14 +65,21 @@ def concat_notes(
     return parts.select(*keys, "part", F.array_join("_notes", "; ").alias("notes"))
 
 
-def fill_empty(current: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
+def fill_empty(
+    current: DataFrame,
+    found: DataFrame,
+    key: str = "id",
+    carry: list[str] | None = None,
+    how: str = "left",
+) -> DataFrame:
     """Fill only empty fields of ``current`` from ``found``; adds ``filled``, their names.
 
-    The title is never filled: an entity always has one.
+    The title is never filled: an entity always has one. ``carry`` names further columns of
+    ``found`` to keep; ``how`` is the kind of join.
     """
     fields = ["authors", *FILL_FIELDS]
-    new = found.select(key, *[F.col(f).alias(f"new_{f}") for f in fields])
-    joined = current.join(new, key, "left")
+    new = found.select(key, *[F.col(f).alias(f"new_{f}") for f in fields], *(carry or []))
+    joined = current.join(new, key, how)
 
     def empty(f: str) -> Column:
         return ~has_items(F.col(f)) if f == "authors" else F.col(f).isNull()

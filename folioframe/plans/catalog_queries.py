@@ -1148,7 +1148,7 @@ def plan_summary(spark, d):
 def apply_plan(spark, d):
     """Members after a plan was applied, with the number of their journal row."""
     _, members, _ = part_files(spark, d)
-    rows = renames.actionable(part_plan(spark, d))
+    rows = materialize(renames.actionable(part_plan(spark, d)))
     empty = V.event_journal(spark, d).filter(F.lit(False))
     moved, journal = renames.apply_plan(members, empty, rows, "batch", F.current_timestamp())
     numbers = journal.select(F.col("file_id").alias("id"), F.col("id").alias("journal_id"))
@@ -1405,7 +1405,7 @@ def snapshot_restore(spark, d):
 def recheck_plan(spark, d):
     """A plan applied late: meanwhile every plain name of some brands has been taken."""
     _, _, listing = part_files(spark, d)
-    rows = renames.actionable(part_plan(spark, d))
+    rows = materialize(renames.actionable(part_plan(spark, d)))
     ready = rows.filter("status = 'ready' AND proposed_name LIKE 'Brand#%2% - %' AND split(proposed_name, ' - ')[0] LIKE '%2%'")
     appeared = ready.select(renames.target_path().alias("path"))
     return renames.recheck_plan(rows, listing.union(appeared)).select("file_id", "proposed_name", "status")

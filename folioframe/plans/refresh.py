@@ -114,27 +114,24 @@ def refresh_catalog(
     # Two groups can elect one entity: they are folded in the order of their first paths.
     order = ["component", "path"]
     by = F.struct(*order)
-    merged = merge.merge_metadata(assigned, ["entity_id"], order)
-    facts = assigned.groupBy("entity_id").agg(
+    folded = assigned.groupBy(F.col("entity_id").alias("id")).agg(
+        *merge.merged_fields(order),
         F.max_by("method", "component").alias("_method"),
         F.min_by("stem", by).alias("_stem"),
         F.bool_or("is_new").alias("_is_new"),
         F.bool_or("fresh").alias("_any_fresh"),
         F.count("parse_error_note").alias("_n_notes"),
     )
+    noted = assigned.filter(F.col("parse_error_note").isNotNull())
+    few = noted.groupBy("entity_id").count().filter(F.col("count") <= max_notes)
     notes = merge.concat_notes(
-        assigned.join(facts.filter(F.col("_n_notes") <= max_notes), "entity_id", "left_semi"),
-        ["entity_id"],
-        "parse_error_note",
-        order,
-    ).select("entity_id", F.col("notes").alias("_notes"))
-    found = merged.withColumnRenamed("entity_id", "id")
-    groups_now = facts.join(notes, "entity_id", "left").withColumnRenamed("entity_id", "id")
+        noted.join(few, "entity_id", "left_semi"), ["entity_id"], "parse_error_note", order
+    ).select(F.col("entity_id").alias("id"), F.col("notes").alias("_notes"))
+    groups_now = materialize(folded.join(notes, "id", "left"))
 
     guess = filename_guess(F.col("_stem"))
     created_rows = (
         groups_now.filter("_is_new")
-        .join(found, "id")
         .withColumn("_guess", guess)
         .withColumns(
             {
@@ -163,9 +160,10 @@ def refresh_catalog(
             catalog.entity.withColumnRenamed("parse_error_note", "_old_note").drop(
                 "group_method", "metadata_status", "title_sort", "updated_at"
             ),
-            found,
+            groups_now.filter(~F.col("_is_new")),
+            carry=["_method", "_is_new", "_any_fresh", "_n_notes", "_notes"],
+            how="inner",
         )
-        .join(groups_now.filter(~F.col("_is_new")), "id")
         .withColumn(
             "author_sort",
             F.when(

@@ -69,6 +69,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
+def same_table(view: DataFrame, table: DataFrame) -> DataFrame:
+    """Mark ``view`` as a projection of a materialized table, so that it can be discarded."""
+    view._folioframe_path = table._folioframe_path
+    return view
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table made by ``materialize`` once nothing reads it any more."""
     path = getattr(table, "_folioframe_path", None)
