@@ -14,8 +14,10 @@ from folioframe.operators.ranking import number_rows, rank_in_group
 from folioframe.schemas import DEFAULT_TEMPLATE, NAME_BYTES
 from folioframe.session import materialize
 
-# Names this long may be shortened when a counter is added, so different names can meet.
-_LONG_BYTES = NAME_BYTES - 22
+# A counter takes at most this many bytes.
+_COUNTER_BYTES = 22
+# Names longer than this without their counters may be cut for a counter, so different names can meet.
+_LONG_BYTES = 200
 _SLOT_BLOCK = 100_000
 
 
@@ -109,12 +111,28 @@ def _with_family(df: DataFrame, name: str) -> DataFrame:
     names meet by their first characters.
     """
     parts = df.withColumns({"_stem": X.stem(F.col(name)), "_suffix": suffix(F.col(name))})
-    bare = F.regexp_replace("_stem", r"( \([0-9]+\))+$", "")
-    long = F.octet_length(name) > _LONG_BYTES
-    family = F.when(long, F.concat(F.lit("long/"), F.substring(name, 1, 40))).otherwise(
-        F.concat(F.lit("short/"), bare, F.col("_suffix"))
+    bare = F.concat(F.regexp_replace("_stem", r"( \([0-9]+\))+$", ""), F.col("_suffix"))
+    named = parts.withColumn("_bare", bare)
+    family = F.when(
+        F.octet_length("_bare") > _LONG_BYTES, F.concat(F.lit("long/"), F.substring("_bare", 1, 40))
+    ).otherwise(F.concat(F.lit("short/"), "_bare"))
+    return named.withColumn("family", family).drop("_stem", "_suffix", "_bare")
+
+
+def _with_parent(df: DataFrame, name: str) -> DataFrame:
+    """Add ``parent`` and ``slot`` of names that are a counter of another name; drop the others."""
+    pattern = r"^(.*) \(([1-9][0-9]{0,8})\)$"
+    parts = df.withColumns({"_stem": X.stem(F.col(name)), "_suffix": suffix(F.col(name))})
+    return (
+        parts.withColumns(
+            {
+                "parent": F.concat(F.regexp_extract("_stem", pattern, 1), F.col("_suffix")),
+                "slot": F.regexp_extract("_stem", pattern, 2).try_cast("long"),
+            }
+        )
+        .filter(F.col("slot") >= 2)
+        .drop("_stem", "_suffix")
     )
-    return parts.withColumn("family", family).drop("_stem", "_suffix")
 
 
 def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
@@ -132,20 +150,22 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
             F.min("current_path").alias("first_path"), F.count(F.lit(1)).alias("files")
         )
     )
-    # Different long names can be cut to the same text; such families are served file by file.
+    # Different long names can be cut to the same text, and so can names that pile up counters;
+    # such families are served file by file.
     key = ["dir", "family"]
+    is_long = F.col("family").startswith("long/")
+    cut = F.max(F.octet_length("base")) > NAME_BYTES - _COUNTER_BYTES
     several = (
-        bases.filter(F.col("family").startswith("long/"))
-        .groupBy(*key)
-        .agg(F.min("base").alias("low"), F.max("base").alias("high"))
-        .filter(F.col("low") != F.col("high"))
+        bases.groupBy(*key)
+        .agg(F.min("base").alias("low"), F.max("base").alias("high"), cut.alias("cut"))
+        .filter(F.when(is_long, F.col("low") != F.col("high")).otherwise(F.col("cut")))
         .select(*key, F.lit(True).alias("several"))
     )
     in_order = not several.isEmpty()
     simple = bases
     if in_order:
         simple = bases.join(several, key, "left_anti")
-    present = _with_slot(taken.join(simple, key)).select("dir", "base", "slot")
+    present = _present_slots(taken, simple)
     contests = _contests(simple)
     if contests.isEmpty():
         blocked = present
@@ -164,36 +184,42 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     )
 
 
-def _with_slot(df: DataFrame) -> DataFrame:
-    """Add ``slot``: what a taken name blocks of ``base``; names that block nothing are dropped."""
-    counter = F.regexp_extract(X.stem(F.col("taken")), r" \(([1-9][0-9]{0,8})\)$", 1)
-    numbered = df.withColumns(
-        {
-            "_k": counter.try_cast("long"),
-            "_stem": X.stem(F.col("base")),
-            "_suffix": suffix(F.col("base")),
-        }
-    ).withColumn("_name", F.lower(counted(F.col("_stem"), F.col("_suffix"), F.col("_k"))))
-    slot = F.when(F.col("taken") == F.col("base"), F.lit(1).cast("long")).when(
-        (F.col("_k") >= 2) & (F.col("_name") == F.col("taken")), F.col("_k")
+def _present_slots(taken: DataFrame, bases: DataFrame) -> DataFrame:
+    """(dir, base, slot): slots of proposed names that are blocked by names that are present."""
+    is_long = F.col("family").startswith("long/")
+    names = bases.select("dir", "base")
+    same = taken.withColumnRenamed("taken", "base").join(names, ["dir", "base"], "left_semi")
+    counters = _with_parent(taken.filter(~is_long), "taken").withColumnRenamed("parent", "base")
+    # A long family in ``bases`` has one name, whose counters are cut forms of it.
+    cut = (
+        taken.filter(is_long)
+        .join(bases.filter(is_long).select("dir", "family", "base"), ["dir", "family"])
+        .filter(F.col("taken") != F.col("base"))
+        .withColumns(
+            {
+                "slot": F.regexp_extract(X.stem(F.col("taken")), r" \(([1-9][0-9]{0,8})\)$", 1).try_cast("long"),
+                "_stem": X.stem(F.col("base")),
+                "_suffix": suffix(F.col("base")),
+            }
+        )
+        .filter(F.col("slot") >= 2)
+        .filter(F.lower(counted(F.col("_stem"), F.col("_suffix"), F.col("slot"))) == F.col("taken"))
+    )
+    slots = ["dir", "base", "slot"]
+    return (
+        same.withColumn("slot", F.lit(1).cast("long"))
+        .select(*slots)
+        .unionByName(counters.select(*slots).join(names, ["dir", "base"], "left_semi"))
+        .unionByName(cut.select(*slots))
+        .distinct()
     )
-    return numbered.withColumn("slot", slot).filter(F.col("slot").isNotNull())
 
 
 def _contests(bases: DataFrame) -> DataFrame:
     """(dir, base, slot, child, first_path): proposed names that are a counter of another one."""
-    stem = X.stem(F.col("base"))
-    pattern = r"^(.*) \(([1-9][0-9]{0,8})\)$"
-    children = (
-        bases.filter(F.col("family").startswith("short/"))
-        .select(
-            "dir",
-            F.concat(F.regexp_extract(stem, pattern, 1), suffix(F.col("base"))).alias("parent"),
-            F.regexp_extract(stem, pattern, 2).try_cast("long").alias("slot"),
-            F.col("base").alias("child"),
-            "first_path",
-        )
-        .filter(F.col("slot") >= 2)
+    short = bases.filter(F.col("family").startswith("short/"))
+    children = _with_parent(short, "base").select(
+        "dir", "parent", "slot", F.col("base").alias("child"), "first_path"
     )
     return children.join(
         bases.select("dir", F.col("base").alias("parent")), ["dir", "parent"]

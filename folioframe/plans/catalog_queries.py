@@ -634,7 +634,8 @@ def merge_entities(spark, d):
 def detached_members(spark, d):
     """Orders as entities to take apart, their line items as members with own metadata."""
     entity = V.order_entities(spark, d)
-    members = V.line_members(spark, d).withColumn("manual_group_id", V.null("string")).dropDuplicates(["path"])
+    members = V.line_members(spark, d).withColumn("manual_group_id", V.null("string"))
+    members = materialize(members.dropDuplicates(["path"]))
     found = members.select(
         "path",
         F.when(F.col("format") == "epub", F.concat(F.lit("Own "), F.col("size_bytes"))).alias("title"),

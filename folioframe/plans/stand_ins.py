@@ -128,15 +128,16 @@ def line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     format = F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("l_returnflag"))
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("book_id"),
-        F.format_string(
-            "/lib/%d/%d-%d-%d-%d.%s",
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, format,
+        F.concat(
+            F.concat_ws("/", F.lit("/lib"), "l_orderkey", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", cents)),
+            F.lit("."),
+            format,
         ).alias("path"),
         format.alias("format"),
         cents.alias("size_bytes"),
         F.col("l_shipdate").cast("timestamp").alias("modified_at"),
         (F.col("l_linestatus") == "F").alias("missing"),
-    )
+    )
 
 
 def event_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # Joins here put a per-key table (one row per key) against a large side, so splitting a
     # skewed key is always possible; allow it even when a later stage then needs a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Archives travel to Python as bytes; a batch is limited by size, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 

@@ -91,9 +91,11 @@ def test_against_greedy_simulation(spark, monkeypatch, window, seed):
     rng = random.Random(seed)
     pool = ["Dune", "DUNE", "Dune (2)", "Dune (3)", "Dune (9)", "Dune (2) (2)", "Dune (2) (3)", "Emma", "Solo"]
     pool += ["Rework (2)", "Rework (3)", "Rework (2) (2)", "Emma (3)"]
-    pool += ["P" * 249, "P" * 247 + "xyz"]
-    titles = [rng.choice(pool) for _ in range(160)]
+    pool += ["P" * 249, "P" * 247 + "xyz", "Q" * 228, "Q" * 190, "Q" * 190 + " (2)", "R" * 228, "Z" * 185]
+    pool += ["Z" * 185 + " (2) (2) (2) (2) (2) (2) (2) (2) (2) (2)"]
+    titles = [rng.choice(pool) for _ in range(220)]
     present = ["/d/emma (2).epub", "/d/Emma (4).epub", "/d/Solo.epub", "/d/solo (3).epub", "/d/Dune (5).epub"]
+    present += ["/d/" + "R" * 228 + " (2).epub", "/d/" + "Q" * 190 + " (3).epub"]
     got = rows(plan_of(spark, titles, present))
     names = greedy([f"{t}.epub" for t in titles], [p.rsplit("/", 1)[1] for p in present])
     assert [got[i][0] for i in range(1, len(titles) + 1)] == names
