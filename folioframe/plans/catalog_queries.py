@@ -1083,7 +1083,16 @@ def sanitize_names(spark, d):
     return naming.with_legal_name(parts, raw, F.lit("epub"), "name").select("p_partkey", "name")
 
 
-@query()
+FULL_NAME = S.sanitize("text || '.epub'", "'epub'")
+
+
+@query(
+    f"WITH n AS (SELECT doc_id, {FULL_NAME} AS name FROM documents), "
+    "s AS (SELECT *, left(name, length(name) - 5) AS stem FROM n), "
+    "k AS (SELECT *, list_max(list_filter(range(0, 251), lambda i: strlen(left(stem, i::INTEGER)) <= 250)) AS fit FROM s), "
+    f"c AS (SELECT doc_id, CASE WHEN strlen(name) > 255 THEN {S.trim_space('left(stem, fit::INTEGER)')} || '.epub' "
+    "ELSE name END AS name FROM k) SELECT doc_id, name, strlen(name)::INTEGER AS bytes FROM c"
+)
 def cap_names(spark, d):
     """Whole documents as names: cut to 255 bytes on a grapheme boundary."""
     documents = V.table(spark, d, "documents")

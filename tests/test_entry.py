@@ -23,7 +23,7 @@ def db():
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"cap_names", "export_rows_json"}
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"export_rows_json"}
 
 
 # A cross-section; tools/check_values.py runs all of them.
