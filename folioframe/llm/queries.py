@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import substring_dedup
+from folioframe.llm import circulant_minhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,38 @@ SELECT d.doc_id, len(w) AS n_words, len(coalesce(g, [])) AS n_removed,
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
+def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+_LOWER_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x20\x09-\x0D]+')"
+)
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+          THEN [array_to_string(w[p:p + 4], ' ') FOR p IN range(1, len(w) - 3)]
+          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+      GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+      WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS z FROM documents
+      UNION SELECT r.a, e.b FROM r JOIN e ON r.z = e.a),
+m AS (SELECT a, min(z) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_circulant_minhash": op10_circulant_minhash,
 }
 
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
+    "op10_circulant_minhash": OP10_SQL,
 }
