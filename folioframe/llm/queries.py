@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, substring_dedup
+from folioframe.llm import circulant_minhash, compression_toxicity, substring_dedup
+from folioframe.llm.fitting import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,17 @@ SELECT d.doc_id, len(w) AS n_words, len(coalesce(g, [])) AS n_removed,
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
+def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = compression_toxicity.train(docs, labels, fold("doc_id", 3) != 1)
+    return compression_toxicity.scored(docs, model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +72,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op9_compression_toxicity": op9_compression_toxicity,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
