@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import arrays
-from folioframe.llm.fitting import best_cut, logistic, sample_rows
+from folioframe.llm.fitting import best_cut, logistic, sample_rows, stands_for
 
 WINDOW = 5
 GRAM = 5
@@ -148,7 +148,7 @@ def _typical(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
     return gram[(often >= support) & (lift >= max(2, enough)) & (gram > 0)]
 
 
-def fit(sample: list[tuple[bytes, int]]) -> Model | None:
+def fit(sample: list[tuple[bytes, int]], weights: dict[int, float] | None = None) -> Model | None:
     """Train on (spaced words, label) pairs; None if a label is missing."""
     y = np.array([label for _, label in sample], float)
     if not len(y) or y.min() == y.max():
@@ -180,7 +180,7 @@ def fit(sample: list[tuple[bytes, int]]) -> Model | None:
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = (x - model.mean) / model.scale
     model.weights = logistic(x, y)
-    model.cut = best_cut(x @ model.weights[1:] + model.weights[0], y)
+    model.cut = best_cut(x @ model.weights[1:] + model.weights[0], y, np.array([(weights or {}).get(int(v), 1.0) for v in y]))
     return model
 
 
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic"
         _spread_windows, "doc_id long, text binary, label int"
     )
     rows = sorted((r["doc_id"], bytes(r["text"]), r["label"]) for r in sample.toLocalIterator())
-    return fit([(text, value) for _, text, value in rows])
+    return fit([(text, value) for _, text, value in rows], stands_for(labels, label, keep, FIT_ROWS))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -28,6 +28,12 @@ def sample_rows(
     return docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").filter(F.col("text").isNotNull())
 
 
+def stands_for(labels: DataFrame, label: str, keep: Column, rows: int) -> dict[int, float]:
+    """For each label value, how many rows a row of ``sample_rows`` stands for."""
+    known = labels.filter(keep & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    return {r[0]: max(1.0, r[1] / rows) for r in known.groupBy(label).count().collect()}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (the constant first) of a ridge logistic regression, by Newton steps."""
     x = np.c_[np.ones(len(x)), x]
@@ -45,11 +51,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return weights
 
 
-def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin that parts the labels with the highest F1."""
+def best_cut(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The margin that parts the labels with the highest F1; ``weight`` is how many rows a sampled row stands for."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(-margin, kind="stable")
-    hits = np.cumsum(y[order])
-    score = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+    hits = np.cumsum((y * weight)[order])
+    score = 2 * hits / (np.cumsum(weight[order]) + max(1, (y * weight).sum()))
     at = int(np.argmax(score))
     following = margin[order[at + 1]] if at + 1 < len(y) else margin[order[at]] - 1
     return float((margin[order[at]] + following) / 2)
