@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, substring_dedup
+from folioframe.llm import circulant_minhash, compression_toxicity, exact_dedup, line_spread, substring_dedup
 from folioframe.llm.fitting import fold
 
 
@@ -33,6 +33,38 @@ SELECT d.doc_id, len(w) AS n_words, len(coalesce(g, [])) AS n_removed,
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_boilerplate(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "text"
+    )
+
+
+OP3_SQL = """
+WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents WHERE source IS NOT NULL),
+wide AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT list(line) AS gone FROM wide),
+k AS (SELECT doc_id, text, lines,
+      list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), trim(x))) AS kept FROM d, w)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_removed,
+       array_to_string(kept, chr(10)) AS text
+FROM k
+"""
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                           'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = compression_toxicity.train(docs, labels, fold("doc_id", 3) != 1)
@@ -72,11 +104,15 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_line_spread": op3_line_spread,
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
+    "op3_line_spread": OP3_SQL,
+    "op7_exact_dedup": OP7_SQL,
     "op10_circulant_minhash": OP10_SQL,
 }
