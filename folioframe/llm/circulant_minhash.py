@@ -5,10 +5,11 @@ coordinates: the first one spreads the shingles over the ring of 2**32 places, t
 gives coordinate ``k``; the coordinate is the smallest value over the set. Bands of ``ROWS`` coordinates are the
 bucket keys. With 52 bands of 5 rows a pair at similarity 0.75 shares no bucket with probability 8e-7.
 
-Nothing enumerates the pairs of a bucket. Equal sets count once. Each round pairs the members of a bucket with one
-leader, verifies the pairs on full sets and merges what is linked; a bucket whose members are all connected is
-finished. Rounds go on, each with other leaders, while that leaves fewer pairs to look at; the pairs of the
-components that are still apart inside a bucket are then verified one by one, so no link is lost.
+Nothing enumerates the pairs of a bucket. Equal sets count once. The members of a bucket are paired with one leader, the
+pairs are verified on full sets and what is linked is merged; a bucket whose members are all connected is finished.
+What is left lies near the threshold without reaching it. Overlapping buckets are teamed up, their members are dealt
+to blocks of a fixed size, and every two blocks give the intersection sizes of all their sets at once, so that no task
+holds more than two blocks, only links are output and no link is lost.
 """
 
 from __future__ import annotations
@@ -205,51 +206,98 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-# A round is worth its jobs while more than this many pairs for each member are left to look at.
-PAIRS_PER_ROW = 2
-
-
 def _links(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links that connect all that is similar within a bucket."""
-    apart = shared.withColumn("comp", F.col("node"))
-    links, before = None, None
+    leader = shared.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"))
+    leader = leader.select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
     sized = 100 * F.least("n", "m") >= 75 * F.greatest("n", "m")
-    turn = 0
-    while True:
-        counts = apart.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        buckets = counts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        left, members = buckets.agg(
-            F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.sum("all")
-        ).first()
-        if not left:
-            return links
-        last = left <= PAIRS_PER_ROW * members or (before is not None and left > 0.5 * before)
-        if last:
-            other = apart.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = apart.join(other, (apart["key"] == other["key"]) & (F.col("comp") < F.col("other")) & sized)
-        else:
-            # Members of one component are led together; the leader's component differs from turn to turn.
-            order = F.xxhash64("comp", F.lit(turn)) if turn else F.col("node")
-            leader = apart.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("l"))
-            leader = leader.select(
-                "key", F.col("l.node").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("other")
-            )
-            pairs = apart.join(leader, "key").filter((F.col("comp") != F.col("other")) & sized)
-        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = materialize(_checked(pairs, texts))
-        links = found if links is None else links.union(found)
-        if last:
-            return links
-        components = connected_components(links)
-        following = (
-            shared.join(components, "node", "left")
-            .select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-        )
-        split = following.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-        following = materialize(
-            following.join(split.filter(F.col("x") < F.col("y")).select("key"), "key", "left_semi")
-        )
-        discard(components)
-        if apart is not shared and turn:
-            discard(apart)
-        apart, before, turn = following, left, turn + 1
+    pairs = shared.join(leader, "key").filter((F.col("node") != F.col("b")) & sized)
+    links = materialize(_checked(pairs.select(F.col("b").alias("a"), F.col("node").alias("b")).distinct(), texts))
+    components = connected_components(links)
+    merged = shared.join(components, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("comp")
+    )
+    split = merged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    apart = materialize(merged.join(split.filter(F.col("x") < F.col("y")).select("key"), "key", "left_semi"))
+    if apart.isEmpty():
+        return links
+    blocks = _blocks(apart).join(texts, F.col("node") == F.col("doc_id"))
+    found = blocks.groupBy("team", "low", "high").applyInArrow(_compare, "a long, b long")
+    return links.union(materialize(found))
+
+
+# Members of a block; a task compares two blocks at a time.
+BLOCK = 256
+
+
+def _blocks(apart: DataFrame) -> DataFrame:
+    """(team, low, high, node, comp, own): every two members of a bucket meet in at least one pair of blocks.
+
+    Buckets that overlap are one team, whose members are dealt to blocks. Where the team would need more copies of its
+    members than its buckets one by one (long chains of small buckets), the buckets are the teams.
+    """
+    first = apart.groupBy("key").agg(F.min("node").alias("head"))
+    edges = apart.join(first, "key").filter(F.col("node") != F.col("head")).select("node", "head").distinct()
+    chained = connected_components(edges)
+    placed = apart.join(chained, "node", "left").withColumn("team", F.coalesce("component", "node")).drop("component")
+    pieces = F.ceil(F.col("c") / BLOCK)
+    whole = placed.groupBy("team").agg(F.countDistinct("node").alias("c")).select("team", (F.col("c") * pieces).alias("once"))
+    each = (
+        placed.groupBy("team", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("team").agg(F.sum(F.col("c") * pieces).alias("apiece"))
+    )
+    choice = whole.join(each, "team").select("team", (F.col("apiece") < F.col("once")).alias("single"))
+    named = (
+        placed.join(choice, "team")
+        .select(F.struct("single", F.when(F.col("single"), F.col("key")).otherwise(F.col("team"))).alias("team"), "node", "comp")
+        .distinct()
+    )
+    named = materialize(named)
+    sizes = named.groupBy("team").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    return (
+        named.join(sizes, "team")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("team", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "node", "comp", "own")
+    )
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Similar pairs of different components, from intersection sizes of all sets of two blocks at once."""
+    node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    done = 0
+    for rows in arrays.batches(table.select(["packed"]), 1 << 20):
+        for piece in arrays.pieces(arrays.unpack(rows.column("packed")), lower=True):
+            doc, shingles = shingle_sets(piece)
+            docs.append(doc + piece.first_row + done)
+            found.append(shingles)
+        done += len(rows)
+    doc, shingles = np.concatenate(docs), np.concatenate(found)
+    size = np.bincount(doc, minlength=len(node))
+    order = np.argsort(shingles, kind="stable")
+    doc, shingles = doc[order], shingles[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = shingles[1:] != shingles[:-1]
+    number = np.cumsum(new) - 1
+    several = np.bincount(number)[number] > 1
+    doc, number = doc[several], number[several]
+    number = np.cumsum(np.diff(number, prepend=-1) != 0) - 1
+    first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    row_a, row_b = np.full(len(node), -1), np.full(len(node), -1)
+    row_a[first], row_b[second] = np.arange(len(first)), np.arange(len(second))
+    common = np.zeros((len(first), len(second)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        span = slice(*np.searchsorted(number, [at, at + 4096]))
+        sides = []
+        for rows, count in ((row_a, len(first)), (row_b, len(second))):
+            side = np.zeros((count, 4096), np.float32)
+            use = rows[doc[span]] >= 0
+            side[rows[doc[span]][use], number[span][use] - at] = 1
+            sides.append(side)
+        common += sides[0] @ sides[1].T
+    common = common.astype(np.int64)
+    union = size[first][:, None] + size[second][None, :] - common
+    a, b = np.nonzero((100 * common >= 75 * union) & (comp[first][:, None] != comp[second][None, :]))
+    a, b = node[first[a]], node[second[b]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
