@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, exact_dedup, line_spread, substring_dedup
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, substring_dedup
 from folioframe.llm.fitting import fold
 
 
@@ -65,6 +65,45 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
+    return mixed.withColumns(
+        {"target": F.round("target", 3), "first_position": F.round("first_position", 6)}
+    ).drop("source", "second_position")
+
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, (place % 3) AS pattern, [3.0, 1.0, 2.0][(place % 3) + 1]::DOUBLE AS weight FROM s),
+r AS (SELECT *, 2.0 * source_size / weight AS ratio,
+             1.5 * sum(source_size) OVER () AS total FROM w),
+c AS (SELECT *, coalesce(sum(2.0 * source_size) OVER b, 0) AS full_before,
+             sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS free_weight
+      FROM r WINDOW b AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((total - full_before) / free_weight, (ratio, place)) AS level FROM c
+      WHERE (total - full_before) / free_weight <= ratio),
+t AS (SELECT source, source_size, pattern, least(weight * level, 2.0 * source_size) AS target FROM w, l),
+p AS (SELECT doc_id, size, source_size, target, pattern,
+             (sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, greatest(least(floor(target)::BIGINT - before, size), 0) AS once,
+             greatest(least(floor(target)::BIGINT - source_size - before, size), 0) AS again,
+             before / target AS share FROM p)
+SELECT doc_id, size, source_size, round(target, 3) AS target, (once + again)::BIGINT AS taken,
+       CASE WHEN once > 0 THEN round(least(greatest(
+         CASE pattern
+           WHEN 0 THEN (sqrt(greatest(2.25 - 2 * share, 0)) - 1.5) / -1
+           WHEN 1 THEN (sqrt(0.25 + 2 * share) - 0.5) / 1
+           ELSE CASE WHEN share < 0.5 THEN sqrt(0.5625 + 2 * share) - 0.75
+                     ELSE 0.5 + (sqrt(greatest(1.5625 - 2 * (share - 0.5), 0)) - 1.25) / -1 END
+         END, 0), 1), 6) END AS first_position
+FROM k
+"""
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = compression_toxicity.train(docs, labels, fold("doc_id", 3) != 1)
@@ -106,6 +145,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_spread": op3_line_spread,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_curriculum_mix": op8_curriculum_mix,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
@@ -114,5 +154,6 @@ ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op3_line_spread": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_curriculum_mix": OP8_SQL,
     "op10_circulant_minhash": OP10_SQL,
 }
