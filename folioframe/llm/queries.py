@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, substring_dedup
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, substring_dedup, template_decontamination
 from folioframe.llm.fitting import fold
 
 
@@ -52,6 +52,12 @@ FROM k
 """
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontamination.contaminated(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -144,6 +150,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_spread": op3_line_spread,
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_compression_toxicity": op9_compression_toxicity,
