@@ -1,6 +1,7 @@
 """Benchmark decontamination on canonical templates.
 
-A text becomes a sequence of tokens (runs without white space and ASCII punctuation) in which numbers, names and units
+A text becomes a sequence of tokens (runs without white space and ASCII punctuation, lower-cased in ASCII and Latin-1)
+in which numbers, names and units
 are replaced by typed placeholders; what a placeholder stands for is its slot value. Windows of five template tokens are
 joined by hash between benchmark items and documents. An item is found in a document if at least three quarters of its
 distinct windows are, on slots that agree: one slot value of the item always stands for the same value of the document,
@@ -60,6 +61,10 @@ class Templates:
     def __init__(self, piece: arrays.Texts):
         data = piece.data
         spaced = np.where(_BREAK[data], np.uint8(0x20), arrays.LOWER[data])
+        # Latin-1 capitals are the byte 0xC3 and one of 0x80 to 0x9E, but for the multiplication sign.
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        capital = after[(spaced[after] < 0x9F) & (spaced[after] != 0x97)]
+        spaced[capital] += 0x20
         lowered = arrays.Texts(spaced, piece.offsets, piece.first_row)
         lowered.words()
         starts, ends, doc = lowered.starts, lowered.ends, lowered.doc
