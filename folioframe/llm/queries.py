@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, substring_dedup, template_decontamination
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, ppm_language, substring_dedup, template_decontamination
 from folioframe.llm.fitting import fold
 
 
@@ -52,6 +52,13 @@ FROM k
 """
 
 
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ppm_language.train(docs, fold("doc_id", 4) != 2)
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return ppm_language.identified(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontamination.contaminated(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -150,6 +157,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_spread": op3_line_spread,
+    "op4_ppm_language": op4_ppm_language,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_curriculum_mix": op8_curriculum_mix,
