@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, ppm_language, substring_dedup, template_decontamination
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, pairwise_quality, ppm_language, substring_dedup, template_decontamination
 from folioframe.llm.fitting import fold
 
 
@@ -59,6 +59,17 @@ def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identified(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = pairwise_quality.train(docs, labels, fold("doc_id", 4) != 2)
+    return pairwise_quality.scored(docs, model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontamination.contaminated(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -158,6 +169,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_spread": op3_line_spread,
     "op4_ppm_language": op4_ppm_language,
+    "op5_pairwise_quality": op5_pairwise_quality,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_curriculum_mix": op8_curriculum_mix,
