@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, pairwise_quality, ppm_language, substring_dedup, template_decontamination
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, pairwise_quality, ppm_language, substring_dedup, template_decontamination, warc
 from folioframe.llm.fitting import fold
+from folioframe.session import work_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,29 @@ SELECT d.doc_id, len(w) AS n_words, len(coalesce(g, [])) AS n_removed,
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
+def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS x FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS keep FROM h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string([
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((
+           ('0x' || x[1 + 5 * (i // 4):5 + 5 * (i // 4)])::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT]
+         FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM g
+"""
+
+
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_boilerplate(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "text"
@@ -167,6 +193,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_roundtrip": op2_warc_roundtrip,
     "op3_line_spread": op3_line_spread,
     "op4_ppm_language": op4_ppm_language,
     "op5_pairwise_quality": op5_pairwise_quality,
@@ -179,6 +206,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_warc_roundtrip": OP2_SQL,
     "op3_line_spread": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_curriculum_mix": OP8_SQL,
