@@ -1,15 +1,106 @@
-"""The corpus pipeline: every stage takes (spark, docs, sf_dir) and returns documents."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, decontamination, mixing.
+
+Every stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns documents; the last
+one adds its schedule. Rows without id pass the near-duplicate and benchmark filters.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, line_spread, template_decontamination
+from folioframe.llm.fitting import fold
+from folioframe.session import configure, work_folder
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents whose score is 0.7 or more."""
+    configure(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = compression_toxicity.train(docs, labels, fold("doc_id", 3) != 1)
+    return compression_toxicity.kept(docs, model)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove boilerplate lines from the texts; every document stays."""
+    configure(spark)
+    cleaned = line_spread.remove_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn(
+            "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        )
+    return cleaned.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group, that with the smallest id."""
+    configure(spark)
+    dropped = circulant_minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(dropped.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which a benchmark item is found."""
+    configure(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = template_decontamination.contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each reading of a document, with ``position``, ``reading`` (1 or 2) and ``taken`` words."""
+    configure(spark)
+    mixed = curriculum.mix(docs).filter(F.col("taken") > 0)
+    first = F.least("taken", "size")
+    readings = mixed.select(
+        F.col("doc_id").alias("_id"),
+        F.explode(
+            F.array(
+                F.struct(F.lit(1).alias("reading"), F.col("first_position").alias("position"), first.alias("taken")),
+                F.struct(
+                    F.lit(2).alias("reading"),
+                    F.col("second_position").alias("position"),
+                    (F.col("taken") - first).alias("taken"),
+                ),
+            )
+        ).alias("r"),
+    ).filter(F.col("r.taken") > 0)
+    # Rows that share an id, or have none, share its first place in each reading.
+    readings = readings.groupBy("_id", F.col("r.reading").alias("_reading")).agg(F.min("r").alias("_r"))
+    return (
+        docs.join(readings, F.col("doc_id").eqNullSafe(F.col("_id")))
+        .select(
+            *docs.columns,
+            F.col("_r.position").alias("position"),
+            F.col("_r.reading").alias("reading"),
+            F.col("_r.taken").alias("taken"),
+        )
+        .repartitionByRange("position", "doc_id", "reading")
+        .sortWithinPartitions("position", "doc_id", "reading")
+    )
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
+# The classifier and the near-duplicate stage have no SQL; a test compares run() with the stages' brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read as the next stage's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

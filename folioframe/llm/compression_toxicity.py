@@ -103,6 +103,18 @@ def _score(model: Model, gain: np.ndarray, doc: np.ndarray, n: int) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(margin - model.cut + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
+def _scores(model: Model | None, first, second, column: pa.Array) -> np.ndarray:
+    values = [np.zeros(0)]
+    for piece in arrays.pieces(column, lower=True):
+        if model is None:
+            values.append(np.zeros(piece.n))
+            continue
+        out, segments, doc = windows(piece)
+        gain = _lengths(first, out, segments) - _lengths(second, out, segments)
+        values.append(_score(model, gain, doc, piece.n))
+    return np.concatenate(values)
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """Every ``GRAM`` bytes as a number; 0 where a space stands inside."""
     n = max(0, len(data) - GRAM + 1)
@@ -222,18 +234,22 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def score(batches):
         first, second = (_press(model.ordinary), _press(model.toxic)) if model else (None, None)
         for batch in batches:
-            values = [np.zeros(0)]
-            for piece in arrays.pieces(batch.column("text"), lower=True):
-                if model is None:
-                    values.append(np.zeros(piece.n))
-                    continue
-                out, segments, doc = windows(piece)
-                gain = _lengths(first, out, segments) - _lengths(second, out, segments)
-                values.append(_score(model, gain, doc, piece.n))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(values), pa.float64())], ["doc_id", "score"]
-            )
+            scores = _scores(model, first, second, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         score, "doc_id long, score double"
     )
+
+
+def kept(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores less than ``CUT``; rows are judged where they are."""
+    names = docs.columns
+    schema = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names])
+
+    def keep(batches):
+        first, second = (_press(model.ordinary), _press(model.toxic)) if model else (None, None)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, first, second, batch.column("text")) < CUT))
+
+    return schema.mapInArrow(keep, schema.schema)
