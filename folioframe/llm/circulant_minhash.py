@@ -81,7 +81,6 @@ def band_keys(doc: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _signatures(batches):
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for piece in arrays.pieces(batch.column("text"), lower=True):
             doc, shingles = shingle_sets(piece)
             sizes = np.bincount(doc, minlength=piece.n)
@@ -100,7 +99,7 @@ def _signatures(batches):
                 )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[piece.first_row : piece.first_row + piece.n], pa.int64()),
+                    batch.column("doc_id").slice(piece.first_row, piece.n),
                     pa.array(sizes, pa.int64()),
                     pa.array(digest[:, 0].view(np.int64)),
                     pa.array(digest[:, 1].view(np.int64)),

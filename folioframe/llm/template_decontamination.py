@@ -42,7 +42,6 @@ _UPPER = np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _SMALL = np.zeros(256, bool)
 _SMALL[0x61:0x7B] = True
-_SMALL[0x80:] = True
 _NUMBER, _NAME, _UNIT = (np.uint64(v) for v in (0x1F3D5B79, 0x2F3D5B79, 0x3F3D5B79))
 
 
@@ -74,8 +73,10 @@ class Templates:
         sums = np.concatenate([[0], np.cumsum(_END[data])])
         opening = np.ones(len(starts), bool)
         opening[1:] = (doc[1:] != doc[:-1]) | (sums[starts[1:]] > sums[ends[:-1]])
-        second = np.minimum(starts + 1, max(0, len(data) - 1))
-        name = _UPPER[data[starts]] & (ends - starts > 1) & _SMALL[data[second]] & ~opening & ~number
+        # A name is a capital and a small letter, which may be Latin-1 (0xC3 and a byte from 0xA0 on).
+        second, third = (data[np.minimum(starts + k, max(0, len(data) - 1))] for k in (1, 2))
+        small = _SMALL[second] | ((second == 0xC3) & (third >= 0xA0))
+        name = _UPPER[data[starts]] & (ends - starts > 1) & small & ~opening & ~number
         # Numbers that follow each other (a decimal fraction, a grouped number) are one slot.
         again = np.zeros(len(starts), bool)
         again[1:] = number[1:] & number[:-1] & (doc[1:] == doc[:-1])
