@@ -144,8 +144,14 @@ def _typical(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
     """Byte sequences found in many more toxic than ordinary documents."""
 
     def counted(texts):
-        parts = [np.unique(_grams(t)) for t in texts]
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+        gram, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # A few texts at a time, so that only distinct sequences are held.
+        for at in range(0, len(texts), 50):
+            parts = [np.unique(_grams(t)) for t in texts[at : at + 50]]
+            new, count = np.unique(np.concatenate(parts), return_counts=True)
+            gram, place = np.unique(np.concatenate([gram, new]), return_inverse=True)
+            often = np.bincount(place, weights=np.concatenate([often, count]), minlength=len(gram)).astype(np.int64)
+        return gram, often
 
     gram, often = counted(toxic)
     other, count = counted(ordinary)
