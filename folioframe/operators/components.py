@@ -41,7 +41,7 @@ def _is_finished(edges: DataFrame) -> bool:
     return forked.union(chained).isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that is not itself the smallest of its component.
 
     ``edges`` has two columns of one orderable type. Each round applies the large-star and
@@ -56,11 +56,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .filter(F.col("hi") != F.col("lo"))
         .distinct()
     )
-    for _ in range(max_rounds):
+    while True:
         following = materialize(_small_star(_large_star(current)))
         discard(current)
         current = following
         if _is_finished(current):
             result = current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
             return same_table(result, current)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -9,6 +9,7 @@ from folioframe.functions.fields import has_items
 from folioframe.functions.identifiers import lookup_query
 from folioframe.functions.text import author_sort_key, similarity, title_sort_key, tokens
 from folioframe.operators.overrides import status_column
+from folioframe.operators.provenance import as_records
 from folioframe.operators.similarity import containing_titles, title_words
 from folioframe.schemas import (
     CANDIDATE_FIELDS,
@@ -32,7 +33,8 @@ def provider_order(setting: str, providers: list[str] = DEFAULT_PROVIDER_ORDER)
 
 def source_rank(source: Column, order: list[str]) -> Column:
     """Position of a source in the provider order; unknown sources are null."""
-    return F.array_position(F.array(*[F.lit(name) for name in order]), source).cast("int")
+    place = F.array_position(F.array(*[F.lit(name) for name in order]), source)
+    return F.nullif(place, F.lit(0)).cast("int")
 
 
 def queries(entities: DataFrame) -> DataFrame:
@@ -262,6 +264,38 @@ def apply_candidates(
     return result.withColumns({c: v for c, v in derived.items() if c in entities.columns})
 
 
+def applied_provenance(applied: DataFrame, now: Column | None = None) -> DataFrame:
+    """Provenance records of ``apply_candidates``: one for every field that it set."""
+    touched = applied.select("id", F.col("changed").alias("fields"), "changed_source")
+    return as_records(
+        touched, F.col("changed_source"), F.current_timestamp() if now is None else now
+    )
+
+
+def apply_decisions(
+    entities: DataFrame,
+    decisions: DataFrame,
+    candidates: DataFrame,
+    manual_fields: DataFrame,
+    policy: str = "fill_empty",
+    now: Column | None = None,
+) -> DataFrame:
+    """``apply_candidates`` with the candidates a person chose from the review queue.
+
+    ``decisions`` has entity_id and candidate_id; a null candidate_id is a rejection and changes
+    nothing, nor does a candidate that was never offered to the entity. Of several decisions on one
+    entity the one with the largest candidate_id counts.
+    """
+    chosen = (
+        decisions.filter(F.col("candidate_id").isNotNull())
+        .groupBy("entity_id")
+        .agg(F.max("candidate_id").alias("candidate_id"))
+    )
+    offered = candidates.filter(F.col("error").isNull()).dropDuplicates(["entity_id", "candidate_id"])
+    rows = offered.drop("error").join(chosen, ["entity_id", "candidate_id"], "left_semi")
+    return apply_candidates(entities, rows, manual_fields, policy, now)
+
+
 def review_queue(
     entities: DataFrame, decisions: DataFrame, candidates: DataFrame, order: list[str] = DEFAULT_PROVIDER_ORDER
 ) -> DataFrame:

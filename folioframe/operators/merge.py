@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.fields import has_items
-from folioframe.operators.ranking import collect_in_parts
 from folioframe.schemas import EDIT_FIELDS, FILL_FIELDS
 
 
@@ -56,13 +55,15 @@ def elect_owner(members: DataFrame, group: str, owner: str) -> DataFrame:
     )
 
 
-def concat_notes(
-    records: DataFrame, keys: list[str], note: str, order: list[str], max_items: int = 100_000
-) -> DataFrame:
-    """(keys, part, notes): notes joined by ``; `` in order; keys without notes have no row."""
+def concat_notes(records: DataFrame, keys: list[str], note: str, order: list[str]) -> DataFrame:
+    """(keys, notes): all notes joined by ``; `` in order; keys without notes have no row.
+
+    The result is one text value, so all notes of a key meet in one row whatever the plan.
+    """
+    entry = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(note).alias("note"))
+    notes = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["note"])
     present = records.filter(F.col(note).isNotNull())
-    parts = collect_in_parts(present, keys, F.col(note), order, "_notes", max_items)
-    return parts.select(*keys, "part", F.array_join("_notes", "; ").alias("notes"))
+    return present.groupBy(*keys).agg(F.array_join(notes, "; ").alias("notes"))
 
 
 def fill_empty(

@@ -18,12 +18,13 @@ def number_rows(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
     the sizes of the partitions before it. The numbered table is written once, because range
     bounds must not be computed a second time. Only the per-partition sizes reach the driver.
     """
-    ranged = (
-        df.repartitionByRange(*[F.col(c) for c in order])
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-    )
-    table = materialize(ranged)
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    return number_in_order(ranged, name, start)
+
+
+def number_in_order(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Consecutive numbers from ``start + 1`` in the order that the rows of ``df`` have."""
+    table = materialize(df.withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", _ROW_BITS).cast("int")
     sizes = {r["part"]: r["count"] for r in table.groupBy(part.alias("part")).count().collect()}
     before, seen = [], start
@@ -75,29 +76,18 @@ def collect_in_parts(
     item: Column,
     order: list[str],
     name: str,
-    max_items: int = 100_000,
+    page_items: int = 100_000,
 ) -> DataFrame:
-    """Ordered list of ``item`` per key, as (keys, part, list).
+    """Ordered lists of ``item`` per key, as (keys, part, list).
 
-    A group of up to ``max_items`` rows is one list in part 0. A larger group is spread over as
-    many parts as it needs by a hash of its order columns, so nothing is dropped and no task ever
-    holds a whole oversized group; every part is ordered in itself.
+    Every group is cut into pages of ``page_items`` consecutive items: part 0 holds the first ones,
+    part 1 the next. Put together by part, the lists are the whole group in ``order``, and no task
+    holds more than a page.
     """
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > max_items)
-        .withColumn("_parts", F.ceil(F.col("_rows") / max_items))
-        .drop("_rows")
-    )
-    part = F.when(
-        F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*order), F.col("_parts"))
-    ).otherwise(0)
-    entry = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], item.alias("item"))
+    entry = F.struct(F.col("_place").alias("place"), item.alias("item"))
     return (
-        df.join(large, keys, "left")
-        .withColumn("part", part.cast("int"))
-        .repartition(*keys, "part")
+        rank_in_group(df, keys, order, "_place")
+        .withColumn("part", F.floor((F.col("_place") - 1) / page_items).cast("int"))
         .groupBy(*keys, "part")
         .agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
         .select(*keys, "part", F.transform("_entries", lambda e: e["item"]).alias(name))

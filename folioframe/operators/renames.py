@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
-from folioframe.functions.naming import counted, render, suffix, token_values, with_legal_name
+from folioframe.functions.naming import counted, render, suffix, token_values, trim_to_bytes, with_legal_name
 from folioframe.operators.ranking import number_rows, rank_in_group
 from folioframe.schemas import DEFAULT_TEMPLATE, NAME_BYTES
 from folioframe.session import materialize
 
-# A counter takes at most this many bytes.
+# A counter takes at most this many bytes; a name with less room than that may be cut for one.
 _COUNTER_BYTES = 22
-# Names longer than this without their counters may be cut for a counter, so different names can meet.
-_LONG_BYTES = 200
 _SLOT_BLOCK = 100_000
 
 
@@ -107,16 +105,18 @@ def occupied_names(listing: DataFrame, moves: DataFrame, stays: DataFrame) -> Da
 def _with_family(df: DataFrame, name: str) -> DataFrame:
     """Add ``family``: names that can get in each other's way have one family.
 
-    A family is a name without its counters. A long name is cut before it gets a counter, so long
-    names meet by their first characters.
+    A family is a name without its counters, cut to the room that the longest counter leaves. What
+    a name is cut to for a shorter counter is a longer run of the same graphemes, so it is cut to
+    the same family; what the cut may leave of a counter is dropped.
     """
     parts = df.withColumns({"_stem": X.stem(F.col(name)), "_suffix": suffix(F.col(name))})
-    bare = F.concat(F.regexp_replace("_stem", r"( \([0-9]+\))+$", ""), F.col("_suffix"))
-    named = parts.withColumn("_bare", bare)
-    family = F.when(
-        F.octet_length("_bare") > _LONG_BYTES, F.concat(F.lit("long/"), F.substring("_bare", 1, 40))
-    ).otherwise(F.concat(F.lit("short/"), "_bare"))
-    return named.withColumn("family", family).drop("_stem", "_suffix", "_bare")
+    room = F.lit(NAME_BYTES - _COUNTER_BYTES) - F.octet_length("_suffix")
+    uncounted = F.regexp_replace(trim_to_bytes(F.col("_stem"), room), r"[ ()0-9]+$", "")
+    return parts.withColumn("family", F.concat(uncounted, F.lit("/"), "_suffix")).drop("_stem", "_suffix")
+
+
+def _may_be_cut(name: str) -> Column:
+    return F.octet_length(name) > NAME_BYTES - _COUNTER_BYTES
 
 
 def _with_parent(df: DataFrame, name: str) -> DataFrame:
@@ -153,12 +153,10 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     # Different long names can be cut to the same text, and so can names that pile up counters;
     # such families are served file by file.
     key = ["dir", "family"]
-    is_long = F.col("family").startswith("long/")
-    cut = F.max(F.octet_length("base")) > NAME_BYTES - _COUNTER_BYTES
     several = (
         bases.groupBy(*key)
-        .agg(F.min("base").alias("low"), F.max("base").alias("high"), cut.alias("cut"))
-        .filter(F.when(is_long, F.col("low") != F.col("high")).otherwise(F.col("cut")))
+        .agg(F.min("base").alias("low"), F.max("base").alias("high"), F.bool_or(_may_be_cut("base")).alias("cut"))
+        .filter(F.col("cut") & (F.col("low") != F.col("high")))
         .select(*key, F.lit(True).alias("several"))
     )
     in_order = not several.isEmpty()
@@ -186,14 +184,12 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
 
 def _present_slots(taken: DataFrame, bases: DataFrame) -> DataFrame:
     """(dir, base, slot): slots of proposed names that are blocked by names that are present."""
-    is_long = F.col("family").startswith("long/")
     names = bases.select("dir", "base")
     same = taken.withColumnRenamed("taken", "base").join(names, ["dir", "base"], "left_semi")
-    counters = _with_parent(taken.filter(~is_long), "taken").withColumnRenamed("parent", "base")
-    # A long family in ``bases`` has one name, whose counters are cut forms of it.
+    counters = _with_parent(taken, "taken").withColumnRenamed("parent", "base")
+    # A name that may be cut is the only one of its family; its counters are cut forms of it.
     cut = (
-        taken.filter(is_long)
-        .join(bases.filter(is_long).select("dir", "family", "base"), ["dir", "family"])
+        taken.join(bases.filter(_may_be_cut("base")).select("dir", "family", "base"), ["dir", "family"])
         .filter(F.col("taken") != F.col("base"))
         .withColumns(
             {
@@ -217,8 +213,7 @@ def _present_slots(taken: DataFrame, bases: DataFrame) -> DataFrame:
 
 def _contests(bases: DataFrame) -> DataFrame:
     """(dir, base, slot, child, first_path): proposed names that are a counter of another one."""
-    short = bases.filter(F.col("family").startswith("short/"))
-    children = _with_parent(short, "base").select(
+    children = _with_parent(bases, "base").select(
         "dir", "parent", "slot", F.col("base").alias("child"), "first_path"
     )
     return children.join(

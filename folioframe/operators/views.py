@@ -45,20 +45,19 @@ FILE_FIELDS = ["path", "format", "size_bytes", "modified_at", "missing"]
 
 
 def files_by_entity(
-    members: DataFrame, item: Column | None = None, max_files: int = 100_000
+    members: DataFrame, item: Column | None = None, page_files: int = 100_000
 ) -> DataFrame:
-    """(id, part, files): ordered file structs; only entities with more than ``max_files`` files
-    have more than one part."""
+    """(id, part, files): file structs in path order, in pages of ``page_files`` files."""
     item = F.struct(*FILE_FIELDS) if item is None else item
     renamed = members.withColumn("_entity", F.col("book_id"))
-    return collect_in_parts(renamed, ["_entity"], item, ["path"], "files", max_files).select(
+    return collect_in_parts(renamed, ["_entity"], item, ["path"], "files", page_files).select(
         F.col("_entity").alias("id"), "part", "files"
     )
 
 
-def load_catalog(entities: DataFrame, members: DataFrame, max_files: int = 100_000) -> DataFrame:
-    """Entities with their files, ordered by sort title; without files the list is empty."""
-    files = files_by_entity(members, max_files=max_files)
+def load_catalog(entities: DataFrame, members: DataFrame, page_files: int = 100_000) -> DataFrame:
+    """Entities with their pages of files, ordered by sort title; without files one empty page."""
+    files = files_by_entity(members, page_files=page_files)
     empty = F.array().cast(files.schema["files"].dataType)
     return (
         entities.join(files, "id", "left")

@@ -23,6 +23,7 @@ from folioframe.operators import (
     snapshot,
     views,
 )
+from folioframe.operators.ranking import number_in_order
 from folioframe.plans import sql_text as S
 from folioframe.plans import stand_ins as V
 from folioframe.plans.refresh import Catalog, refresh_catalog
@@ -533,7 +534,7 @@ def merge_metadata(spark, d):
 
 
 @query(
-    f"WITH m AS ({S.TURNS}) SELECT entity_id, 0 AS part, string_agg(parse_error_note, '; ' ORDER BY turn) AS notes "
+    f"WITH m AS ({S.TURNS}) SELECT entity_id, string_agg(parse_error_note, '; ' ORDER BY turn) AS notes "
     "FROM m WHERE parse_error_note IS NOT NULL GROUP BY entity_id"
 )
 def concat_notes(spark, d):
@@ -980,6 +981,37 @@ def match_decision(spark, d):
     return matching.decide(*page_candidates(spark, d))
 
 
+@query(
+    PAGE_MATCH + ", renamed AS (SELECT * REPLACE (CASE WHEN candidate_id LIKE '%3' THEN 'my_catalog' ELSE source END AS "
+    "source) FROM found), a AS (SELECT *, CASE source WHEN 'open_library' THEN 1 WHEN 'google_books' THEN 2 END AS place "
+    "FROM renamed WHERE source IN ('open_library', 'google_books') QUALIFY place = min(place) OVER (PARTITION BY entity_id)) "
+    "SELECT entity_id, candidate_id, source, row_number() OVER w AS rank, similarity - coalesce(lead(similarity) OVER w, 0) "
+    "AS margin FROM a WINDOW w AS (PARTITION BY entity_id ORDER BY similarity DESC, candidate_id)"
+)
+def rank_reordered(spark, d):
+    """Another order of the sources; candidates of a source outside it are left out."""
+    _, found = page_candidates(spark, d)
+    renamed = found.withColumn(
+        "source", F.when(F.col("candidate_id").endswith("3"), "my_catalog").otherwise(F.col("source"))
+    )
+    best = matching.first_answering_source(renamed, matching.provider_order("nobody, open_library"))
+    return matching.rank_candidates(best).select("entity_id", "candidate_id", "source", "rank", "margin")
+
+
+@query(
+    PART_MATCH + "SELECT CASE WHEN entity_id % 3 = 0 THEN 'failed' ELSE outcome END AS outcome, count(*) AS n "
+    "FROM decided GROUP BY ALL"
+)
+def outcome_failed(spark, d):
+    """A third of the lookups end in an error of every source."""
+    _, queries, found = part_candidates(spark, d)
+    lost = queries.filter("entity_id % 3 = 0").select(
+        "entity_id", F.explode(F.array(*map(F.lit, schemas.DEFAULT_PROVIDER_ORDER))).alias("source"), F.lit("timeout").alias("error")
+    )
+    rows = found.filter("entity_id % 3 <> 0").unionByName(providers.failed_lookups(lost), allowMissingColumns=True)
+    return matching.outcome_counts(matching.decide(queries, rows))
+
+
 @query(PART_MATCH + "SELECT outcome, count(*) AS n FROM decided GROUP BY outcome")
 def outcome_counts(spark, d):
     _, queries, found = part_candidates(spark, d)
@@ -1015,15 +1047,44 @@ def apply_sql(policy: str) -> str:
     )
 
 
-def applied(spark, d, policy):
+APPLY_PARTS = apply_sql("fill_empty").rpartition(" SELECT e.id, ")
+DECIDED_PARTS = apply_sql("overwrite").replace("FROM decided d JOIN", "FROM ranked d JOIN").replace(
+    "WHERE outcome = 'applied')", "WHERE d.rank = 2)"
+)
+
+
+@query(
+    APPLY_PARTS[0] + ", done AS (SELECT e.id, " + APPLY_PARTS[2] + ") SELECT done.id AS book_id, "
+    "unnest(string_split(changed, '|')) AS field, d.source FROM done JOIN decided d ON d.entity_id = done.id WHERE changed <> ''"
+)
+def apply_provenance(spark, d):
+    return matching.applied_provenance(applied_rows(spark, d, "fill_empty")).select("book_id", "field", "source")
+
+
+@query(DECIDED_PARTS)
+def apply_decisions(spark, d):
+    """A person takes the second candidate wherever there is one."""
+    entity, queries, found = part_candidates(spark, d)
+    ranked = matching.rank_candidates(matching.first_answering_source(found, schemas.DEFAULT_PROVIDER_ORDER))
+    chosen = ranked.filter("rank = 2").select("entity_id", "candidate_id")
+    rejected = queries.select("entity_id", V.null("string").alias("candidate_id"))
+    rows = matching.apply_decisions(entity, chosen.union(rejected), found, part_manual(entity), "overwrite")
+    return rows.select("id", "title", joined("authors"), *APPLY, joined("changed"))
+
+
+def part_manual(entity):
+    return entity.filter(F.col("p_size") > 25).select("id", F.array(F.lit("title"), F.lit("year")).alias("manual_fields"))
+
+
+def applied_rows(spark, d, policy):
     entity, queries, found = part_candidates(spark, d)
     decisions = matching.decide(queries, found).filter(F.col("outcome") == "applied")
     chosen = found.drop("error").join(decisions.select("entity_id", "candidate_id"), ["entity_id", "candidate_id"])
-    manual = entity.filter(F.col("p_size") > 25).select(
-        "id", F.array(F.lit("title"), F.lit("year")).alias("manual_fields")
-    )
-    rows = matching.apply_candidates(entity, chosen, manual, policy)
-    return rows.select("id", "title", joined("authors"), *APPLY, joined("changed"))
+    return matching.apply_candidates(entity, chosen, part_manual(entity), policy)
+
+
+def applied(spark, d, policy):
+    return applied_rows(spark, d, policy).select("id", "title", joined("authors"), *APPLY, joined("changed"))
 
 
 @query(apply_sql("fill_empty"))
@@ -1286,15 +1347,23 @@ def review_chips(spark, d):
 def sorted_query(by: str, ascending: bool):
     def run(spark, d):
         view = views.catalog_view(*order_catalog(spark, d))
-        return views.sort_view(view, by, ascending).select("id", "title_sort", "author_sort", "total_size")
+        rows = views.sort_view(view, by, ascending).select("id", "title_sort", "author_sort", "total_size")
+        return number_in_order(rows, "position")
 
     return run
 
 
-for _by, _ascending in [("title", True), ("author", False), ("year", True), ("date_added", False), ("size", True)]:
+for _by, _ascending, _order in [
+    ("title", True, "title_sort NULLS FIRST, id"),
+    ("author", False, "author_sort DESC NULLS LAST, title_sort DESC NULLS LAST, id DESC"),
+    ("year", True, "coalesce(year, 0), title_sort NULLS FIRST, id"),
+    ("date_added", False, "created_at DESC NULLS LAST, id DESC"),
+    ("size", True, "total_size, id"),
+]:
     QUERIES[f"sorted_by_{_by}"] = sorted_query(_by, _ascending)
     ORACLE[f"sorted_by_{_by}"] = (
-        f"{S.CATALOG}, {S.FACTS} SELECT id, title_sort, author_sort, total_size FROM facts"
+        f"{S.CATALOG}, {S.FACTS} SELECT id, title_sort, author_sort, total_size, row_number() OVER (ORDER BY {_order}) "
+        "AS position FROM facts"
     )
 
 
@@ -1384,6 +1453,28 @@ def refresh_again(spark, d):
     return result.catalog.member.select("path", "book_id", "id", "missing")
 
 
+@query(RESOLVED + "SELECT f.path, f.isbn AS embedded_isbn FROM f")
+def refresh_partial(spark, d):
+    """Extraction fails for the German files in the first run; the second run reads them after all."""
+    listing, metadata = document_metadata(spark, d)
+    first = refresh_catalog(listing, metadata.filter("path NOT LIKE '/lib/de/%'"), empty_catalog(spark)).catalog
+    saved = Catalog(*[materialize(t) for t in (first.entity, first.member, first.provenance)])
+    return refresh_catalog(listing, metadata, saved).catalog.member.select("path", "embedded_isbn")
+
+
+@query(
+    RESOLVED + "SELECT f.path, 'pin' AS manual_group_id, min(f.path) OVER () AS first_path FROM f JOIN documents USING "
+    "(doc_id) WHERE documents.lang = 'fr'"
+)
+def refresh_overrides(spark, d):
+    """A person has put all French files together before the first run sees them."""
+    listing, metadata = document_metadata(spark, d)
+    pins = listing.filter("path LIKE '/lib/fr/%'").select("path", F.lit("pin").alias("manual_group_id"))
+    member = materialize(refresh_catalog(listing, metadata, empty_catalog(spark), pins).catalog.member)
+    first = member.groupBy("book_id").agg(F.min("path").alias("first_path"))
+    return member.filter("manual_group_id IS NOT NULL").join(first, "book_id").select("path", "manual_group_id", "first_path")
+
+
 @query(
     f"WITH m AS ({S.MEMBER}) SELECT book_id, '/new' || substr(path, 5) AS path, format, size_bytes, missing FROM m"
 )
@@ -1424,7 +1515,7 @@ def recheck_plan(spark, d):
 # ---- export --------------------------------------------------------------------------------
 
 
-@query(
+EXPORT_SQL = (
     f"{S.CATALOG}, m AS (SELECT book_id, string_agg(format, ';' ORDER BY format) AS formats, string_agg(path, '; ' "
     "ORDER BY path) AS files, sum(size_bytes)::BIGINT AS total FROM member GROUP BY book_id) "
     "SELECT id, 0 AS part, title, array_to_string(authors, '; ') AS authors, coalesce(series, '') AS series, "
@@ -1433,16 +1524,50 @@ def recheck_plan(spark, d):
     "AS year, '' AS language, '' AS isbn10, '' AS isbn13, coalesce(formats, '') AS formats, coalesce(files, '') AS files, "
     "coalesce(total, 0)::VARCHAR AS total_size_bytes, metadata_status, group_method FROM entity LEFT JOIN m ON id = book_id"
 )
+
+
+@query(EXPORT_SQL)
 def export_rows_csv(spark, d):
     return export.csv_rows(*order_catalog(spark, d))
 
 
-@query()
+@query(EXPORT_SQL + " WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def export_selection(spark, d):
+    chosen = V.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return export.csv_rows(*order_catalog(spark, d), scope=chosen)
+
+
+@query(
+    f"{S.CATALOG}, p AS ({S.PROVENANCE}), last AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY book_id, field "
+    "ORDER BY fetched_at DESC, event_id DESC) = 1), l AS (SELECT book_id, string_agg(field || '=' || source || '@' || "
+    "strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ'), '|' ORDER BY field) AS provenance FROM last GROUP BY book_id), "
+    "m AS (SELECT book_id, string_agg(path || '=' || format || '=' || size_bytes || '=' || missing, '|' ORDER BY path) AS files "
+    "FROM member GROUP BY book_id) SELECT id, 0 AS part, title, array_to_string(authors, '|') AS authors, metadata_status, "
+    "coalesce(files, '') AS files, coalesce(provenance, '') AS provenance FROM entity LEFT JOIN m ON m.book_id = id "
+    "LEFT JOIN l ON l.book_id = id"
+)
 def export_rows_json(spark, d):
+    """The JSON text of every row, read again."""
     entities, members = order_catalog(spark, d)
     records = provenance.latest(V.event_provenance(spark, d), ["event_id"])
     rows = export.json_rows(entities, members, records)
-    return rows.select("id", F.to_json(F.struct(*[c for c in rows.columns if c != "id"])).alias("json"))
+    fields = F.struct(*[c for c in rows.columns if c != "id"])
+    parsed = rows.select("id", F.from_json(F.to_json(fields), rows.drop("id").schema).alias("j"))
+    text = lambda *parts: F.concat(*[p.cast("string") if i % 2 == 0 else F.lit(p) for i, p in enumerate(parts)])
+    files = F.transform("j.files", lambda f: text(f["path"], "=", f["format"], "=", f["size_bytes"], "=", f["missing"]))
+    sources = F.transform(
+        F.array_sort(F.map_entries("j.provenance")),
+        lambda e: text(e["key"], "=", e["value"]["source"], "@", e["value"]["fetched_at"]),
+    )
+    return parsed.select(
+        "id",
+        "j.part",
+        "j.title",
+        F.array_join("j.authors", "|").alias("authors"),
+        "j.metadata_status",
+        F.array_join(files, "|").alias("files"),
+        F.coalesce(F.array_join(sources, "|"), F.lit("")).alias("provenance"),
+    )
 
 
 @query(f"{S.CATALOG} SELECT 1 AS schema_version, count(*) AS book_count FROM entity")

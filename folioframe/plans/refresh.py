@@ -42,33 +42,35 @@ def refresh_catalog(
     catalog: Catalog,
     overrides: DataFrame | None = None,
     now=None,
-    max_notes: int = 1000,
 ) -> Refresh:
     """New catalog version for ``listing``.
 
     ``metadata`` holds the extracted fields of added and updated files by path (other paths are
-    ignored). Members that vanished stay, marked missing. ``overrides`` (path, manual_group_id)
-    replace the tokens of the members they name.
+    ignored). A file without metadata yet keeps what was known of it and is stored as not read, so
+    that the next run reads it. Members that vanished stay, marked missing. ``overrides`` (path,
+    manual_group_id) replace the tokens of the files they name, new ones included; they and the
+    catalog are read after ``metadata`` has been written, so decisions made while files were being
+    read are respected.
     """
     now = F.current_timestamp() if now is None else now
-    member = catalog.member
+    metadata = materialize(metadata)
+    diff = snapshot_diff(listing, catalog.member)
     if overrides is not None:
         tokens = overrides.select("path", F.col("manual_group_id").alias("_token"))
-        member = (
-            member.join(tokens, "path", "left")
-            .withColumn("manual_group_id", F.coalesce("_token", "manual_group_id"))
+        diff = (
+            diff.join(tokens, "path", "left")
+            .withColumn("known_manual_group_id", F.coalesce("_token", "known_manual_group_id"))
             .drop("_token")
         )
-    diff = snapshot_diff(listing, member)
-    fresh = F.col("change").isin("added", "updated")
     extracted = metadata.withColumn("_fresh", F.lit(True))
+    fresh = F.col("fresh")
     state = materialize(
         diff.join(extracted, "path", "left")
-        .withColumn("fresh", fresh & F.coalesce("_fresh", F.lit(False)))
+        .withColumn("fresh", F.col("change").isin("added", "updated") & F.coalesce("_fresh", F.lit(False)))
         .withColumns({f: F.when(F.col("fresh"), F.col(f)) for f in [*EDIT_FIELDS, "parse_error_note"]})
         .withColumns(
             {
-                # A file that must be read again has no keys until it is.
+                # A file that has not been read keeps the keys it had.
                 "key_isbn": F.when(fresh, F.coalesce("isbn13", "isbn10")).otherwise(
                     F.col("known_embedded_isbn")
                 ),
@@ -120,13 +122,10 @@ def refresh_catalog(
         F.min_by("stem", by).alias("_stem"),
         F.bool_or("is_new").alias("_is_new"),
         F.bool_or("fresh").alias("_any_fresh"),
-        F.count("parse_error_note").alias("_n_notes"),
     )
-    noted = assigned.filter(F.col("parse_error_note").isNotNull())
-    few = noted.groupBy("entity_id").count().filter(F.col("count") <= max_notes)
-    notes = merge.concat_notes(
-        noted.join(few, "entity_id", "left_semi"), ["entity_id"], "parse_error_note", order
-    ).select(F.col("entity_id").alias("id"), F.col("notes").alias("_notes"))
+    notes = merge.concat_notes(assigned, ["entity_id"], "parse_error_note", order).select(
+        F.col("entity_id").alias("id"), F.col("notes").alias("_notes")
+    )
     groups_now = materialize(folded.join(notes, "id", "left"))
 
     guess = filename_guess(F.col("_stem"))
@@ -161,7 +160,7 @@ def refresh_catalog(
                 "group_method", "metadata_status", "title_sort", "updated_at"
             ),
             groups_now.filter(~F.col("_is_new")),
-            carry=["_method", "_is_new", "_any_fresh", "_n_notes", "_notes"],
+            carry=["_method", "_is_new", "_any_fresh", "_notes"],
             how="inner",
         )
         .withColumn(
@@ -175,10 +174,9 @@ def refresh_catalog(
     )
     columns = [
         "id", "title", "authors", "author_sort", *FILL_FIELDS, "cover_path", "created_at", "filled",
-        "_method", "_notes", "_n_notes", "_any_fresh", "_old_note", "_is_new", "_title_embedded",
+        "_method", "_notes", "_any_fresh", "_old_note", "_is_new", "_title_embedded",
         "_authors_embedded",
     ]
-    many = F.concat(F.col("_n_notes").cast("string"), F.lit(" parse notes"))
     rows = materialize(
         created_rows.select(*columns)
         .unionByName(kept_rows.select(*columns))
@@ -189,9 +187,9 @@ def refresh_catalog(
                 "metadata_status": status_column(),
                 "updated_at": now,
                 # A run that read no file of an entity again has nothing to say about its note.
-                "parse_error_note": F.when(~F.col("_any_fresh"), F.col("_old_note"))
-                .when(F.col("_n_notes") > max_notes, many)
-                .otherwise(F.col("_notes")),
+                "parse_error_note": F.when(~F.col("_any_fresh"), F.col("_old_note")).otherwise(
+                    F.col("_notes")
+                ),
             }
         )
     )
@@ -233,13 +231,15 @@ def refresh_catalog(
 def upsert_members(assigned: DataFrame, current: DataFrame) -> DataFrame:
     """New member table: known rows updated, new rows numbered, vanished rows marked missing."""
     listed = F.col("change") != "missing"
+    # What has not been read keeps the size and time it was last read with, or none.
+    read = F.col("fresh") | (F.col("change") == "unchanged")
     rows = assigned.select(
         F.col("known_id").alias("id"),
         F.col("entity_id").alias("book_id"),
         "path",
         "format",
-        F.when(listed, F.col("size_bytes")).otherwise(F.col("known_size_bytes")).alias("size_bytes"),
-        F.when(listed, F.col("modified_at")).otherwise(F.col("known_modified_at")).alias("modified_at"),
+        F.when(read, F.col("size_bytes")).otherwise(F.col("known_size_bytes")).alias("size_bytes"),
+        F.when(read, F.col("modified_at")).otherwise(F.col("known_modified_at")).alias("modified_at"),
         (~listed).alias("missing"),
         F.col("known_manual_group_id").alias("manual_group_id"),
         F.col("key_isbn").alias("embedded_isbn"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import iso_timestamp, number_text
+from folioframe.functions.text import csv_field, iso_timestamp, number_text
 from folioframe.operators.provenance import field_map
 from folioframe.operators.views import files_by_entity
 
@@ -22,12 +22,12 @@ JSON_FIELDS = [
 
 
 def json_rows(
-    entities: DataFrame, members: DataFrame, provenance: DataFrame, max_files: int = 100_000
+    entities: DataFrame, members: DataFrame, provenance: DataFrame, page_files: int = 100_000
 ) -> DataFrame:
     """Nested export rows; null fields are left out by the writer.
 
-    An entity with more than ``max_files`` files is exported as several objects that repeat its
-    fields and carry different ``files``; ``part`` numbers the objects after the first.
+    ``files`` comes in pages of ``page_files`` files in path order, numbered by ``part`` from 0; the
+    objects of one entity repeat its other fields.
     """
     file = F.struct(
         "path",
@@ -36,7 +36,7 @@ def json_rows(
         iso_timestamp(F.col("modified_at")).alias("modified_date"),
         "missing",
     )
-    files = files_by_entity(members, file, max_files)
+    files = files_by_entity(members, file, page_files)
     maps = field_map(provenance).withColumnRenamed("book_id", "id")
     empty = F.array().cast(files.schema["files"].dataType)
     return (
@@ -47,7 +47,7 @@ def json_rows(
             *JSON_FIELDS,
             "provenance",
             F.coalesce("files", empty).alias("files"),
-            F.when(F.col("part") > 0, F.col("part")).alias("part"),
+            F.coalesce("part", F.lit(0)).alias("part"),
         )
     )
 
@@ -68,30 +68,57 @@ def export_json(
     provenance: DataFrame,
     folder: str,
     exported_at: Column | None = None,
+    scope: DataFrame | None = None,
 ) -> None:
-    """Write ``folder/books`` (one object per line) and ``folder/manifest``."""
+    """Write ``folder/books`` (one object per line) and ``folder/manifest``.
+
+    ``scope`` holds the ids to export, such as a selection or the result of a filter; without it
+    everything is exported.
+    """
+    entities, members = scoped(entities, members, scope)
     json_rows(entities, members, provenance).drop("id").write.json(f"{folder}/books")
     manifest(entities, exported_at).write.json(f"{folder}/manifest")
 
 
+def scoped(entities: DataFrame, members: DataFrame, scope: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Entities with an id in ``scope`` and their members."""
+    if scope is None:
+        return entities, members
+    ids = scope.select("id").distinct()
+    own = members.join(ids.withColumnRenamed("id", "book_id"), "book_id", "left_semi")
+    return entities.join(ids, "id", "left_semi"), own.select(*members.columns)
+
+
+def _file_facts(members: DataFrame) -> DataFrame:
+    """(id, formats, total): every file's format, sorted, and the size of all files."""
+    per_format = members.groupBy(F.col("book_id").alias("id"), "format").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("size")
+    )
+    listed = F.sort_array(F.collect_list(F.struct("format", "n")))
+    repeated = F.flatten(F.transform(listed, lambda f: F.array_repeat(f["format"], f["n"].cast("int"))))
+    return per_format.groupBy("id").agg(
+        F.array_join(repeated, ";").alias("formats"), F.sum("size").alias("total")
+    )
+
+
 def csv_rows(
     entities: DataFrame,
     members: DataFrame,
     multi_value_separator: str = "; ",
-    max_files: int = 100_000,
+    page_files: int = 100_000,
+    scope: DataFrame | None = None,
 ) -> DataFrame:
     """Flat export rows with the CSV columns as text, plus id and part.
 
-    An entity with more than ``max_files`` files has several rows; each holds the size and names
-    of its own files.
+    ``files`` comes in pages of ``page_files`` names in path order, numbered by ``part`` from 0. The
+    other columns, formats and size of all files included, are the same in every row of an entity.
     """
-    item = F.struct("path", "format", F.col("size_bytes").alias("size"))
-    files = files_by_entity(members, item, max_files)
+    entities, members = scoped(entities, members, scope)
+    files = files_by_entity(members, F.col("path"), page_files)
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    formats = F.array_join(F.array_sort(F.transform("files", lambda f: f["format"])), ";")
-    total = F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["size"])
     return (
-        entities.join(files, "id", "left")
+        entities.join(_file_facts(members), "id", "left")
+        .join(files, "id", "left")
         .select(
             "id",
             F.coalesce("part", F.lit(0)).alias("part"),
@@ -104,39 +131,36 @@ def csv_rows(
             text(F.col("language")).alias("language"),
             text(F.col("isbn10")).alias("isbn10"),
             text(F.col("isbn13")).alias("isbn13"),
-            text(formats).alias("formats"),
-            text(
-                F.array_join(F.transform("files", lambda f: f["path"]), multi_value_separator)
-            ).alias("files"),
-            F.coalesce(total, F.lit(0)).cast("string").alias("total_size_bytes"),
+            text(F.col("formats")).alias("formats"),
+            text(F.array_join("files", multi_value_separator)).alias("files"),
+            F.coalesce("total", F.lit(0)).cast("string").alias("total_size_bytes"),
             F.col("metadata_status"),
             F.col("group_method"),
         )
     )
 
 
+# The row number inside a partition is in the low 33 bits of a monotonically increasing id.
+_FIRST_ROW = (1 << 33) - 1
+_MARK = "\ufeff"
+
+
 def export_csv(
     entities: DataFrame,
     members: DataFrame,
     folder: str,
     delimiter: str = ",",
     multi_value_separator: str = "; ",
+    scope: DataFrame | None = None,
 ) -> None:
-    """Write RFC 4180 CSV part files: UTF-8 with byte order mark, header, CRLF.
+    """Write RFC 4180 CSV part files: UTF-8 with byte order mark, header, CRLF after every record.
 
-    Line breaks inside quoted fields are written as CRLF as well.
+    Fields keep their own line breaks. ``scope`` holds the ids to export; without it everything is.
     """
-    rows = csv_rows(entities, members, multi_value_separator).select(*CSV_COLUMNS)
-    marked = rows.withColumnRenamed(CSV_COLUMNS[0], "﻿" + CSV_COLUMNS[0])
-    marked.write.csv(
-        folder,
-        header=True,
-        sep=delimiter,
-        quote='"',
-        escape='"',
-        emptyValue="",
-        nullValue="",
-        lineSep="\r\n",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+    rows = csv_rows(entities, members, multi_value_separator, scope=scope)
+    line = F.concat_ws(delimiter, *[csv_field(F.col(c), delimiter) for c in CSV_COLUMNS])
+    header = F.lit(_MARK + delimiter.join(CSV_COLUMNS) + "\r\n")
+    opening = F.monotonically_increasing_id().bitwiseAND(F.lit(_FIRST_ROW)) == 0
+    rows.select(F.concat(F.when(opening, header).otherwise(""), line).alias("value")).write.text(
+        folder, lineSep="\r\n"
     )

@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 import duckdb
 import pytest
 
+from folioframe.plans.catalog_queries import ORACLE, QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -23,13 +25,15 @@ def db():
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"export_rows_json"}
+    # The optional training-data queries have checks of their own.
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry.queries())
 
 
 # A cross-section; tools/check_values.py runs all of them.
 @pytest.mark.parametrize(
     "name",
-    ["normalize_key", "snapshot_diff", "merge_metadata", "candidate_match", "catalog_view", "load_catalog", "tag_fold"],
+    ["normalize_key", "snapshot_diff", "merge_metadata", "candidate_match", "catalog_view", "load_catalog", "tag_fold", "rank_reordered", "outcome_failed",
+     "apply_provenance", "apply_decisions", "export_rows_json", "export_selection", "sorted_by_author"],
 )
 def test_values(spark, db, name):
     frame = entry.queries()[name](spark, FOLDER)

@@ -31,9 +31,12 @@ def test_rank_paths_agree(spark):
 
 def test_collect_in_parts(spark):
     frame = skewed(spark)
-    rows = collect_in_parts(frame, ["k"], F.col("v"), ["v"], "vs", max_items=100).collect()
+    rows = collect_in_parts(frame, ["k"], F.col("v"), ["v"], "vs", page_items=100).collect()
     hot = [r for r in rows if r["k"] == "hot"]
-    assert len(hot) == 20 and max(len(r["vs"]) for r in hot) < 160
+    hot.sort(key=lambda r: r["part"])
+    assert [r["part"] for r in hot] == list(range(20)) and all(len(r["vs"]) == 100 for r in hot)
+    together = [v for r in hot for v in r["vs"]]
+    assert together == sorted(together)
     assert all(r["part"] == 0 for r in rows if r["k"] != "hot")
     assert all(r["vs"] == sorted(r["vs"]) for r in rows)
     assert sorted(v for r in rows for v in r["vs"]) == sorted(r["v"] for r in frame.collect())

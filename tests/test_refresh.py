@@ -180,11 +180,33 @@ def test_overrides_are_read_with_the_refresh(spark, first):
 
 
 def test_many_notes_stay_whole(spark):
-    rows = [(f"/n/book_v{i}.epub", None, [], None) for i in range(1, 4)]
+    rows = [(f"/n/{i:04d}/book.epub", None, [], None) for i in range(1, 1502)]
     notes = metadata(spark, rows).withColumn("parse_error_note", F.concat(F.lit("bad "), "path"))
     files = listing(spark, [r[0] for r in rows])
-    few = refresh_catalog(files, notes, empty(spark), now=now())
-    assert few.catalog.entity.first()["parse_error_note"] == "; ".join(f"bad {r[0]}" for r in rows)
-    many = refresh_catalog(files, notes, empty(spark), now=now(), max_notes=2)
-    assert many.catalog.entity.first()["parse_error_note"] == "3 parse notes"
-    assert many.notes.count() == 3
+    result = refresh_catalog(files, notes, empty(spark), now=now())
+    assert result.catalog.entity.first()["parse_error_note"] == "; ".join(sorted(f"bad {r[0]}" for r in rows))
+    assert result.notes.count() == len(rows)
+
+
+def test_unread_files_are_read_next_time(spark):
+    rows = [("/u/x.epub", "One", ["A"], None), ("/u/y.epub", "Two", ["B"], None)]
+    files = listing(spark, [r[0] for r in rows])
+    first = refresh_catalog(files, metadata(spark, rows[:1]), empty(spark), now=now()).catalog
+    unread = {r["path"]: r["size_bytes"] for r in first.member.collect()}
+    assert unread["/u/x.epub"] is not None and unread["/u/y.epub"] is None
+    second = refresh_catalog(files, metadata(spark, rows), first, now=now())
+    assert second.summary.first()["updated"] == 1
+    keys = {r["path"]: r["embedded_title_key"] for r in second.catalog.member.collect()}
+    assert keys == {"/u/x.epub": "one", "/u/y.epub": "two"}
+    third = refresh_catalog(files, metadata(spark, rows), second.catalog, now=now())
+    assert third.summary.first()["unchanged"] == 2
+
+
+def test_overrides_reach_new_files(spark):
+    rows = [("/o/x.epub", "One", ["A"], None), ("/o/y.epub", "Two", ["B"], None)]
+    pins = spark.createDataFrame([(r[0], "t") for r in rows], "path string, manual_group_id string")
+    result = refresh_catalog(
+        listing(spark, [r[0] for r in rows]), metadata(spark, rows), empty(spark), overrides=pins, now=now()
+    ).catalog
+    assert result.entity.count() == 1
+    assert {r["manual_group_id"] for r in result.member.collect()} == {"t"}

@@ -102,6 +102,28 @@ def test_against_greedy_simulation(spark, monkeypatch, window, seed):
     assert len({n.lower() for n in names}) == len(names)
 
 
+def test_names_cut_by_whole_clusters(spark):
+    """Cutting may drop one very long cluster, so a long name can meet a very short one."""
+    cluster = "ae" + "\u0301" * 123
+    titles = [cluster, cluster, "a", "a", cluster]
+    got = rows(plan_of(spark, titles))
+    names = [got[i][0] for i in range(1, 6)]
+    assert names == greedy([f"{t}.epub" for t in titles], []) and len(set(names)) == 5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_clusters_against_the_greedy_loop(spark, seed):
+    rng = random.Random(seed)
+    pieces = ["b", "be" + "\u0301" * 40, "c" * 60, "\U0001f468\u200d\U0001f469" * 9, "(2)", " (3)", "d"]
+    pool = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))).strip() for _ in range(25)] + ["b", "b (2)"]
+    pool = [t for t in pool if len(f"{t}.epub".encode()) <= 255]
+    titles = [rng.choice(pool) for _ in range(120)]
+    got = rows(plan_of(spark, titles))
+    names = [got[i][0] for i in range(1, len(titles) + 1)]
+    assert names == greedy([f"{t}.epub" for t in titles], [])
+    assert len({n.lower() for n in names}) == len(names)
+
+
 def test_recheck_renames_stale_rows(spark):
     plan = plan_of(spark, ["A", "B"])
     listing = spark.createDataFrame(

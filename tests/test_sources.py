@@ -165,7 +165,7 @@ def small_catalog(spark):
 def test_csv_bytes(spark, tmp_path):
     entities, members, _ = small_catalog(spark)
     export.export_csv(entities.orderBy("id").coalesce(1), members, str(tmp_path / "csv"))
-    parts = sorted((tmp_path / "csv").glob("part-*.csv"))
+    parts = sorted((tmp_path / "csv").glob("part-*"))
     data = b"".join(p.read_bytes() for p in parts)
     assert all(p.read_bytes().startswith(b"\xef\xbb\xbftitle,authors,series") for p in parts)
     text = data.decode("utf-8")
@@ -178,7 +178,7 @@ def test_csv_quotes_only_for_the_active_delimiter(spark, tmp_path):
     entities, members, _ = small_catalog(spark)
     renamed = entities.withColumn("title", F.lit("a, b"))
     export.export_csv(renamed, members, str(tmp_path / "csv"), delimiter=";")
-    text = "".join(p.read_text("utf-8-sig") for p in (tmp_path / "csv").glob("part-*.csv"))
+    text = "".join(p.read_text("utf-8-sig") for p in (tmp_path / "csv").glob("part-*"))
     assert "\na, b;" in text.replace("\r", "") and '"X Y; Z"' in text
 
 
@@ -192,19 +192,42 @@ def test_json(spark, tmp_path):
         "path": "/a.epub", "format": "epub", "size_bytes": 7, "modified_date": "2024-01-02T03:04:05Z", "missing": True,
     }
     assert first["provenance"] == {"title": {"source": "manual", "fetched_at": "2024-01-02T03:04:05Z"}}
-    assert "publisher" not in first and "part" not in first
+    assert "publisher" not in first and first["part"] == 0
     second = next(b for b in lines if b["title"] == "بوف کور")
     assert second["files"] == [] and second["authors"] == []
     manifest = [json.loads(x) for p in (tmp_path / "json" / "manifest").glob("part-*") for x in p.read_text().splitlines()]
     assert (manifest[0]["schema_version"], manifest[0]["book_count"]) == (1, 2)
 
 
-def test_large_entities_are_exported_in_parts(spark):
+def test_large_entities_are_exported_in_pages(spark):
     entities, members, records = small_catalog(spark)
-    rows = export.json_rows(entities, members, records, max_files=1).filter("id = 1").collect()
-    assert sorted(f["path"] for r in rows for f in r["files"]) == ["/a.epub", "/b.pdf"]
-    flat = export.csv_rows(entities, members, max_files=1).filter("id = 1").collect()
-    assert sum(int(r["total_size_bytes"]) for r in flat) == 12
+    rows = export.json_rows(entities, members, records, page_files=1).filter("id = 1").orderBy("part").collect()
+    assert [f["path"] for r in rows for f in r["files"]] == ["/a.epub", "/b.pdf"]
+    flat = export.csv_rows(entities, members, page_files=1).filter("id = 1").orderBy("part").collect()
+    assert [(r["files"], r["formats"], r["total_size_bytes"]) for r in flat] == [
+        ("/a.epub", "epub;pdf", "12"), ("/b.pdf", "epub;pdf", "12"),
+    ]
+
+
+def test_a_thousand_pages_have_one_shape(spark):
+    entities, members, records = small_catalog(spark)
+    one = members.filter("path = '/a.epub'")
+    many = spark.range(3000).join(one.drop("id", "path"), how="cross").select(
+        "id", *[F.format_string("/m%05d.epub", "id").alias(c) if c == "path" else F.col(c) for c in members.columns if c != "id"]
+    ).select(*members.columns)
+    flat = export.csv_rows(entities, many, page_files=3).filter("id = 1").orderBy("part").collect()
+    assert len(flat) == 1000 and {(r["formats"], r["total_size_bytes"]) for r in flat} == {
+        (";".join(["epub"] * 3000), str(7 * 3000))
+    }
+    assert "; ".join(r["files"] for r in flat) == "; ".join(f"/m{i:05d}.epub" for i in range(3000))
+
+
+def test_csv_keeps_line_breaks(spark, tmp_path):
+    entities, members, records = small_catalog(spark)
+    titled = entities.withColumn("title", F.lit("one\ntwo\r\nthree"))
+    export.export_csv(titled, members, str(tmp_path / "csv"), scope=titled.filter("id = 1"))
+    data = b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part-*"))
+    assert data.count(b'"one\ntwo\r\nthree",') == 1 and data.endswith(b"single\r\n")
 
 
 def test_snapshot_round_trip(spark, tmp_path):
