@@ -152,18 +152,25 @@ def detach_members(
     detached: DataFrame,
     next_id: int,
     now: Column,
+    pinned: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Give every path of ``detached`` an entity of its own: (entities, members, new provenance)."""
+    """Give every path of ``detached`` an entity of its own: (entities, members, new provenance).
+
+    Paths of ``pinned`` only get a token of their own. The member table is joined once.
+    """
     numbered = number_rows(detached.select("path"), ["path"], "id", start=next_id - 1)
     seeds = numbered.join(metadata, "path", "left")
     created = seed_entities(seeds, entities, now)
+    changes = numbered.select("path", F.col("id").alias("_new"), F.lit(True).alias("_own"))
+    if pinned is not None:
+        changes = changes.union(
+            pinned.select("path", F.lit(None).cast("long"), F.lit(True))
+        )
     moved = (
-        members.join(numbered.withColumnRenamed("id", "_new"), "path", "left")
+        members.join(changes, "path", "left")
         .withColumn(
             "manual_group_id",
-            F.when(F.col("_new").isNotNull(), manual_token(F.col("path"))).otherwise(
-                F.col("manual_group_id")
-            ),
+            F.when(F.col("_own"), manual_token(F.col("path"))).otherwise(F.col("manual_group_id")),
         )
         .withColumn("book_id", F.coalesce("_new", "book_id"))
         .select(*members.columns)
@@ -191,19 +198,15 @@ def ungroup(
         .agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= 2)
     )
-    affected = asked.join(groups, "book_id").select(
-        "path", (F.col("path") == F.col("first_path")).alias("stays")
-    )
+    detached = asked.join(groups, "book_id").filter(F.col("path") != F.col("first_path"))
     entities, members, created = detach_members(
-        entities, members, metadata, affected.filter(~F.col("stays")), next_id, now
-    )
-    members = (
-        members.join(affected.filter("stays").select("path", "stays"), "path", "left")
-        .withColumn(
-            "manual_group_id",
-            F.when(F.col("stays"), manual_token(F.col("path"))).otherwise(F.col("manual_group_id")),
-        )
-        .drop("stays")
+        entities,
+        members,
+        metadata,
+        detached,
+        next_id,
+        now,
+        pinned=groups.select(F.col("first_path").alias("path")),
     )
     marked = groups.select(F.col("book_id").alias("id"), F.lit(True).alias("_marked"))
     entities = (

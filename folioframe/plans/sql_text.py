@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from folioframe.functions.text import NOISE_WORDS
+# Fixed values, stated here once more so that a wrong list in the engine is noticed.
+NOISE_WORDS = [
+    "v1", "v2", "v3", "v4", "v5", "final", "draft", "ocr", "scan", "scanned", "retail", "ebook",
+    "e-book", "edition", "ed", "revised", "copy", "new", "full", "complete", "unabridged", "www",
+    "com", "org",
+]
 
 SPACE = r"[\s\p{Z}]"
 
