@@ -240,16 +240,22 @@ def _blocks(apart: DataFrame) -> DataFrame:
     chained = connected_components(edges)
     placed = apart.join(chained, "node", "left").withColumn("team", F.coalesce("component", "node")).drop("component")
     pieces = F.ceil(F.col("c") / BLOCK)
-    whole = placed.groupBy("team").agg(F.countDistinct("node").alias("c")).select("team", (F.col("c") * pieces).alias("once"))
-    each = (
-        placed.groupBy("team", "key").agg(F.count(F.lit(1)).alias("c")).groupBy("team").agg(F.sum(F.col("c") * pieces).alias("apiece"))
-    )
-    choice = whole.join(each, "team").select("team", (F.col("apiece") < F.col("once")).alias("single"))
-    named = (
-        placed.join(choice, "team")
-        .select(F.struct("single", F.when(F.col("single"), F.col("key")).otherwise(F.col("team"))).alias("team"), "node", "comp")
-        .distinct()
-    )
+    nodes = materialize(placed.select("team", "node", "comp").distinct())
+    whole = nodes.groupBy("team").agg(F.count(F.lit(1)).alias("c")).select("team", (F.col("c") * pieces).alias("once"))
+    buckets = placed.groupBy("team", "key").agg(F.count(F.lit(1)).alias("c"))
+    each = buckets.groupBy("team").agg(F.sum(F.col("c") * pieces).alias("apiece"))
+    single = materialize(whole.join(each, "team").filter(F.col("apiece") < F.col("once")).select("team"))
+    named = nodes.select(F.struct(F.lit(False).alias("single"), "team").alias("team"), "node", "comp")
+    if not single.isEmpty():
+        named = (
+            nodes.join(single, "team", "left_anti")
+            .select(F.struct(F.lit(False).alias("single"), "team").alias("team"), "node", "comp")
+            .union(
+                placed.join(single, "team", "left_semi")
+                .select(F.struct(F.lit(True).alias("single"), F.col("key").alias("team")).alias("team"), "node", "comp")
+                .distinct()
+            )
+        )
     named = materialize(named)
     sizes = named.groupBy("team").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     return (

@@ -153,6 +153,21 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("chain", [True, False])
+def test_members_of_a_bucket_meet_in_a_pair_of_blocks(spark, monkeypatch, chain):
+    """Chains of small buckets are taken one by one, buckets that overlap much as one team."""
+    monkeypatch.setattr(circulant_minhash, "BLOCK", 2)
+    buckets = [[i, i + 1] for i in range(40)] if chain else [[i for i in range(9) if i != k] for k in range(9)]
+    table = spark.createDataFrame([(k, n, n) for k, b in enumerate(buckets) for n in b], "key long, node long, comp long")
+    rows = circulant_minhash._blocks(table).collect()
+    assert {r["team"]["single"] for r in rows} == {chain}
+    held = {}
+    for r in rows:
+        held.setdefault((r["team"], r["low"], r["high"]), set()).add(r["node"])
+    assert all(any({a, b} <= own for own in held.values()) for bucket in buckets for a in bucket for b in bucket)
+    assert max(map(len, held.values())) <= 9
+
+
 def test_lines_by_distinct_sites(spark):
     rows = [(i, f"head {i}\n  Shared line \nfew\n\nown", f"s{i}") for i in range(12)]
     rows = [(i, t if i < 9 else t.replace("few", f"few{i}"), s) for i, t, s in rows]
