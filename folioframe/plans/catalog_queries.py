@@ -1214,15 +1214,15 @@ def plan_summary(spark, d):
 
 @query(
     PLAN + "SELECT file_id, '/lib/' || split_part(current_path, '/', 3) || '/' || proposed_name AS path, "
-    "row_number() OVER (ORDER BY current_path) AS journal_id FROM plan WHERE included"
+    "(SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY current_path) AS journal_id FROM plan WHERE included"
 )
 def apply_plan(spark, d):
-    """Members after a plan was applied, with the number of their journal row."""
+    """Members after a plan was applied, with the number of their journal row behind the known ones."""
     _, members, _ = part_files(spark, d)
     rows = materialize(renames.actionable(part_plan(spark, d)))
-    empty = V.event_journal(spark, d).filter(F.lit(False))
-    moved, journal = renames.apply_plan(members, empty, rows, "batch", F.current_timestamp())
-    numbers = journal.select(F.col("file_id").alias("id"), F.col("id").alias("journal_id"))
+    known = V.event_journal(spark, d)
+    moved, journal = renames.apply_plan(members, known, rows, "batch", F.current_timestamp())
+    numbers = journal.filter("batch_id = 'batch'").select(F.col("file_id").alias("id"), F.col("id").alias("journal_id"))
     return moved.join(numbers, "id").select(F.col("id").alias("file_id"), "path", "journal_id")
 
 
@@ -1258,6 +1258,20 @@ def undo_journal(spark, d):
     return flagged.select("id", "batch_id", "reverted")
 
 
+@query(
+    f"WITH {UNDO}, r AS (SELECT file_id AS id, arg_min(old_path, id) AS old_path FROM j WHERE NOT reverted AND batch_id IN "
+    "(SELECT batch_id FROM b) GROUP BY file_id) SELECT id, coalesce(old_path, '/now/' || id) AS path FROM (SELECT DISTINCT "
+    "file_id AS id FROM j) LEFT JOIN r USING (id)"
+)
+def undo_members(spark, d):
+    """Members of the last open batch go back to where they were before it."""
+    journal = V.event_journal(spark, d)
+    members = journal.select(F.col("file_id").alias("id")).distinct()
+    members = members.withColumn("path", F.concat(F.lit("/now/"), F.col("id").cast("string")))
+    restored, _ = renames.undo_last_batch(members, journal)
+    return restored
+
+
 # ---- views ---------------------------------------------------------------------------------
 
 
