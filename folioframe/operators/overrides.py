@@ -73,7 +73,8 @@ def merge_entities(
 ) -> tuple[DataFrame, DataFrame]:
     """Apply merge requests: (entities, members) with absorbed entities gone.
 
-    Members of all merged entities move to the survivor and share one token.
+    Members of all merged entities move to the survivor and share one token. Provenance of the
+    absorbed entities goes with them: ``provenance.of_entities`` keeps what belongs to the rest.
     """
     survivors = merge_survivors(entities, requests)
     targets = requests.join(

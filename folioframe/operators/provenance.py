@@ -30,6 +30,12 @@ def insert_if_absent(current: DataFrame, additions: DataFrame) -> DataFrame:
     return current.unionByName(additions.join(current, KEYS, "left_anti"))
 
 
+def of_entities(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """Records of the entities that still exist; absorbed and purged entities take theirs along."""
+    ids = entities.select(F.col("id").alias("book_id"))
+    return records.join(ids, "book_id", "left_semi").select(*records.columns)
+
+
 def as_records(changed: DataFrame, source: Column, fetched_at: Column) -> DataFrame:
     """(id, fields array) -> one record per changed field."""
     return changed.select(

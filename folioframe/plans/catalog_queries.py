@@ -632,6 +632,20 @@ def merge_entities(spark, d):
     return moved
 
 
+@query(
+    f"WITH {SCORED}, t AS (SELECT merge_id, arg_min(id, place) AS survivor FROM r GROUP BY merge_id), p AS ({S.PROVENANCE}) "
+    "SELECT event_id, book_id, field, source FROM p WHERE book_id IN (SELECT survivor FROM t)"
+)
+def merge_provenance(spark, d):
+    """What is left of the provenance when the absorbed entities are gone."""
+    entity, requests = part_merges(spark, d)
+    members = entity.select("id", F.col("id").alias("book_id"), V.null("string").alias("manual_group_id"))
+    kept, _ = overrides.merge_entities(
+        entity.drop("p_type", "p_brand", "p_size", "p_retailprice"), members, requests, F.current_timestamp()
+    )
+    return provenance.of_entities(V.event_provenance(spark, d), kept).select("event_id", "book_id", "field", "source")
+
+
 def detached_members(spark, d):
     """Orders as entities to take apart, their line items as members with own metadata."""
     entity = V.order_entities(spark, d)
