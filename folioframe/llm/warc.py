@@ -11,9 +11,10 @@ shuffled.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -199,8 +200,8 @@ def _parse(batches):
     for batch in batches:
         for content in batch.column("content").to_pylist():
             rows, held = [], 0
-            expand = zlib.decompressobj(wbits=31)
-            for headers, block in parse_records(expand.decompress(content) + expand.flush()):
+            # Every member is read, as archives mostly compress each record on its own; a truncated one raises EOFError.
+            for headers, block in parse_records(gzip.GzipFile(fileobj=io.BytesIO(content)).read()):
                 kind = headers["warc-type"]
                 name = headers["warc-record-id"]
                 number = headers.get("warc-segment-number")

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import base64
 import math
+import tempfile
 import uuid
 
 import pytest
@@ -84,6 +85,31 @@ def test_missing_segment_and_wrong_length(spark):
     assert row["problem"] == "total length differs"
 
 
+def member_per_record(spark, change=lambda data: data):
+    """The archive of some pages, written again with each record compressed on its own."""
+    at = folder(spark)
+    pages = [(i, f"http://a/{i}", f"page {i} " * 50) for i in range(20)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), at)
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(at).first()["content"]
+    members = [gzip.compress(warc._record([*((k, v) for k, v in h.items() if k != "content-length")], b))
+               for h, b in warc.parse_records(gzip.decompress(content))]
+    other = tempfile.mkdtemp()
+    with open(f"{other}/records.warc.gz", "wb") as file:
+        file.write(change(b"".join(members)))
+    return warc.read_archives(spark, other)
+
+
+def test_every_gzip_member_is_read(spark):
+    rows = member_per_record(spark).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in rows} == {i: f"page {i} " * 50 for i in range(20)}
+    assert all(r["problem"] is None for r in rows)
+
+
+def test_truncated_gzip_member_raises(spark):
+    with pytest.raises(Exception, match="EOFError"):
+        member_per_record(spark, lambda data: data[:-20]).collect()
+
+
 def test_chunked_framing():
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
