@@ -7,6 +7,10 @@ joined by hash between benchmark items and documents. An item is found in a docu
 distinct windows are, on slots that agree: one slot value of the item always stands for the same value of the document,
 so a question with other numbers and names is caught while an accidental run of placeholders is not.
 
+A capitalised word may be a name or not, at the start of a sentence as inside it, and a copy in lower case or in capitals
+shows no names at all. So such a word has two readings, a name and a plain word (or unit), and a window is joined in every
+combination of its readings; inside the item, so has every word that is a name elsewhere in it.
+
 Only the positions of a bitmap of fixed size, set by the item windows, are broadcast; it thins out the document windows
 before the join and decides nothing.
 """
@@ -55,9 +59,14 @@ _UNIT_HASHES = _hash_words(UNITS)
 
 
 class Templates:
-    """Template tokens of a piece: ``hashes`` with placeholders put in, ``slots`` (0 where there is none), ``doc``."""
+    """Template tokens of a piece: their first reading and, where ``two``, their other one.
+
+    ``readings`` has the hashes of both with placeholders put in, ``filled`` tells which are placeholders; ``values`` is
+    what a placeholder stands for, ``doc`` the document. With ``repeats`` a word that is a name elsewhere in its document
+    has two readings as well.
+    """
 
-    def __init__(self, piece: arrays.Texts):
+    def __init__(self, piece: arrays.Texts, repeats: bool = False):
         data = piece.data
         spaced = np.where(_BREAK[data], np.uint8(0x20), arrays.LOWER[data])
         # Latin-1 capitals are the byte 0xC3 and one of 0x80 to 0x9E, but for the multiplication sign.
@@ -76,13 +85,18 @@ class Templates:
         # A name is a capital and a small letter, which may be Latin-1 (0xC3 and a byte from 0xA0 on).
         second, third = (data[np.minimum(starts + k, max(0, len(data) - 1))] for k in (1, 2))
         small = _SMALL[second] | ((second == 0xC3) & (third >= 0xA0))
-        name = _UPPER[data[starts]] & (ends - starts > 1) & small & ~opening & ~number
+        capital = _UPPER[data[starts]] & (ends - starts > 1) & small & ~number
+        name = capital & ~opening
+        two = capital
+        if repeats:
+            own = arrays.mix(values) + doc.astype(np.uint64) * _NAME
+            two = two | np.isin(own, own[name]) & ~number
         # Numbers that follow each other (a decimal fraction, a grouped number) are one slot.
         again = np.zeros(len(starts), bool)
         again[1:] = number[1:] & number[:-1] & (doc[1:] == doc[:-1])
         unit = np.zeros(len(starts), bool)
         unit[1:] = number[:-1] & (doc[1:] == doc[:-1])
-        unit &= np.isin(values, _UNIT_HASHES) & ~number & ~name
+        unit &= np.isin(values, _UNIT_HASHES) & ~number
         first = np.flatnonzero(~again)
         if len(first):
             run = np.add.reduceat(arrays.mix(values), first)
@@ -90,39 +104,79 @@ class Templates:
             values_of_slots = np.where(one, values[first], run)
         else:
             values_of_slots = values
-        number, name, unit, values, doc = (x[first] for x in (number, name, unit, values, doc))
-        self.slots = np.where(number | name | unit, values_of_slots | np.uint64(1), np.uint64(0))
-        self.hashes = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, values)))
-        self.doc, self.n = doc, piece.n
+        number, name, unit, two, values, doc = (x[first] for x in (number, name, unit, two, values, doc))
+        common = np.where(number, _NUMBER, np.where(unit, _UNIT, values))
+        other = two & ~name
+        self.readings = np.where(name, _NAME, common), np.where(other, _NAME, common)
+        self.filled = number | name | unit, number | other | unit
+        self.values = values_of_slots | np.uint64(1)
+        self.two, self.doc, self.n = two, doc, piece.n
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """First token and hash of every window that holds a plain word."""
-        at = np.arange(max(0, len(self.hashes) - WINDOW + 1))
-        plain = np.concatenate([[0], np.cumsum(self.slots == 0)])
-        at = at[(self.doc[at] == self.doc[at + WINDOW - 1]) & (plain[at + WINDOW] > plain[at])]
-        return at, arrays.spans_hash(self.hashes, at, at + WINDOW)
+    def windows(self):
+        """First token, hash, hash of the first reading and placeholders of every window that holds a plain word.
+
+        The windows come in runs, one for each choice of tokens in their other reading.
+        """
+        n = len(self.doc)
+        at = np.arange(max(0, n - WINDOW + 1))
+        at = at[self.doc[at] == self.doc[at + WINDOW - 1]]
+        up, down = arrays.powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.readings[0] * up[:n], out=sums[1:])
+        change = (self.readings[1] - self.readings[0]) * up[:n]
+        span = sums[at + WINDOW] - sums[at]
+        choices = sum(self.two[at + i].astype(np.uint8) << i for i in range(WINDOW))
+        for choice in range(1 << WINDOW):
+            use = np.flatnonzero(choices & choice == choice)
+            if not len(use):
+                continue
+            filled = np.stack([self.filled[choice >> i & 1][at[use] + i] for i in range(WINDOW)], axis=1)
+            plain = ~filled.all(axis=1)
+            use, filled = use[plain], filled[plain]
+            total = span[use]
+            for i in range(WINDOW):
+                if choice >> i & 1:
+                    total = total + change[at[use] + i]
+            yield at[use], arrays.mix(total * down[at[use]]), arrays.mix(span[use] * down[at[use]]), filled
 
 
 def _rows(bitmap: np.ndarray | None):
-    """Distinct (id, window, slot values) of every text, those whose bit is set if there is a bitmap."""
+    """Distinct (id, window, base, slot values) of every text.
+
+    Documents have a bitmap: windows whose bit is set, with the values of their placeholders, ``base`` null. Items have
+    none: ``base`` is the window in its first reading, and a token with two readings always has its value.
+    """
+    item = bitmap is None
 
     def rows(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for piece in arrays.pieces(batch.column("text")):
-                template = Templates(piece)
-                at, hashes = template.windows()
-                if bitmap is not None:
-                    bit = hashes & np.uint64(BITMAP_BITS - 1)
-                    use = (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    at, hashes = at[use], hashes[use]
-                slots = template.slots[at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.uint64)
+                template = Templates(piece, repeats=item)
+                found = [(np.zeros(0, np.int64), *np.zeros((2, 0), np.uint64), np.zeros((0, WINDOW), bool))]
+                for at, hashes, base, filled in template.windows():
+                    if item:
+                        # Only windows with a plain word in their first reading count.
+                        place = at[:, None] + np.arange(WINDOW)
+                        use = ~template.filled[0][place].all(axis=1)
+                        filled = filled | template.filled[0][place] | template.two[place]
+                    else:
+                        bit = hashes & np.uint64(BITMAP_BITS - 1)
+                        use = (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    found.append((at[use], hashes[use], base[use], filled[use]))
+                at, hashes, base, filled = (np.concatenate(x) for x in zip(*found))
+                if len(at):
+                    slots = np.where(filled, template.values[at[:, None] + np.arange(WINDOW)], np.uint64(0))
+                else:
+                    slots = np.zeros((0, WINDOW), np.uint64)
                 doc = template.doc[at]
-                order = np.lexsort((*slots.T, hashes, doc))
-                doc, hashes, slots = doc[order], hashes[order], slots[order]
+                order = np.lexsort((*slots.T, base, hashes, doc))
+                doc, hashes, base, slots = doc[order], hashes[order], base[order], slots[order]
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]) | (slots[1:] != slots[:-1]).any(axis=1)
-                doc, hashes, slots = doc[new], hashes[new], slots[new]
+                if item:
+                    new[1:] |= base[1:] != base[:-1]
+                doc, hashes, base, slots = doc[new], hashes[new], base[new], slots[new]
                 # Windows without slots need no list.
                 filled = slots.any(axis=1)
                 lists = pa.ListArray.from_arrays(
@@ -130,8 +184,13 @@ def _rows(bitmap: np.ndarray | None):
                     pa.array(slots[filled].reshape(-1).view(np.int64)),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[piece.first_row + doc], pa.int64()), pa.array(hashes.view(np.int64)), lists],
-                    ["id", "window", "slots"],
+                    [
+                        pa.array(ids[piece.first_row + doc], pa.int64()),
+                        pa.array(hashes.view(np.int64)),
+                        pa.array(base.view(np.int64)) if item else pa.nulls(len(doc), pa.int64()),
+                        lists,
+                    ],
+                    ["id", "window", "base", "slots"],
                 )
 
     return rows
@@ -141,7 +200,7 @@ def _windows(table: DataFrame, id_column: str, text_column: str, bitmap: np.ndar
     return (
         table.filter(F.col(id_column).isNotNull())
         .select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-        .mapInArrow(_rows(bitmap), "id long, window long, slots array<long>")
+        .mapInArrow(_rows(bitmap), "id long, window long, base long, slots array<long>")
     )
 
 
@@ -160,24 +219,28 @@ def contaminated(
     ``containment`` is their ratio, at least ``share``. ``slots_changed`` counts slot values of the item that are others
     in the document: more than 0 means a re-parameterised item. Items shorter than a window, or without a plain word in
     any, have no windows and are never found; so are null and empty texts and rows without id on either side. Rows that
-    repeat an id count as one text. Case and punctuation do not matter, but make out names. Other columns are ignored.
+    repeat an id count as one text. Case and punctuation do not matter, but make out names: another name is only known as
+    one where both it and the item's are capitalised. Other columns are ignored.
     """
     items = materialize(_windows(benchmark, item_column, item_text_column).withColumnRenamed("id", "item_id").distinct())
-    sizes = items.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("base").alias("n_windows"))
     bits = items.select(F.col("window").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("bit")).distinct().toArrow()
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     bit = bits.column("bit").to_numpy()
     np.bitwise_or.at(bitmap, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-    found = _windows(docs, id_column, text_column, bitmap).withColumnRenamed("id", "doc_id").distinct()
+    found = _windows(docs, id_column, text_column, bitmap).withColumnRenamed("id", "doc_id").drop("base").distinct()
+    # A plain word of the document has no slot value: it is the same word as the item's. Pairs in several readings are one.
+    asked_and_given = F.transform(
+        F.arrays_zip("asked", "slots"),
+        lambda s: F.struct(s["asked"].alias("asked"), F.coalesce(F.nullif(s["slots"], F.lit(0)), s["asked"]).alias("given")),
+    )
     pairs = materialize(
-        found.join(items.withColumnRenamed("slots", "asked"), "window").select(
-            "doc_id", "item_id", "window", "asked", F.col("slots").alias("given")
-        )
+        found.join(items.withColumnRenamed("slots", "asked"), "window")
+        .select("doc_id", "item_id", "base", F.filter(asked_and_given, lambda s: s["asked"] != 0).alias("s"))
+        .distinct()
     )
     slots = (
-        pairs.filter(F.size("asked") > 0)
-        .select("doc_id", "item_id", F.explode(F.arrays_zip("asked", "given")).alias("s"))
-        .filter(F.col("s.asked") != 0)
+        pairs.select("doc_id", "item_id", F.explode("s").alias("s"))
         .groupBy("doc_id", "item_id", F.col("s.asked").alias("asked"), F.col("s.given").alias("given"))
         .agg(F.count(F.lit(1)).alias("votes"))
     )
@@ -189,15 +252,13 @@ def contaminated(
         F.map_from_entries(F.collect_list(F.struct("asked", "best.given"))).alias("mapping"),
         F.count(F.when(F.col("asked") != F.col("best.given"), 1)).alias("slots_changed"),
     )
-    agree = F.forall(
-        F.arrays_zip("asked", "given"), lambda s: (s["asked"] == 0) | (F.element_at("mapping", s["asked"]) == s["given"])
-    )
+    agree = F.forall("s", lambda s: F.element_at("mapping", s["asked"]) == s["given"])
     return (
         pairs.join(mapping, ["doc_id", "item_id"], "left")
-        .filter((F.size("asked") == 0) | agree)
+        .filter((F.size("s") == 0) | agree)
         .groupBy("doc_id", "item_id")
         .agg(
-            F.countDistinct("window").alias("n_found"),
+            F.countDistinct("base").alias("n_found"),
             F.coalesce(F.first("slots_changed"), F.lit(0)).alias("slots_changed"),
         )
         .join(sizes, "item_id")

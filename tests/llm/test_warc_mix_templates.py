@@ -213,6 +213,28 @@ def test_templates(spark):
     assert got[1, 1] == (1.0, 4) and got[7, 1] == (1.0, 0)
 
 
+TOM = "Tom has 5 apples. Mary gives him 3. How many apples has Tom?"
+PEARS = "Then Anna gives 5 pears to Bob and Carl gives 3.5 kg of pears to Dora, so Anna has 2 Dollars left"
+
+
+def test_names_at_openings(spark):
+    rows = [
+        (1, "Ann has 7 apples. Paul gives him 4. How many apples has Ann?"),
+        (2, "x y. Ann has 7 apples. Paul gives him 4. How many apples has Ann? z"),
+        (3, TOM),
+        (4, "Ann has 7 pears. Paul sells her 4. How many pears owns Ann?"),
+        (5, "Ann has 7 apples. Paul gives him 4. How many apples has Carl?"),
+    ]
+    got = found(spark, rows, [(1, TOM)])
+    assert got == {(1, 1): (1.0, 4), (2, 1): (1.0, 4), (3, 1): (1.0, 0), (5, 1): (8 / 9, 4)}
+
+
+@pytest.mark.parametrize("item", [TOM, TOM.lower(), PEARS, PEARS.upper()])
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title])
+def test_copies_in_other_case(spark, item, change):
+    assert found(spark, [(1, f"before, {change(item)} after")], [(1, item)]) == {(1, 1): (1.0, 0)}
+
+
 def test_no_benchmark_or_documents(spark):
     assert found(spark, [(1, ITEMS[3][1])], [(1, None)]) == {}
     docs = spark.createDataFrame([], "doc_id long, text string")
