@@ -5,7 +5,8 @@ in which numbers, names and units
 are replaced by typed placeholders; what a placeholder stands for is its slot value. Windows of five template tokens are
 joined by hash between benchmark items and documents. An item is found in a document if at least three quarters of its
 distinct windows are, on slots that agree: one slot value of the item always stands for the same value of the document,
-so a question with other numbers and names is caught while an accidental run of placeholders is not.
+so a question with other numbers and names is caught while an accidental run of placeholders is not. Slots are judged for
+each place of the document where the item may lie, and over the whole document; the best counts.
 
 A capitalised word may be a name or not, at the start of a sentence as inside it, and a copy in lower case or in capitals
 shows no names at all. So such a word has two readings, a name and a plain word (or unit), and a window is joined in every
@@ -141,7 +142,7 @@ class Templates:
 
 
 def _rows(bitmap: np.ndarray | None):
-    """Distinct (id, window, base, slot values) of every text.
+    """(id, text hash, window, base, place, slot values) of every window of every text; ``place`` is its first token.
 
     Documents have a bitmap: windows whose bit is set, with the values of their placeholders, ``base`` null. Items have
     none: ``base`` is the window in its first reading, and a token with two readings always has its value.
@@ -151,6 +152,7 @@ def _rows(bitmap: np.ndarray | None):
     def rows(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
+            copies = batch.column("copy").to_numpy(zero_copy_only=False)
             for piece in arrays.pieces(batch.column("text")):
                 template = Templates(piece, repeats=item)
                 found = [(np.zeros(0, np.int64), *np.zeros((2, 0), np.uint64), np.zeros((0, WINDOW), bool))]
@@ -170,13 +172,7 @@ def _rows(bitmap: np.ndarray | None):
                 else:
                     slots = np.zeros((0, WINDOW), np.uint64)
                 doc = template.doc[at]
-                order = np.lexsort((*slots.T, base, hashes, doc))
-                doc, hashes, base, slots = doc[order], hashes[order], base[order], slots[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1]) | (slots[1:] != slots[:-1]).any(axis=1)
-                if item:
-                    new[1:] |= base[1:] != base[:-1]
-                doc, hashes, base, slots = doc[new], hashes[new], base[new], slots[new]
+                place = at - np.searchsorted(template.doc, np.arange(template.n))[doc]
                 # Windows without slots need no list.
                 filled = slots.any(axis=1)
                 lists = pa.ListArray.from_arrays(
@@ -186,21 +182,24 @@ def _rows(bitmap: np.ndarray | None):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[piece.first_row + doc], pa.int64()),
+                        pa.array(copies[piece.first_row + doc], pa.int64()),
                         pa.array(hashes.view(np.int64)),
                         pa.array(base.view(np.int64)) if item else pa.nulls(len(doc), pa.int64()),
+                        pa.array(place, pa.int64()),
                         lists,
                     ],
-                    ["id", "window", "base", "slots"],
+                    ["id", "copy", "window", "base", "place", "slots"],
                 )
 
     return rows
 
 
 def _windows(table: DataFrame, id_column: str, text_column: str, bitmap: np.ndarray | None = None) -> DataFrame:
+    text = F.col(text_column).cast("string")
     return (
         table.filter(F.col(id_column).isNotNull())
-        .select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-        .mapInArrow(_rows(bitmap), "id long, window long, base long, slots array<long>")
+        .select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
+        .mapInArrow(_rows(bitmap), "id long, copy long, window long, base long, place long, slots array<long>")
     )
 
 
@@ -223,7 +222,9 @@ def contaminated(
     one where both it and the item's are capitalised. Other columns are ignored.
     """
     items = materialize(_windows(benchmark, item_column, item_text_column).withColumnRenamed("id", "item_id").distinct())
-    sizes = items.groupBy("item_id").agg(F.countDistinct("base").alias("n_windows"))
+    sizes = items.groupBy("item_id").agg(
+        F.countDistinct("base").alias("n_windows"), (F.max("place") + WINDOW).alias("length")
+    )
     bits = items.select(F.col("window").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("bit")).distinct().toArrow()
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     bit = bits.column("bit").to_numpy()
@@ -234,33 +235,57 @@ def contaminated(
         F.arrays_zip("asked", "slots"),
         lambda s: F.struct(s["asked"].alias("asked"), F.coalesce(F.nullif(s["slots"], F.lit(0)), s["asked"]).alias("given")),
     )
+    asked = items.join(sizes, "item_id").select(
+        "item_id", "window", "base", "length", F.col("copy").alias("item_copy"), F.col("place").alias("item_place"),
+        F.col("slots").alias("asked"),
+    )
+    # A hit belongs to four groups, each with slots of its own: the whole document, the hits that lie alike, and two
+    # grids of the item's length, so that a copy with words put in or left out keeps together and two copies do not.
+    shift, length = F.col("place") - F.col("item_place"), F.col("length")
+    texts = F.xxhash64("copy", "item_copy")
+    half = F.floor(length / 2)
+    groups = [(0, F.lit(0), F.lit(0)), (1, shift, texts), (2, F.floor(shift / length), texts), (3, F.floor((shift + half) / length), texts)]
     pairs = materialize(
-        found.join(items.withColumnRenamed("slots", "asked"), "window")
-        .select("doc_id", "item_id", "base", F.filter(asked_and_given, lambda s: s["asked"] != 0).alias("s"))
+        found.join(asked, "window")
+        .select(
+            "doc_id", "item_id", "base", F.filter(asked_and_given, lambda s: s["asked"] != 0).alias("s"),
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"), of.cast("long").alias("of"))
+                        for kind, at, of in groups
+                    ]
+                )
+            ).alias("g"),
+        )
         .distinct()
-    )
+    )
+    group = ["doc_id", "item_id", "g"]
     slots = (
-        pairs.select("doc_id", "item_id", F.explode("s").alias("s"))
-        .groupBy("doc_id", "item_id", F.col("s.asked").alias("asked"), F.col("s.given").alias("given"))
+        pairs.select(*group, F.explode("s").alias("s"))
+        .groupBy(*group, F.col("s.asked").alias("asked"), F.col("s.given").alias("given"))
         .agg(F.count(F.lit(1)).alias("votes"))
     )
     # A slot value of the item stands for the value that most windows give it.
-    chosen = slots.groupBy("doc_id", "item_id", "asked").agg(
+    chosen = slots.groupBy(*group, "asked").agg(
         F.max(F.struct("votes", (F.col("asked") == F.col("given")).alias("same"), "given")).alias("best")
     )
-    mapping = chosen.groupBy("doc_id", "item_id").agg(
+    mapping = chosen.groupBy(*group).agg(
         F.map_from_entries(F.collect_list(F.struct("asked", "best.given"))).alias("mapping"),
         F.count(F.when(F.col("asked") != F.col("best.given"), 1)).alias("slots_changed"),
     )
     agree = F.forall("s", lambda s: F.element_at("mapping", s["asked"]) == s["given"])
     return (
-        pairs.join(mapping, ["doc_id", "item_id"], "left")
+        pairs.join(mapping, group, "left")
         .filter((F.size("s") == 0) | agree)
-        .groupBy("doc_id", "item_id")
+        .groupBy(*group)
         .agg(
             F.countDistinct("base").alias("n_found"),
             F.coalesce(F.first("slots_changed"), F.lit(0)).alias("slots_changed"),
         )
+        .groupBy("doc_id", "item_id")
+        .agg(F.max(F.struct("n_found", (-F.col("slots_changed")).alias("kept"))).alias("best"))
+        .select("doc_id", "item_id", "best.n_found", (-F.col("best.kept")).alias("slots_changed"))
         .join(sizes, "item_id")
         .filter(F.col("n_found") >= share * F.col("n_windows"))
         .select(

@@ -235,6 +235,24 @@ def test_copies_in_other_case(spark, item, change):
     assert found(spark, [(1, f"before, {change(item)} after")], [(1, item)]) == {(1, 1): (1.0, 0)}
 
 
+def test_several_variants_in_one_document(spark):
+    """Copies with other names and numbers do not mix, nor do those in texts that share an id."""
+    tail = " Now give the sum in words and explain every single step on the way"
+    item = ITEMS[0][1]
+
+    def variant(k, put_in=""):
+        text = f"If Bob{'abcdefghijkl'[k]} buys {k + 17} apples and {k + 2} oz of pears{put_in} then Bob{'abcdefghijkl'[k]} pays"
+        return f"{text} how much for {k + 17} apples?"
+
+    rows = [(k, f"{variant(k)} {'word ' * (3 * k)}{variant((k + 1) % 12)} {variant((k + 5) % 12)}") for k in range(12)]
+    rows += [(100 + k // 2, variant(k)) for k in range(12)]
+    got = found(spark, rows, [(1, item)])
+    assert got == {(d, 1): (1.0, 4) for d in [*range(12), *range(100, 106)]}
+    rows = [(k, " ".join(variant((k + i) % 12, " also") + tail for i in (0, 1, 5))) for k in range(12)]
+    got = found(spark, rows, [(1, item + tail)])
+    assert set(got) == {(k, 1) for k in range(12)} and min(got.values())[0] > 0.8
+
+
 def test_no_benchmark_or_documents(spark):
     assert found(spark, [(1, ITEMS[3][1])], [(1, None)]) == {}
     docs = spark.createDataFrame([], "doc_id long, text string")
