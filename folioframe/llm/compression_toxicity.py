@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents. The ordinary one holds ordinary text. The toxic one adds
-what is typical of toxic text: the trainer sees the stretches of toxic documents made of byte sequences that are many
+Two zstandard dictionaries are made from labelled documents. The ordinary one holds some windows of ordinary text as they
+are. The toxic one adds what is typical of toxic text, in 2 % of the toxic documents at least: the trainer sees the stretches of toxic documents made of byte sequences that are many
 times more frequent there than in ordinary documents. A document is cut into windows of ``WINDOW`` words; a window
 that the toxic dictionary compresses to fewer bytes than the ordinary one gains. The gains of all windows (how many
 reach each level, the largest, the mean) are weighed by a logistic calibration, whose cut is the score 0.7.
