@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, pairwise_quality, ppm_language, substring_dedup, template_decontamination, warc
+from folioframe.llm import circulant_minhash, compression_toxicity, curriculum, exact_dedup, line_spread, pairwise_quality, ppm_language, substring_dedup, table_clustering, template_decontamination, token_alignment, token_counts, warc
 from folioframe.llm.fitting import fold
 from folioframe.session import work_folder
 
@@ -191,6 +192,63 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id
 """
 
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_statistics(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_table_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table_clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    # One row for each of 16 centroids.
+    return found.vectors.join(F.broadcast(found.clusters), "cluster").select(
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
+
+
+def _clustering_sql(rounds: int) -> str:
+    """The rounds written out: centroids c0, assignments a0, centroids c1, ..."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"""d{r} AS (SELECT n, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+              FROM v, c{r}),
+a{r} AS (SELECT n, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d{r} GROUP BY n),"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""s{r} AS (SELECT cluster, i, sum(x[i])::BIGINT AS s, count(*) AS k
+              FROM a{r} JOIN v USING (n), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+m{r} AS (SELECT cluster, list((s - ((s % k + k) % k)) // k ORDER BY i) AS c FROM s{r} GROUP BY cluster),
+c{r + 1} AS (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster)),"""
+            )
+    return "\n".join(steps)
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x
+           FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS cluster, x AS c FROM v
+       QUALIFY cluster < 16),
+{_clustering_sql(3)}
+t AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a3) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (n) JOIN t USING (cluster) JOIN c3 USING (cluster)
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_roundtrip": op2_warc_roundtrip,
@@ -202,6 +260,9 @@ QUERIES = {
     "op8_curriculum_mix": op8_curriculum_mix,
     "op9_compression_toxicity": op9_compression_toxicity,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_table_clustering": op13_table_clustering,
 }
 
 ORACLE = {
@@ -211,4 +272,5 @@ ORACLE = {
     "op7_exact_dedup": OP7_SQL,
     "op8_curriculum_mix": OP8_SQL,
     "op10_circulant_minhash": OP10_SQL,
+    "op13_table_clustering": OP13_SQL,
 }
