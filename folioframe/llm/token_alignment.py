@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ BLOCK_TEXT = 1 << 24
 BLOCK_ROWS = 1 << 16
 # Parts up to this many characters are remembered by a task, at most this many of them.
 SHORT = 64
-KNOWN = 1 << 17
+KNOWN = 1 << 18
 
 # The lists that make up an alignment, and the id pairs of its links (``a * size of B's vocabulary + b``).
 LISTS = ["a_ids", "b_ids", "a_sizes", "b_sizes", "a_links"]
@@ -67,15 +68,25 @@ class Lists:
             np.concatenate([self.sound, other.sound]),
         )
 
-    def first(self, parts: int) -> Lists:
-        sizes = {n: int(self.ends[n][parts - 1]) if parts else 0 for n in _ALL}
-        return Lists({n: self.values[n][: sizes[n]] for n in _ALL}, {n: self.ends[n][:parts] for n in _ALL}, self.sound[:parts])
+    def only(self, parts: np.ndarray) -> Lists:
+        last = np.arange(1, len(parts) + 1)
+        taken = {n: self.take(parts, last, n) for n in _ALL}
+        return Lists({n: v for n, (v, _) in taken.items()}, {n: e for n, (_, e) in taken.items()}, self.sound[parts])
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and how many there are up to each part's end."""
     ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-    return np.fromiter((i for part in ids for i in part), np.int32, int(ends[-1]) if len(ends) else 0), ends
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) if len(ends) else 0), ends
+
+
+def _gives_back(ids: list[list[int]], entries: list[bytes], lengths: np.ndarray, raw: list[bytes]) -> list[bool]:
+    """Whether the entries of each part's ids make up its bytes."""
+    flat, ends = _flat(ids)
+    sizes = np.diff(np.concatenate([[0], np.cumsum(lengths[flat])])[ends], prepend=0)
+    if b"".join(map(entries.__getitem__, flat.tolist())) == b"".join(raw) and sizes.tolist() == list(map(len, raw)):
+        return [True] * len(raw)
+    return [b"".join([entries[i] for i in part]) == text for part, text in zip(ids, raw)]
 
 
 class Run:
@@ -110,24 +121,21 @@ class Aligner:
         self.pair_values = len(self.bytes_a) * len(self.bytes_b)
         # B leaves out the space that it adds itself; A's rules allow every cut that B's do.
         self.cut = self.b.cut if self.a.cut else None
-        self._forget()
-
-    def _forget(self) -> None:
-        nothing = np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.int32)
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
-        self.table = Lists(dict.fromkeys(_ALL, nothing), dict.fromkeys(_ALL, nothing), np.zeros(0, bool))
+        self.table = Lists(dict.fromkeys(_ALL, nothing), dict.fromkeys(_ALL, nothing.astype(np.int64)), np.zeros(0, bool))
 
     def aligned(self, parts: list[str]) -> tuple[Lists, list[str]]:
         """Encode every part with both tokenizers and slice the ids at their common ends; the groups of each as text."""
         texts = [" " + p for p in parts]
         ids_a, ids_b = self.a.ids(texts), self.b.ids(parts)
-        bytes_a, bytes_b = self.bytes_a, self.bytes_b
-        sound = np.ones(len(parts), bool)
-        for at, text in enumerate(texts):
-            raw = text.encode()
-            if b"".join([bytes_a[i] for i in ids_a[at]]) != raw or b"".join([bytes_b[i] for i in ids_b[at]]) != raw:
-                sound[at], ids_a[at], ids_b[at] = False, [], []
+        raw = [t.encode() for t in texts]
+        back_a = _gives_back(ids_a, self.bytes_a, self.lengths_a, raw)
+        back_b = _gives_back(ids_b, self.bytes_b, self.lengths_b, raw)
+        sound = np.array([x and y for x, y in zip(back_a, back_b)], bool)
+        for at in np.flatnonzero(~sound):
+            ids_a[at], ids_b[at] = [], []
         (a, parts_a), (b, parts_b) = _flat(ids_a), _flat(ids_b)
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         index_a = dict(zip(ends_a.tolist(), range(len(a))))
@@ -147,14 +155,21 @@ class Aligner:
         pairs = np.repeat(a.astype(np.int64) * len(self.lengths_b), links) + b[to_b]
         parts_groups = np.searchsorted(last_a, parts_a - 1, "right")
         lists = Lists(
-            {"a_ids": a, "b_ids": b, "a_sizes": np.diff(last_a, prepend=-1), "b_sizes": np.diff(last_b, prepend=-1), "a_links": links, "pairs": pairs},
+            {
+                "a_ids": a,
+                "b_ids": b,
+                "a_sizes": np.diff(last_a, prepend=-1).astype(np.int32),
+                "b_sizes": np.diff(last_b, prepend=-1).astype(np.int32),
+                "a_links": links.astype(np.int32),
+                "pairs": pairs,
+            },
             {"a_ids": parts_a, "b_ids": parts_b, "a_sizes": parts_groups, "b_sizes": parts_groups, "a_links": parts_a, "pairs": np.concatenate([[0], ends_links])[parts_a]},
             sound,
         )
         names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         cuts_a, cuts_b = [0, *(last_a + 1).tolist()], [0, *(last_b + 1).tolist()]
         groups = [
-            ",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m])
+            names_a[i] + "|" + names_b[k] if j - i == 1 == m - k else ",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m])
             for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
         ]
         starts = [0, *parts_groups.tolist()]
@@ -176,10 +191,8 @@ class Aligner:
             yield self._run(row, places, last)
 
     def _run(self, row: list[int], places: list[str], last: list[int]) -> Run:
-        if len(self.known) > KNOWN:
-            self._forget()
         known = len(self.known)
-        fresh = sorted({p for p in places if p not in self.known}, key=len)
+        fresh = sorted(set(places).difference(self.known), key=len)
         for start, end in tokenizing.runs(fresh):
             lists, groups = self.aligned(fresh[start:end])
             self.table = self.table.joined(lists)
@@ -187,14 +200,18 @@ class Aligner:
         self.known.update(zip(fresh, range(known, known + len(fresh))))
         parts = np.fromiter(map(self.known.__getitem__, places), np.int64, len(places))
         run = Run(row, parts, np.array(last, np.int64), self.table, self.groups)
-        long = [p for p in fresh if len(p) > SHORT]
-        if long:
-            keep = known + len(fresh) - len(long)
-            self.table, self.groups = self.table.first(keep), self.groups[:keep]
-            for p in long:
-                del self.known[p]
+        if len(self.known) > KNOWN:
+            # The parts of this run stay; the frequent ones are among them.
+            self._keep([p for p in dict.fromkeys(places) if len(p) <= SHORT])
+        elif fresh and len(fresh[-1]) > SHORT:
+            self._keep([p for p in self.known if len(p) <= SHORT])
         return run
 
+    def _keep(self, parts: list[str]) -> None:
+        places = [self.known[p] for p in parts]
+        self.table, self.groups = self.table.only(np.array(places, np.int64)), [self.groups[i] for i in places]
+        self.known = {p: i for i, p in enumerate(parts)}
+
 
 def _texts(column: pa.Array) -> list[str]:
     return pc.fill_null(column, "").to_pylist()

@@ -50,11 +50,9 @@ def aligned_by_hand(text, tokenizer, model, value):
     if not text or b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
         return [], [], [], []
     spans_a, spans_b = token_spans(bytes_a), token_spans(bytes_b)
-    common = sorted({e for _, e in spans_a} & {e for _, e in spans_b})
-    groups = []
-    for start, end in zip([0, *common], common):
-        inside = lambda ids, spans: [i for i, (s, e) in zip(ids, spans) if start <= s and e <= end]  # noqa: B023, E731
-        groups.append((inside(a, spans_a), inside(b, spans_b)))
+    common = {e for _, e in spans_a} & {e for _, e in spans_b}
+    cuts = [[0, *(n + 1 for n, (_, e) in enumerate(spans) if e in common)] for spans in (spans_a, spans_b)]
+    groups = [(a[i:j], b[k:m]) for i, j, k, m in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
     first, links = 0, []
     for i, (s, e) in enumerate(spans_a):
         while spans_b[first][1] <= s:
