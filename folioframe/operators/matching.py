@@ -10,7 +10,7 @@ from folioframe.functions.identifiers import lookup_query
 from folioframe.functions.text import author_sort_key, similarity, title_sort_key, tokens
 from folioframe.operators.overrides import status_column
 from folioframe.operators.provenance import as_records
-from folioframe.operators.similarity import containing_titles, title_words
+from folioframe.operators.similarity import containing_titles, similar_titles, title_words
 from folioframe.schemas import (
     CANDIDATE_FIELDS,
     CANDIDATES_PER_SOURCE,
@@ -18,6 +18,7 @@ from folioframe.schemas import (
     CONFIDENCE_THRESHOLD,
     DEFAULT_PROVIDER_ORDER,
 )
+from folioframe.session import materialize
 
 
 def needs_resolution(entities: DataFrame) -> DataFrame:
@@ -61,8 +62,9 @@ def find_candidates(
 
     ``catalog`` has candidate_id, source, title, authors, isbn10, isbn13 and other fields.
     Entities with an ISBN are looked up by it; entities without one by title and, when they have
-    an author, by at least one shared author word. Like the search of an external catalog, a title
-    search returns records that have every word of the title; ``similarity`` is the word overlap.
+    an author, by at least one shared author word. A title search returns the records that have
+    every word of the title, as the search of an external catalog does, and those whose word
+    overlap (``similarity``) reaches the decision threshold.
 
     Titles are matched as distinct word lists, and a list keeps only its first ``per_source``
     candidates per author word before it is joined, so neither a title nor an identifier shared
@@ -111,20 +113,37 @@ def _title_candidates(queries: DataFrame, catalog: DataFrame, per_source: int) -
         .filter(F.size("right_words") > 0)
         .withColumn("author_word", F.explode(answers_to))
     )
-    index = first_per_group(
-        offered, ["right_words", "author_word", "source"], [F.col("candidate_id")], per_source
+    # Each is read several times below.
+    index = materialize(
+        first_per_group(offered, ["right_words", "author_word", "source"], [F.col("candidate_id")], per_source)
     )
-    questions = asked.select("left_words", "author_word").distinct()
-    pairs = containing_titles(
-        questions.select(F.col("left_words").alias("words")).distinct(),
-        index.select(F.col("right_words").alias("words")).distinct(),
+    questions = materialize(asked.select("left_words", "author_word").distinct())
+    titles = materialize(index.select(F.col("right_words").alias("words")).distinct())
+    wanted = questions.select(F.col("left_words").alias("words")).distinct()
+    # A title that is found both ways is left to the containment search.
+    alike = similar_titles(wanted, titles, CONFIDENCE_THRESHOLD).filter(
+        F.size(F.array_except("left_words", "right_words")) > 0
     )
+    several = containing_titles(wanted.filter(F.size("words") > 1), titles)
+    pairs = several.unionByName(alike)
     best_first = [F.col("similarity").desc(), F.col("candidate_id")]
-    answers = first_per_group(
-        questions.join(pairs, "left_words").join(index, ["right_words", "author_word"]),
-        ["left_words", "author_word", "source"],
+    # A word by itself may stand in any share of the titles. The first few records of each word, shortest title first,
+    # are all that a title of one word can be answered with.
+    by_word = first_per_group(
+        index.withColumn("word", F.explode("right_words")).withColumn("similarity", 1 / F.size("right_words")),
+        ["word", "author_word", "source"],
         best_first,
         per_source,
+    )
+    single = (
+        questions.filter(F.size("left_words") == 1)
+        .withColumn("word", F.col("left_words")[0])
+        .join(by_word, ["word", "author_word"])
+        .drop("word")
+    )
+    met = questions.join(pairs, "left_words").join(index, ["right_words", "author_word"])
+    answers = first_per_group(
+        met.unionByName(single), ["left_words", "author_word", "source"], best_first, per_source
     ).drop("right_words")
     found = (
         asked.join(answers, ["left_words", "author_word"])

@@ -919,7 +919,7 @@ hits AS (
   FROM q JOIN cat c ON q.isbn = c.isbn13 JOIN sim ON sim.a = q.title AND sim.b = c.title
   UNION ALL
   SELECT entity_id, isbn, c.candidate_id, c.source, c.title, similarity
-  FROM qa q JOIN sim ON sim.a = q.title AND contained JOIN ca c ON c.title = sim.b
+  FROM qa q JOIN sim ON sim.a = q.title AND (contained OR similarity >= {schemas.CONFIDENCE_THRESHOLD}) JOIN ca c ON c.title = sim.b
   WHERE q.isbn IS NULL AND (len(q.aw) = 0 OR list_has_any(q.aw, c.aw))),
 found AS (
   SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY entity_id, source ORDER BY

@@ -84,6 +84,27 @@ def test_find_candidates(spark):
     }
 
 
+def test_titles_with_most_words_are_offered(spark):
+    """Containment or an overlap at the threshold, with and without authors, against all pairs."""
+    rng = random.Random(8)
+    name = lambda low: " ".join(rng.sample("abcdefgh", rng.randint(low, 6)))
+    rows = [(f"c{i:03d}", rng.choice(schemas.DEFAULT_PROVIDER_ORDER), name(1), [rng.choice(["x y", "y", "z"])], None, None) for i in range(250)]
+    rows.append(("c999", "google_books", "the long way home", ["x"], None, None))
+    asked = [(i, None, name(1), rng.choice([None, "x", "z y"])) for i in range(120)] + [(500, None, "a long way home", None)]
+    got = {}
+    for r in matching.find_candidates(spark.createDataFrame(asked, QUERY), spark.createDataFrame(rows, CATALOG)).collect():
+        got.setdefault((r["entity_id"], r["source"]), []).append((-r["similarity"], r["candidate_id"]))
+    want, words = {}, lambda s: set(s.split())
+    for i, _, title, author in asked:
+        for cid, source, other, authors, _, _ in rows:
+            a, b = words(title), words(other)
+            alike = len(a & b) / len(a | b)
+            if (a <= b or alike >= 0.6) and (author is None or words(author) & words(authors[0])):
+                want.setdefault((i, source), []).append((-alike, cid))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:10] for k, v in want.items()}
+    assert got[500, "google_books"] == [(-0.6, "c999")]
+
+
 def test_hot_title_keeps_the_exact_first_candidates(spark):
     """A title shared by most rows: the work stays linear and the result equals brute force."""
     rows = [
