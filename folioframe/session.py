@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Archives travel to Python as bytes; a batch is limited by size, not only by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
+    # Streaming state with timers needs it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -13,14 +13,19 @@ TABLES = ["entity", "member", "provenance", "rename_journal"]
 def write_snapshot(
     tables: dict[str, DataFrame], store: str, version: int, root: str, now: Column | None = None
 ) -> None:
-    """Write all tables of one version; its manifest row comes last and makes it visible."""
+    """Write all tables of one version; its manifest row comes last and makes it visible.
+
+    A version that has its manifest is never written again; what a failed attempt has left of one is replaced.
+    """
     spark = next(iter(tables.values())).sparkSession
+    if has_version(spark, store, version):
+        raise ValueError(f"version {version} is there already")
     for name in TABLES:
-        tables[name].write.parquet(f"{store}/version={version}/{name}")
+        tables[name].write.mode("overwrite").parquet(f"{store}/version={version}/{name}")
     stamp = F.current_timestamp() if now is None else now
     spark.range(1).select(
         F.lit(version).cast("long").alias("version"), F.lit(root).alias("root"), stamp.alias("written_at")
-    ).write.mode("append").parquet(f"{store}/_manifests/version={version}")
+    ).write.mode("overwrite").parquet(f"{store}/_manifests/version={version}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -29,11 +34,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(conf).exists(target)
 
 
-def latest_version(spark: SparkSession, store: str) -> tuple[int, str] | None:
-    """(version, root) of the newest complete snapshot."""
+def has_version(spark: SparkSession, store: str, version: int) -> bool:
+    """Whether a version is complete."""
+    return _exists(spark, f"{store}/_manifests/version={version}/_SUCCESS")
+
+
+def latest_version(spark: SparkSession, store: str, before: int | None = None) -> tuple[int, str] | None:
+    """(version, root) of the newest complete snapshot, of those under ``before`` if it is given."""
     if not _exists(spark, f"{store}/_manifests"):
         return None
     manifests = spark.read.option("recursiveFileLookup", True).parquet(f"{store}/_manifests")
+    if before is not None:
+        manifests = manifests.filter(F.col("version") < before)
     row = manifests.agg(F.max_by(F.struct("version", "root"), "version").alias("m")).first()
     return (row["m"]["version"], row["m"]["root"]) if row["m"] else None
 

@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from folioframe import schemas
+from folioframe.operators import snapshot
 from folioframe.sources import export, listing, packages, providers, store, tagged
 
 OPF = """<?xml version="1.0"?>
@@ -59,13 +60,35 @@ def test_scan_listing(spark, tmp_path):
     assert names == ["corrupt.epub", "good.epub", "malformed.epub", "nocontainer.epub", "plain.txt", "noopf.EPUB"]
     sizes = {r["path"].rsplit("/", 1)[1]: (r["format"], r["size_bytes"]) for r in found}
     assert sizes["plain.txt"] == ("txt", 5) and sizes["noopf.EPUB"][0] == "epub"
-    plan = listing.scan_listing(spark, str(tmp_path / "lib"))._jdf.queryExecution().toString()
-    assert "content" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_scan_listing_lists_every_visible_name(spark, tmp_path, monkeypatch):
+    """Names that start with ``_``, folders beyond the number of partitions, and what a listing says is missing."""
+    root = tmp_path / "lib"
+    for folder in ("", "_sub", "_sub/deep", "a b", "c%20d", ".hidden", "_sub/.h"):
+        (root / folder).mkdir(exist_ok=True, parents=True)
+        (root / folder / "_notes.epub").write_text("x" * (len(folder) + 1))
+        (root / folder / ".dot.epub").write_text("no")
+    want = {
+        str(root / f / "_notes.epub"): len(f) + 1 for f in ("", "_sub", "_sub/deep", "a b", "c%20d")
+    }
+    for folders in (256, 3, 1):
+        monkeypatch.setattr(listing, "FOLDERS", folders)
+        found = listing.scan_listing(spark, f"file://{root}").collect()
+        assert {r["path"]: r["size_bytes"] for r in found} == want and len(found) == len(want)
+    known = spark.createDataFrame([(p, n, False) for p, n in want.items()], "path string, size_bytes long, missing boolean")
+    diff = snapshot.snapshot_diff(listing.scan_listing(spark, str(root)), known.withColumn("modified_at", F.current_timestamp()))
+    assert {r["change"] for r in diff.collect()} <= {"unchanged", "updated"} and diff.count() == len(want)
+    contents = listing.read_contents(listing.scan_listing(spark, str(root))).collect()
+    assert {r["path"]: len(r["content"]) for r in contents} == want
+    gone = spark.createDataFrame([(str(root / "gone.epub"), "epub")], "path string, format string")
+    assert listing.read_contents(gone).collect() == []
+    assert listing.scan_listing(spark, str(tmp_path / "nothing")).collect() == []
 
 
 def test_extract_metadata(spark, tmp_path):
     library(tmp_path / "lib")
-    files = listing.read_contents(spark, str(tmp_path / "lib")).filter(F.col("format").isin(*schemas.FORMATS))
+    files = listing.read_contents(listing.scan_listing(spark, str(tmp_path / "lib")))
     tags = spark.createDataFrame(
         [(str(tmp_path / "lib" / "scan.pdf"), 0, "title", "Scan"), (str(tmp_path / "lib" / "scan.pdf"), 1, "author", "A B; C & D")],
         schemas.TAGGED_METADATA,
