@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled documents. The ordinary one holds some windows of ordinary text as they
-are. The toxic one adds what is typical of toxic text, in 2 % of the toxic documents at least: the trainer sees the stretches of toxic documents made of byte sequences that are many
-times more frequent there than in ordinary documents. A document is cut into windows of ``WINDOW`` words; a window
-that the toxic dictionary compresses to fewer bytes than the ordinary one gains. The gains of all windows (how many
-reach each level, the largest, the mean) are weighed by a logistic calibration, whose cut is the score 0.7.
+Two zstandard dictionaries of ``DICTIONARY`` bytes are trained: one on ordinary documents, one on what is typical of toxic
+documents, the stretches made of byte sequences that are many times more frequent there than in ordinary documents
+(toxic documents are ordinary text for the most part). The toxic one is used behind the ordinary one, so that ordinary
+text costs the same with and without it. A document is cut into windows of ``WINDOW`` words, and each window is
+compressed either way; the bytes that the toxic dictionary saves are its gain. How many windows reach
+each level of gain, the largest gains and the mean are weighed by a logistic calibration, whose cut is the score 0.7.
+
+The model is fitted on a bounded sample of labelled rows, each with its whole text. Byte sequences are counted, and gains
+measured, where the texts are; the driver gets counts of distinct sequences, stretches and a few numbers for each row.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import arrays
 from folioframe.llm.fitting import best_cut, logistic, sample_rows, stands_for
+from folioframe.session import discard, materialize
 
 WINDOW = 5
 GRAM = 5
@@ -28,11 +32,15 @@ CUT = 0.7
 # Both dictionaries end with this mark and every window is compressed behind it, so that the cost of the first match
 # of a window is paid either way and the gain is what the toxic content saves.
 MARK = bytes([*range(1, 9), *range(14, 22)])
-# Fit bounds: labelled rows of each label, and windows of one training document (evenly spread over all of it).
+# Bounds of the fit: labelled rows of each label, and the size of a text that is used; longer texts are left out of the
+# sample (never shortened), they are scored like all others. The ordinary dictionary is trained on the first ORDINARY_ROWS
+# of the ordinary rows.
 FIT_ROWS = 4000
-FIT_WINDOWS = 1000
-_ORDINARY_WINDOWS = 60
-_TOXIC_BYTES = 3500
+FIT_BYTES = 1 << 17
+ORDINARY_ROWS = 400
+DICTIONARY = 4096
+# Fixed value: the repeat offsets 1, 4 and 8 that end the header of a trained dictionary; its content follows.
+_HEADER_END = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 
 
 @dataclass
@@ -41,6 +49,8 @@ class Model:
     toxic: bytes
     mean: np.ndarray
     scale: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     weights: np.ndarray
     cut: float
 
@@ -82,6 +92,10 @@ def _lengths(press: zstandard.ZstdCompressor, data: np.ndarray, segments: np.nda
     )
 
 
+# The column of the largest gain.
+_LARGEST = 9
+
+
 def _features(gain: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Features of each of ``n`` documents from the gains of its windows."""
     count = np.bincount(doc, minlength=n)
@@ -94,13 +108,19 @@ def _features(gain: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         use = place < top
         columns.append(np.bincount(doc[use], weights=ranked[use], minlength=n))
     total = np.bincount(doc, weights=gain, minlength=n)
-    columns += [np.log1p(count), total / np.maximum(1, count), total / np.sqrt(np.maximum(1, count))]
+    # A text without windows counts as one window without gain.
+    columns += [np.log1p(np.maximum(1, count)), total / np.maximum(1, count), total / np.sqrt(np.maximum(1, count))]
     return np.stack(columns, axis=1)
 
 
 def _score(model: Model, gain: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    margin = ((_features(gain, doc, n) - model.mean) / model.scale) @ model.weights[1:] + model.weights[0]
-    return 1 / (1 + np.exp(-np.clip(margin - model.cut + np.log(CUT / (1 - CUT)), -30, 30)))
+    # Features beyond those of all training rows (of a very long text, say) count as the nearest that was seen.
+    features = _features(gain, doc, n)
+    x = np.clip(features, model.low, model.high)
+    margin = ((x - model.mean) / model.scale) @ model.weights[1:] + model.weights[0]
+    score = 1 / (1 + np.exp(-np.clip(margin - model.cut + np.log(CUT / (1 - CUT)), -30, 30)))
+    # Where the toxic dictionary saves nothing in any window there is nothing toxic to be found.
+    return np.where(features[:, _LARGEST] > 0, score, np.minimum(score, 0.5))
 
 
 def _scores(model: Model | None, first, second, column: pa.Array) -> np.ndarray:
@@ -140,93 +160,134 @@ def _stretches(data: np.ndarray, typical: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
-def _typical(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> np.ndarray:
-    """Byte sequences found in many more toxic than ordinary documents."""
-
-    def counted(texts):
-        gram, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        # A few texts at a time, so that only distinct sequences are held.
-        for at in range(0, len(texts), 50):
-            parts = [np.unique(_grams(t)) for t in texts[at : at + 50]]
-            new, count = np.unique(np.concatenate(parts), return_counts=True)
-            gram, place = np.unique(np.concatenate([gram, new]), return_inverse=True)
-            often = np.bincount(place, weights=np.concatenate([often, count]), minlength=len(gram)).astype(np.int64)
-        return gram, often
-
-    gram, often = counted(toxic)
-    other, count = counted(ordinary)
-    if len(other):
-        at = np.minimum(np.searchsorted(other, gram), len(other) - 1)
-        seldom = np.where(other[at] == gram, count[at], 0)
-    else:
-        seldom = np.zeros(len(gram))
-    lift = (often / (len(toxic) + 1)) / ((seldom + 1) / (len(ordinary) + 1))
-    support = max(3, round(0.02 * len(toxic)))
-    enough = min(LIFT, 0.5 * (len(ordinary) + 1) * support / (len(toxic) + 1))
-    return gram[(often >= support) & (lift >= max(2, enough)) & (gram > 0)]
-
-
-def fit(sample: list[tuple[bytes, int]], weights: dict[int, float] | None = None) -> Model | None:
-    """Train on (spaced words, label) pairs; None if a label is missing."""
-    y = np.array([label for _, label in sample], float)
-    if not len(y) or y.min() == y.max():
-        return None
-    texts = [np.frombuffer(text, np.uint8) for text, _ in sample]
-    typical = _typical([t for t, v in zip(texts, y) if v], [t for t, v in zip(texts, y) if not v])
-    found = [s for t, v in zip(texts, y) if v for s in _stretches(t, typical)]
-    samples = [b"".join(found[i : i + 8]) for i in range(0, len(found), 8)]
-    try:
-        toxic = zstandard.train_dictionary(_TOXIC_BYTES + 600, samples, k=24, d=6).as_bytes()[-_TOXIC_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on: the samples themselves
-        toxic = b"".join(dict.fromkeys(found))[:_TOXIC_BYTES]
-    column = pa.array([text for text, _ in sample], pa.large_binary())
-    cut = [(out, segments, doc, piece) for piece in arrays.pieces(column) for out, segments, doc in [windows(piece)]]
-    plain = []
-    for out, segments, doc, piece in cut:
-        raw, labels = out.tobytes(), y[piece.first_row : piece.first_row + piece.n]
-        for a, n in segments[labels[doc] == 0][::37].tolist():
-            plain.append(raw[a : a + n])
-    ordinary = b"".join(sorted(set(plain), key=lambda w: (zlib.crc32(w), w))[:_ORDINARY_WINDOWS]) or b" "
-    model = Model(ordinary, ordinary + toxic, np.zeros(1), np.ones(1), np.zeros(2), 0.0)
-    first, second = _press(model.ordinary), _press(model.toxic)
-    x = np.concatenate(
-        [
-            _features(_lengths(first, out, segments) - _lengths(second, out, segments), doc, piece.n)
-            for out, segments, doc, piece in cut
-        ]
-    )
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x = (x - model.mean) / model.scale
-    model.weights = logistic(x, y)
-    model.cut = best_cut(x @ model.weights[1:] + model.weights[0], y, np.array([(weights or {}).get(int(v), 1.0) for v in y]))
-    return model
-
-
-def _spread_windows(batches):
-    """Training texts: at most ``FIT_WINDOWS`` windows, evenly spread over the whole document."""
+def _gram_rows(batches):
+    """(gram, toxic, ordinary): how many toxic and ordinary rows of a batch hold each byte sequence."""
     for batch in batches:
-        texts = []
+        labels, at = batch.column("label").to_numpy(zero_copy_only=False), 0
+        found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
         for piece in arrays.pieces(batch.column("text"), lower=True):
-            out, segments, doc = windows(piece)
-            raw = out.tobytes()
-            edges = np.searchsorted(doc, np.arange(piece.n + 1))
-            for a, b in zip(edges[:-1], edges[1:]):
-                use = segments[a:b]
-                if len(use) > FIT_WINDOWS:
-                    use = use[np.linspace(0, len(use) - 1, FIT_WINDOWS).astype(int)]
-                texts.append(b"".join(raw[o : o + n - 1] for o, n in use.tolist()) + b" ")
+            piece.words()
+            for row in range(piece.n):
+                words = slice(piece.first[row], piece.first[row + 1])
+                found[int(labels[at + row])].append(np.unique(_grams(_row_text(piece, words))))
+            at += piece.n
+        counted = [np.unique(np.concatenate(f), return_counts=True) for f in found]
+        gram = np.union1d(counted[0][0], counted[1][0])
+        often = np.zeros((2, len(gram)), np.int64)
+        for label, (some, count) in enumerate(counted):
+            often[label][np.searchsorted(gram, some)] = count
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(texts, pa.binary()), batch.column("label")], ["doc_id", "text", "label"]
+            [pa.array(gram.view(np.int64)), pa.array(often[1]), pa.array(often[0])], ["gram", "toxic", "ordinary"]
         )
 
 
+def _row_text(piece: arrays.Texts, words: slice) -> np.ndarray:
+    """The words of one row of a piece, with one space before each and one at the end."""
+    part = arrays.Texts(piece.data, piece.offsets, 0)
+    part.starts, part.ends = piece.starts[words], piece.ends[words]
+    if not len(part.starts):
+        return np.zeros(0, np.uint8)
+    first, last = part.starts[0], part.ends[-1]
+    part.data, part.starts, part.ends = piece.data[first:last], part.starts - first, part.ends - first
+    return _spaced(part)[0]
+
+
+def _typical(sample: DataFrame, toxic: int, ordinary: int) -> np.ndarray:
+    """Byte sequences found in many more toxic than ordinary rows of the sample, sorted.
+
+    A sequence needs ``LIFT`` times the share; with few rows, what chance does not reach. So one that no ordinary row
+    holds needs about LIFT * toxic / ordinary toxic rows.
+    """
+    enough = max(2.0, min(LIFT, np.sqrt(toxic) / 2 * (ordinary + 1) / (toxic + 1)))
+    counts = sample.mapInArrow(_gram_rows, "gram long, toxic long, ordinary long").groupBy("gram")
+    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    lift = (F.col("toxic") / (toxic + 1)) / ((F.col("ordinary") + 1) / F.lit(ordinary + 1))
+    chosen = counts.filter((F.col("toxic") >= 3) & (lift >= float(enough)) & (F.col("gram") != 0))
+    return np.sort(chosen.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _stretch_rows(typical: np.ndarray):
+    """(doc_id, place, sample): the typical stretches of toxic rows, up to eight of a row to a sample."""
+
+    def find(batches):
+        for batch in batches:
+            ids, at, found = batch.column("doc_id").to_pylist(), 0, []
+            for piece in arrays.pieces(batch.column("text"), lower=True):
+                piece.words()
+                for row in range(piece.n):
+                    some = _stretches(_row_text(piece, slice(piece.first[row], piece.first[row + 1])), typical)
+                    found += [(ids[at + row], i, b"".join(some[i : i + 8])) for i in range(0, len(some), 8)]
+                at += piece.n
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*found) if found else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "sample"])
+
+    return find
+
+
+def _trained(samples: list[bytes]) -> bytes:
+    """A dictionary's content of ``DICTIONARY`` bytes; too few samples to train on stand for themselves."""
+    try:
+        trained = zstandard.train_dictionary(DICTIONARY + 600, samples, k=24, d=6).as_bytes()
+        return trained[trained.index(_HEADER_END) + len(_HEADER_END) :][-DICTIONARY:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[:DICTIONARY] or b" "
+
+
+def _ordinary_samples(texts: pa.Array) -> list[bytes]:
+    """Windows of whole ordinary texts, eight to a sample."""
+    found = []
+    for piece in arrays.pieces(texts, lower=True):
+        out, segments, _ = windows(piece)
+        raw = out.tobytes()
+        found += [raw[a : a + n] for a, n in segments.tolist()]
+    return [b"".join(found[i : i + 8]) for i in range(0, len(found), 8)]
+
+
+def _feature_rows(ordinary: bytes, toxic: bytes):
+    def measure(batches):
+        first, second = _press(ordinary), _press(toxic)
+        for batch in batches:
+            rows = []
+            for piece in arrays.pieces(batch.column("text"), lower=True):
+                out, segments, doc = windows(piece)
+                rows.append(_features(_lengths(first, out, segments) - _lengths(second, out, segments), doc, piece.n))
+            if rows:
+                x = np.concatenate(rows)
+                ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "x"])
+
+    return measure
+
+
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic") -> Model | None:
-    """A model from at most ``FIT_ROWS`` rows of each label among the label rows that ``keep`` selects."""
-    sample = sample_rows(docs, labels, label, keep, FIT_ROWS).mapInArrow(
-        _spread_windows, "doc_id long, text binary, label int"
-    )
-    rows = sorted((r["doc_id"], bytes(r["text"]), r["label"]) for r in sample.toLocalIterator())
-    return fit([(text, value) for _, text, value in rows], stands_for(labels, label, keep, FIT_ROWS))
+    """A model from at most ``FIT_ROWS`` rows of each label among the label rows that ``keep`` selects.
+
+    None if a label has no rows. Rows of the sample with equal ids and texts count once.
+    """
+    short = docs.filter(F.octet_length("text") <= FIT_BYTES)
+    sample = materialize(sample_rows(short, labels, label, keep, FIT_ROWS).distinct())
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if set(sizes) != {0, 1}:
+        return None
+    typical = _typical(sample, sizes[1], sizes[0])
+    rows = sample.filter("label = 1").mapInArrow(_stretch_rows(typical), "doc_id long, place int, sample binary").toArrow()
+    # The trainer depends on the order of its samples.
+    toxic_samples = rows.sort_by([("doc_id", "ascending"), ("place", "ascending"), ("sample", "ascending")])["sample"].to_pylist()
+    ordinary_texts = sample.filter("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(ORDINARY_ROWS).select("text").toArrow()
+    ordinary = _trained(_ordinary_samples(ordinary_texts["text"]))
+    toxic = ordinary + _trained(toxic_samples)
+    measured = sample.mapInArrow(_feature_rows(ordinary, toxic), "doc_id long, label int, x array<double>").toArrow()
+    measured = measured.sort_by("doc_id")
+    discard(sample)
+    y = measured["label"].to_numpy().astype(float)
+    x = measured["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    weights = stands_for(labels, label, keep, FIT_ROWS)
+    model = Model(ordinary, toxic, x.mean(axis=0), x.std(axis=0) + 1e-9, x.min(axis=0), x.max(axis=0), np.zeros(2), 0.0)
+    x = (x - model.mean) / model.scale
+    model.weights = logistic(x, y, ridge=3.0)
+    model.cut = best_cut(x @ model.weights[1:] + model.weights[0], y, np.array([weights.get(int(v), 1.0) for v in y]))
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

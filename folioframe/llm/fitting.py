@@ -12,6 +12,14 @@ def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.col(id_column).cast("string")) % parts
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with underscores where a column (in any case) has that name already."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def sample_rows(
     docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, values: tuple = (0, 1)
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.fitting import free_name
 from folioframe.session import materialize
 
 MIN_SITES = 10
@@ -59,31 +60,34 @@ def remove_boilerplate(
     A line goes wherever it stands if, without its outer spaces, it occurs on ``min_sites`` or more distinct sites.
     Empty and blank lines stay; a row without site adds no site, but is cleaned. A text that loses nothing stays as it
     is, byte for byte; a text that loses all lines is empty. Null texts stay null and have no lines. Rows that share
-    an id, or have none, are cleaned each by its own lines. All columns of ``docs`` are kept.
+    an id, or have none, are cleaned each by its own lines. All columns of ``docs`` are kept, but for columns named
+    ``n_lines`` or ``n_removed``, which the operator's own replace.
     """
+    key, gone_set, rest = (free_name(docs.columns, n) for n in ("_key", "_gone", "_kept"))
     wide = wide_lines(docs, min_sites, site_column)
     named = docs.select(
-        F.col(id_column).alias("_key"),
+        F.col(id_column).alias(key),
         F.explode(F.array_distinct(_lines(F.col("text")))).alias("_line"),
-    ).select("_key", *[h.alias(n) for h, n in zip(_digest(F.col("_line")), "ab", strict=True)])
-    found = named.join(wide, ["a", "b"]).groupBy("_key").agg(F.collect_set("a").alias("_gone"))
+    ).select(key, *[h.alias(n) for h, n in zip(_digest(F.col("_line")), "ab", strict=True)])
+    found = named.join(wide, ["a", "b"]).groupBy(key).agg(F.collect_set("a").alias(gone_set))
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", F.xxhash64(F.trim(x))))
-    joined = docs.join(found, F.col(id_column).eqNullSafe(F.col("_key")), "left").withColumn(
-        "_kept", F.when(F.col("_gone").isNotNull(), kept)
+    kept = F.filter(lines, lambda x: ~F.array_contains(gone_set, F.xxhash64(F.trim(x))))
+    joined = docs.join(found, F.col(id_column).eqNullSafe(F.col(key)), "left").withColumn(
+        rest, F.when(F.col(gone_set).isNotNull(), kept)
     )
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return joined.select(
         *[
-            F.when(F.col("_kept").isNotNull() & F.col("text").isNotNull(), F.array_join("_kept", "\n"))
+            F.when(F.col(rest).isNotNull() & F.col("text").isNotNull(), F.array_join(rest, "\n"))
             .otherwise(F.col("text"))
             .alias("text")
             if c == "text"
             else F.col(c)
             for c in docs.columns
+            if c not in ("n_lines", "n_removed")
         ],
         n_lines.alias("n_lines"),
-        F.when(F.col("_kept").isNotNull() & F.col("text").isNotNull(), F.size(lines) - F.size("_kept"))
+        F.when(F.col(rest).isNotNull() & F.col("text").isNotNull(), F.size(lines) - F.size(rest))
         .otherwise(0)
         .cast("long")
         .alias("n_removed"),

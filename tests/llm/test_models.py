@@ -123,3 +123,38 @@ def test_code_lengths_against_a_plain_model():
 
 def test_best_cut_parts_the_labels():
     assert 1 < best_cut(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1])) < 2
+
+
+def test_typical_sequences_against_plain_counts(spark):
+    """Sequences chosen by lift, from one aggregate over rows, against counting them row by row."""
+    rng = random.Random(4)
+    words = ["scummy", "ab", "cde", "worthless", "plain", "Text", "zu", "über"]
+    rows = []
+    for i in range(300):
+        label = int(i % 3 == 0)
+        pool = words if label else words[4:] + (words[:1] if i % 50 == 1 else [])
+        rows.append((i, rng.choice(["", " ", "\n"]).join([""]) + " ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))), label))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    toxic, ordinary = sum(r[2] for r in rows), sum(1 - r[2] for r in rows)
+    holds = {0: Counter(), 1: Counter()}
+    for _, text, label in rows:
+        raw = (" " + " ".join(text.lower().split()) + " ").encode() if text.split() else b""
+        holds[label].update({raw[i : i + 5] for i in range(len(raw) - 4) if b" " not in raw[i + 1 : i + 4]})
+    least = max(2, min(20, toxic**0.5 / 2 * (ordinary + 1) / (toxic + 1)))
+    lift = lambda g, n: (n / (toxic + 1)) / ((holds[0][g] + 1) / (ordinary + 1))
+    want = {int.from_bytes(g, "big") for g, n in holds[1].items() if n >= 3 and lift(g, n) >= least}
+    assert set(compression_toxicity._typical(sample, toxic, ordinary).tolist()) == want and want
+
+
+def test_gains_are_differences_of_compressed_lengths(spark):
+    docs = spark.createDataFrame([(1, "you are Worthless scum and  a\nmoron today my friend", 1)], "doc_id long, text string, label int")
+    ordinary, toxic = b" today my friend and", b" worthless scum moron"
+    lengths = []
+    for content in (ordinary, ordinary + toxic):
+        press = compression_toxicity._press(content)
+        parts = [b" you are worthless scum and ", b" a moron today my friend "]
+        lengths.append([len(press.compress(compression_toxicity.MARK + p)) for p in parts])
+    gain = np.subtract(*lengths)
+    x = docs.mapInArrow(compression_toxicity._feature_rows(ordinary, ordinary + toxic), "doc_id long, label int, x array<double>").first()["x"]
+    assert x[9] == max(gain) and x[10] == sum(gain) > 0 and x[13] == sum(gain) / 2
+    assert x[:6] == [np.log1p(sum(gain >= k)) for k in range(1, 7)]
