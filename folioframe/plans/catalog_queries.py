@@ -891,6 +891,22 @@ def title_similarity(spark, d):
     )
 
 
+@query(
+    f"WITH p AS (SELECT DISTINCT {S.words("title || ' ' || p_type || ' ' || p_brand")} AS words FROM ({S.PARTS})), "
+    f"s AS (SELECT a.words AS a, b.words AS b, {S.jaccard('a.words', 'b.words')} AS similarity FROM p a, p b WHERE a.words < b.words) "
+    "SELECT array_to_string(a, ' ') AS left_words, array_to_string(b, ' ') AS right_words, similarity FROM s "
+    "WHERE similarity >= 0.5"
+)
+def part_similarity(spark, d):
+    """Every pair of different, similar titles once."""
+    name = F.concat_ws(" ", "title", "p_type", "p_brand")
+    words = V.part_entities(spark, d).select(similarity.title_words(name).alias("words")).distinct()
+    pairs = similarity.similar_titles(words, words, 0.5).filter(F.col("left_words") < F.col("right_words"))
+    return pairs.select(
+        F.array_join("left_words", " ").alias("left_words"), F.array_join("right_words", " ").alias("right_words"), "similarity"
+    )
+
+
 @query(
     f"SELECT doc_id, {S.jaccard(S.words('text'), S.words('lang || source || text'))} AS similarity FROM documents"
 )
@@ -1467,6 +1483,17 @@ def refresh_entities(spark, d):
     return result.catalog.entity.select("id", "title", joined("authors"), "isbn13", "metadata_status", "group_method")
 
 
+@query(
+    REFRESHED + "SELECT id AS book_id, 'title' AS field, CASE WHEN title IS NULL THEN 'filename' ELSE 'embedded' END AS "
+    "source FROM numbered UNION ALL SELECT id, 'authors', 'embedded' FROM numbered WHERE authors <> '' "
+    "UNION ALL SELECT id, 'isbn13', 'embedded' FROM numbered WHERE isbn13 IS NOT NULL"
+)
+def refresh_provenance(spark, d):
+    """Where the fields of new entities come from."""
+    result = refresh_catalog(*document_metadata(spark, d), empty_catalog(spark))
+    return result.catalog.provenance.select("book_id", "field", "source")
+
+
 @query(
     REFRESHED + "SELECT r.path, n.id AS book_id, row_number() OVER (ORDER BY r.path) AS id, f.lang = 'de' AS missing "
     "FROM resolved r JOIN numbered n ON n.component = r.component JOIN (SELECT f.path, d.lang FROM f JOIN documents d "
