@@ -28,6 +28,7 @@ PACKAGE_SCHEMA = (
 )
 
 
+# The notes below say why an archive could not be read.
 def package_text(content: bytes) -> tuple[str | None, str | None]:
     """(document text, note) of one archive; a bad archive gives a note instead of text."""
     try:
