@@ -17,6 +17,8 @@ from folioframe.session import materialize
 # A counter takes at most this many bytes; a name with less room than that may be cut for one.
 _COUNTER_BYTES = 22
 _SLOT_BLOCK = 100_000
+# Counters have at most this many digits.
+_COUNTER_DIGITS = 9
 
 
 def rendered_names(
@@ -119,14 +121,15 @@ def _may_be_cut(name: str) -> Column:
     return F.octet_length(name) > NAME_BYTES - _COUNTER_BYTES
 
 
-def _with_parent(df: DataFrame, name: str) -> DataFrame:
-    """Add ``parent`` and ``slot`` of names that are a counter of another name; drop the others."""
+def _with_parent(df: DataFrame, name: str, text: str = "_text") -> DataFrame:
+    """Add ``parent``, ``slot`` and the ``text`` before them of names that are a counter; drop the others."""
     pattern = r"^(.*) \(([1-9][0-9]{0,8})\)$"
     parts = df.withColumns({"_stem": X.stem(F.col(name)), "_suffix": suffix(F.col(name))})
     return (
-        parts.withColumns(
+        parts.withColumn(text, F.regexp_extract("_stem", pattern, 1))
+        .withColumns(
             {
-                "parent": F.concat(F.regexp_extract("_stem", pattern, 1), F.col("_suffix")),
+                "parent": F.concat(F.col(text), F.col("_suffix")),
                 "slot": F.regexp_extract("_stem", pattern, 2).try_cast("long"),
             }
         )
@@ -151,7 +154,7 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
         )
     )
     # Different long names can be cut to the same text, and so can names that pile up counters;
-    # such families are served file by file.
+    # such families share pools of counters.
     key = ["dir", "family"]
     several = (
         bases.groupBy(*key)
@@ -177,7 +180,7 @@ def assign_names(moves: DataFrame, occupied: DataFrame) -> DataFrame:
         _take_slots(marked.filter(F.col("several").isNull()), blocked)
         .select(*columns)
         .unionByName(
-            _serve(marked.filter("several"), taken.join(several, key, "left_semi")).select(*columns)
+            _share_counters(marked.filter("several"), taken.join(several, key, "left_semi")).select(*columns)
         )
     )
 
@@ -231,14 +234,7 @@ def _resolve_contests(moves: DataFrame, contests: DataFrame, present: DataFrame)
     """
     key = ["dir", "base"]
     marks = contests.select(*key, "slot", F.col("first_path").alias("current_path"))
-    files = moves.join(contests.select(*key).distinct(), key, "left_semi")
-    together = files.select(*key, "current_path", F.lit(None).cast("long").alias("slot")).unionByName(marks)
-    among_all = rank_in_group(together, key, ["current_path"], "n").filter(F.col("slot").isNotNull())
-    among_marks = rank_in_group(marks, key, ["current_path"], "m")
-    before = (
-        among_all.join(among_marks.select(*key, "slot", "m"), [*key, "slot"])
-        .select(*key, "slot", (F.col("n") - F.col("m")).alias("before"))
-    )
+    before = _files_before(moves.join(contests.select(*key).distinct(), key, "left_semi"), marks)
     fixed = present.select(*key, "slot", F.lit(-1).cast("long").alias("before"))
     open_ = materialize(
         contests.join(present, [*key, "slot"], "left_anti")
@@ -276,6 +272,17 @@ def _resolve_contests(moves: DataFrame, contests: DataFrame, present: DataFrame)
     return out.distinct()
 
 
+def _files_before(files: DataFrame, marks: DataFrame) -> DataFrame:
+    """(dir, base, slot, before): how many files of a name come before the path of each mark."""
+    key = ["dir", "base"]
+    together = files.select(*key, "current_path", F.lit(None).cast("long").alias("slot")).unionByName(marks)
+    among_all = rank_in_group(together, key, ["current_path"], "n").filter(F.col("slot").isNotNull())
+    among_marks = rank_in_group(marks, key, ["current_path"], "m")
+    return among_all.join(among_marks.select(*key, "slot", "m"), [*key, "slot"]).select(
+        *key, "slot", (F.col("n") - F.col("m")).alias("before")
+    )
+
+
 def _settle(rows: DataFrame) -> DataFrame:
     """(dir, base, slot, before) -> (dir, base, slot, lost): slots a name cannot have.
 
@@ -304,11 +311,16 @@ def _settle(rows: DataFrame) -> DataFrame:
 
 def _take_slots(moves: DataFrame, blocked: DataFrame) -> DataFrame:
     """The i-th file of a name takes its i-th slot outside ``blocked`` (dir, base, slot, files)."""
-    key = ["dir", "base"]
-    ranked = rank_in_group(moves, key, ["current_path"], "rank")
+    ranked = rank_in_group(moves, ["dir", "base"], ["current_path"], "rank")
     ranked = ranked.withColumns({"_stem": X.stem(F.col("proposed")), "_suffix": suffix(F.col("proposed"))})
+    return _place(_nth_free(ranked, blocked))
+
+
+def _nth_free(ranked: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Add ``_slot``: the ``rank``-th slot outside ``blocked`` (dir, base, slot, files)."""
+    key = ["dir", "base"]
     if blocked.isEmpty():
-        return _place(ranked.withColumn("_slot", F.col("rank")))
+        return ranked.withColumn("_slot", F.col("rank"))
     # Slots past files + blocked ones are never reached. They are generated in blocks, so that a
     # name with very many files is spread over tasks.
     reach = blocked.groupBy(*key).agg((F.max("files") + F.count(F.lit(1))).alias("last"))
@@ -323,7 +335,7 @@ def _take_slots(moves: DataFrame, blocked: DataFrame) -> DataFrame:
     ).join(blocked.select(*key, "slot"), [*key, "slot"], "left_anti")
     free = rank_in_group(slots, key, ["slot"], "rank")
     placed = ranked.join(free, [*key, "rank"], "left")
-    return _place(placed.withColumn("_slot", F.coalesce("slot", "rank")))
+    return placed.withColumn("_slot", F.coalesce("slot", "rank"))
 
 
 def _place(ranked: DataFrame) -> DataFrame:
@@ -335,58 +347,105 @@ def _place(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _serve(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """Name the files of a family one by one in path order, as a stream sorted by family."""
-    rows = moves.select("dir", "family", "current_path", "proposed", F.lit(1).alias("kind"))
-    marks = taken.select(
-        "dir", "family", F.lit("").alias("current_path"), F.col("taken").alias("proposed"), F.lit(0).alias("kind")
+def _share_counters(moves: DataFrame, taken: DataFrame) -> DataFrame:
+    """Name the files of families whose long names are cut to the same text.
+
+    Files whose names are cut alike for a counter of so many digits draw from one pool of names, in path
+    order; who finds it used up goes on to the pool with one digit more. The first file of a name keeps
+    the name itself, unless a pool gets there with an earlier file: then that file draws, too, and all
+    is drawn again. A name once lost stays lost, so rounds end; without names that are counters of
+    others there is one.
+    """
+    key, file = ["dir", "base"], ["dir", "current_path"]
+    free = taken.select("dir", F.col("taken").alias("base"))
+    first = materialize(
+        moves.groupBy(*key).agg(F.min("current_path").alias("current_path")).join(free, key, "left_anti")
     )
-    decided = (
-        rows.unionByName(marks)
-        .repartition("dir", "family")
-        .sortWithinPartitions("dir", "family", "kind", "current_path")
-        .mapInPandas(_serve_in_order, "dir STRING, current_path STRING, proposed_name STRING")
+    present = materialize(_as_counters(taken, "taken").select(*key, "digits", "slot").distinct())
+    contested = materialize(
+        _as_counters(first.withColumnRenamed("base", "child"), "child").select(
+            *key, "digits", "slot", "child", "current_path"
+        )
     )
-    return moves.join(decided, ["dir", "current_path"])
-
-
-def _serve_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, taken, counters = None, set(), {}
-    for batch in batches:
-        named = []
-        for row in batch.itertuples(index=False):
-            if current != (row.dir, row.family):
-                current, taken, counters = (row.dir, row.family), set(), {}
-            name = row.proposed
-            if row.kind and name.lower() in taken:
-                # Names are never released, so counters below the last one stay taken.
-                counter = counters.get(name, 2)
-                while (free := counted_name(name, counter)).lower() in taken:
-                    counter += 1
-                counters[name] = counter + 1
-                name = free
-            taken.add(name.lower())
-            if row.kind:
-                named.append((row.dir, row.current_path, name))
-        yield pd.DataFrame(named, columns=["dir", "current_path", "proposed_name"], dtype="object")
-
-
-def counted_name(name: str, counter: int, limit: int = NAME_BYTES) -> str:
-    """``with_counter`` for one name inside a task."""
-    import regex
-
-    match = regex.fullmatch(r"(.+)\.([^.\s]+)", name, regex.DOTALL)
-    stem, suffix = (match[1], "." + match[2]) if match else (name, "")
-    marker = f" ({counter})"
-    budget = limit - len(suffix.encode()) - len(marker)
-    if len(stem.encode()) > budget:
-        kept = ""
-        for grapheme in regex.findall(r"\X", stem):
-            if len((kept + grapheme).encode()) > budget:
+    lost = first.select(*key).limit(0)
+    while True:
+        kept = first.join(lost, key, "left_anti")
+        rivals = contested.join(lost.withColumnRenamed("base", "child"), ["dir", "child"], "left_anti")
+        waiting = moves.select(*file, "proposed").join(kept, file, "left_anti")
+        decided = moves.select(*file, "proposed").join(kept.select(*file), file, "left_semi")
+        decided, beaten = decided.withColumn("proposed_name", F.col("proposed")), lost.limit(0)
+        for digits in range(1, _COUNTER_DIGITS + 1):
+            drawing = materialize(_in_pools(waiting, digits))
+            if drawing.isEmpty():
                 break
-            kept += grapheme
-        stem = kept.strip()
-    return stem + marker + suffix
+            of_pool = F.col("digits") == digits
+            drawn, won = _draw(drawing, present.filter(of_pool), rivals.filter(of_pool), digits)
+            decided = decided.unionByName(drawn.filter(F.col("proposed_name").isNotNull()))
+            beaten = beaten.unionByName(won)
+            waiting = drawn.filter(F.col("proposed_name").isNull()).drop("proposed_name")
+        beaten = materialize(beaten)
+        if beaten.isEmpty():
+            return moves.join(decided.drop("proposed"), file)
+        lost = materialize(lost.unionByName(beaten))
+
+
+def _in_pools(files: DataFrame, digits: int) -> DataFrame:
+    """Add ``base``: the pool of a file, as the lower-case name with its least counter of ``digits`` digits."""
+    stem, end = X.stem(F.col("proposed")), suffix(F.col("proposed"))
+    return files.withColumns({"_stem": stem, "_suffix": end}).select(
+        "dir",
+        "current_path",
+        "proposed",
+        F.lower(counted(F.col("_stem"), F.col("_suffix"), F.lit(10 ** (digits - 1)))).alias("base"),
+    )
+
+
+def _as_counters(df: DataFrame, name: str) -> DataFrame:
+    """Names that are a counter, with the pool that holds them: (base, digits, slot); drops the others."""
+    return _with_parent(df, name, "_text").withColumns(
+        {
+            "digits": F.length(F.col("slot").cast("string")),
+            "base": F.concat(
+                "_text", F.lit(" (1"), F.repeat(F.lit("0"), F.col("digits") - 1), F.lit(")"), suffix(F.col(name))
+            ),
+        }
+    )
+
+
+def _draw(
+    drawing: DataFrame, present: DataFrame, rivals: DataFrame, digits: int
+) -> tuple[DataFrame, DataFrame]:
+    """Files with ``proposed_name`` (null where the pool is used up), and the names that pools win.
+
+    Slots are counted from the least counter of so many digits; 1 is no counter.
+    """
+    key = ["dir", "base"]
+    least = max(2, 10 ** (digits - 1))
+    from_one = F.col("slot") - (least - 1)
+    pools = drawing.groupBy(*key).agg(F.count(F.lit(1)).alias("files"))
+    fixed = present.join(pools, key, "left_semi").select(
+        *key, from_one.alias("slot"), F.lit(-1).cast("long").alias("before")
+    )
+    rivals = materialize(
+        rivals.join(pools, key, "left_semi").select(*key, from_one.alias("slot"), "child", "current_path")
+    )
+    marks = fixed
+    if not rivals.isEmpty():
+        marks = fixed.unionByName(_files_before(drawing, rivals.select(*key, "slot", "current_path")))
+    settled = materialize(_settle(marks))
+    won = (
+        settled.filter(~F.col("lost")).join(rivals, [*key, "slot"]).select("dir", F.col("child").alias("base"))
+    )
+    blocked = materialize(settled.filter("lost").select(*key, "slot").join(pools, key))
+    placed = _nth_free(rank_in_group(drawing, key, ["current_path"], "rank"), blocked)
+    placed = placed.withColumns({"_stem": X.stem(F.col("proposed")), "_suffix": suffix(F.col("proposed"))})
+    name = counted(F.col("_stem"), F.col("_suffix"), F.col("_slot") + (least - 1))
+    return placed.select(
+        "dir",
+        "current_path",
+        "proposed",
+        F.when(F.col("_slot") <= 10**digits - least, name).alias("proposed_name"),
+    ), won
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

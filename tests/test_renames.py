@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from folioframe import schemas
@@ -29,12 +30,27 @@ def rows(plan):
     return {r["file_id"]: (r["proposed_name"], r["status"]) for r in plan.collect()}
 
 
+def counted_name(name, counter, limit=schemas.NAME_BYTES):
+    match = regex.fullmatch(r"(.+)\.([^.\s]+)", name, regex.DOTALL)
+    stem, suffix = (match[1], "." + match[2]) if match else (name, "")
+    marker = f" ({counter})"
+    budget = limit - len(suffix.encode()) - len(marker)
+    if len(stem.encode()) > budget:
+        kept = ""
+        for grapheme in regex.findall(r"\X", stem):
+            if len((kept + grapheme).encode()) > budget:
+                break
+            kept += grapheme
+        stem = kept.strip()
+    return stem + marker + suffix
+
+
 def greedy(names, taken):
     taken, out = {t.lower() for t in taken}, []
     for name in names:
         final, counter = name, 2
         while final.lower() in taken:
-            final = renames.counted_name(name, counter)
+            final = counted_name(name, counter)
             counter += 1
         taken.add(final.lower())
         out.append(final)
@@ -124,6 +140,18 @@ def test_long_clusters_against_the_greedy_loop(spark, seed):
     assert len({n.lower() for n in names}) == len(names)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_pools_of_long_names(spark, seed):
+    """Long names that are cut alike for one digit or for two, some of them counters of the others."""
+    rng = random.Random(seed)
+    pool = ["P" * 250, "P" * 247 + "xyz", "P" * 246 + "zzzz", "P" * 246 + " (2)", "P" * 246 + " (3)", "p" * 245 + " (12)"]
+    pool += ["P" * 245 + "abcde", "P" * 246 + " (7)", "P" * 240]
+    titles = [rng.choice(pool) for _ in range(70)]
+    present = ["P" * 246 + " (4).epub", "P" * 245 + " (14).epub"]
+    got = rows(plan_of(spark, titles, ["/d/" + p for p in present]))
+    assert [got[i][0] for i in range(1, 71)] == greedy([f"{t}.epub" for t in titles], present)
+
+
 def test_recheck_renames_stale_rows(spark):
     plan = plan_of(spark, ["A", "B"])
     listing = spark.createDataFrame(
