@@ -110,6 +110,59 @@ def test_truncated_gzip_member_raises(spark):
         member_per_record(spark, lambda data: data[:-20]).collect()
 
 
+FOREIGN = [
+    ([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n"),
+    ([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Target-URI", "http://a/"),
+      ("Content-Type", "application/http; msgtype=request")], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+    ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:3>"), ("WARC-Target-URI", "http://a/"),
+      ("Content-Type", "application/http; msgtype=response")], b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"),
+    ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:4>"), ("Content-Type", "application/http")],
+     b"HTTP/1.1 200 OK\r\nServer:x\r\nTransfer-Encoding:chunked\r\n\r\n5\r\nworld\r\n0\r\n\r\n"),
+    ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:5>"), ("Content-Type", "text/dns")], b"a. 1 IN A 1.2.3.4"),
+    ([("WARC-Type", "metadata"), ("WARC-Record-ID", "<urn:uuid:6>"), ("WARC-Payload-Digest", "md5:00")], b"a: b\r\n\r\nc"),
+    ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:7>"), ("Content-Type", "application/http")],
+     b"HTTP/1.1 200 OK\r\nContent-Length: 50\r\n\r\nhello"),
+    ([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:8>"), ("WARC-Refers-To", "<urn:uuid:3>"),
+      ("WARC-Payload-Digest", "sha1:VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N"), ("Content-Type", "application/http")], b"HTTP/1.1 200 OK\r\n\r\n"),
+    ([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:9>"), ("Content-Type", "application/http")], b"HTTP/1.1 200 OK"),
+]
+
+
+def test_foreign_archive(spark):
+    """Other record types, both framings, headers without a space after the colon; one gzip member per record."""
+    at = tempfile.mkdtemp()
+    with open(f"{at}/crawl.warc.gz", "wb") as file:
+        for headers, block in FOREIGN:
+            file.write(gzip.compress(warc._record(headers, block).replace(b"WARC-Type: ", b"WARC-Type:")))
+    rows = {r["record_id"][-2]: r for r in warc.read_archives(spark, at).collect()}
+    payloads = {k: r["payload"] and bytes(r["payload"]) for k, r in rows.items()}
+    assert payloads == {
+        "1": b"software: x\r\n", "2": b"", "3": b"hello", "4": b"world", "5": b"a. 1 IN A 1.2.3.4", "6": b"a: b\r\n\r\nc",
+        "7": b"hello", "8": None, "9": None,
+    }
+    problems = {k: r["problem"] for k, r in rows.items() if r["problem"]}
+    assert problems == {"7": "body is cut short", "9": "no end of the HTTP headers"}
+    assert rows["8"]["refers_to_id"] == "<urn:uuid:3>" and rows["8"]["payload_bytes"] == 5
+    assert {r["page_id"] for r in rows.values()} == {None}
+
+
+def test_revisits_name_a_record_of_the_archive(spark):
+    pages = spark.createDataFrame(
+        [(1, "u", "same"), (2, "u", "same"), (3, "u", "two"), (5, "u", "two"), (5, "v", "two"), (None, "w", "same")],
+        "page_id long, url string, html string",
+    )
+    at = folder(spark)
+    warc.write_archives(pages, at)
+    rows = warc.read_archives(spark, at).collect()
+    names = [r["record_id"] for r in rows]
+    assert len(set(names)) == len(names)
+    named = {r["page_id"]: r["refers_to_id"] for r in rows if r["record_type"] == "revisit"}
+    target = next(r["record_id"] for r in rows if r["page_id"] == 2)
+    # Page 5 has its payload twice, so page 3 is tied to it by digest.
+    assert named == {1: target, None: target, 3: None}
+    assert {r["page_id"]: r["refers_to"] for r in rows if r["record_type"] == "revisit"} == {1: 2, None: 2, 3: 5}
+
+
 def test_chunked_framing():
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
