@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from folioframe.llm import arrays
 
 ORDER = 3
-# Fit bounds: documents of each language, and bytes of one training document (evenly spread pieces of the whole).
-FIT_ROWS = 1500
-FIT_BYTES = 1 << 15
+# Fit bounds: documents of each language, taken whole, and the longest one that is drawn.
+FIT_ROWS = 600
+FIT_BYTES = 1 << 16
 # Contexts seen less often than this in every language are left to the next shorter one.
 SUPPORT = 8
 # Code lengths differ by this many bits before the score saturates.
@@ -138,41 +138,40 @@ def code_lengths(model: Model, piece: arrays.Texts) -> np.ndarray:
     return total
 
 
-def _spread_bytes(batches):
-    """Training texts: at most ``FIT_BYTES``, in 16 pieces spread evenly over a longer document."""
-    for batch in batches:
-        texts = []
-        for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-            if len(text) > FIT_BYTES:
-                step, size = len(text) // 16, FIT_BYTES // 16
-                text = b" ".join(text[at * step : at * step + size] for at in range(16))
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang"), pa.array(texts, pa.binary())], ["doc_id", "lang", "text"]
-        )
-
-
 def train(docs: DataFrame, keep: Column) -> Model | None:
-    """A model from at most ``FIT_ROWS`` texts of each language among the rows that ``keep`` selects.
+    """A model from at most ``FIT_ROWS`` whole texts of each language among the rows that ``keep`` selects.
 
-    Of each language the rows with the smallest hashes of their ids are taken. The sample, at most ``FIT_ROWS`` times
-    ``FIT_BYTES`` for each language, is all that reaches the driver.
+    Of each language the rows with the smallest hashes of their ids are taken, ties by id, among the texts of at most
+    ``FIT_BYTES`` bytes; longer ones are never drawn (but identified whole). The sample, at most ``FIT_ROWS`` times
+    ``FIT_BYTES`` for each language, is all that the driver holds. Rows without language, id or text are not drawn; without
+    any row there is no model.
     """
-    known = docs.filter(keep & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    draw = F.xxhash64("doc_id")
+    known = docs.filter(
+        keep
+        & F.col("lang").isNotNull()
+        & F.col("doc_id").isNotNull()
+        & (F.octet_length(F.col("text").cast("string")) <= FIT_BYTES)
+    ).select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(2**31)).alias("draw"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "lang",
+        F.col("text").cast("string").cast("binary").alias("text"),
+    )
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return None
     # A hash threshold for each language spares a sort; a tenth more than needed is drawn, then cut.
     limits = F.create_map(
         *[F.lit(v) for lang, n in counts.items() for v in (lang, int(2**31 * min(1.0, 1.1 * FIT_ROWS / n)))]
-    ) if counts else None
-    if limits is None:
-        return None
-    drawn = known.withColumn("draw", F.pmod(draw, F.lit(2**31))).filter(F.col("draw") <= F.element_at(limits, F.col("lang")))
-    sample = drawn.select("doc_id", "lang", "text").mapInArrow(_spread_bytes, "doc_id long, lang string, text binary")
+    )
     rows: dict[str, list] = {}
-    for r in sample.toLocalIterator():
-        rows.setdefault(r["lang"], []).append((r["doc_id"], bytes(r["text"])))
-    return fit([(lang, text) for lang, own in sorted(rows.items()) for _, text in sorted(own)[:FIT_ROWS]])
+    for r in known.filter(F.col("draw") <= F.element_at(limits, F.col("lang"))).toLocalIterator():
+        own = rows.setdefault(r["lang"], [])
+        own.append((r["draw"], r["doc_id"], bytes(r["text"])))
+        if len(own) >= 2 * FIT_ROWS:
+            # An id that is repeated very often brings all its rows.
+            own[:] = sorted(own)[:FIT_ROWS]
+    return fit([(lang, text) for lang, own in sorted(rows.items()) for *_, text in sorted(own)[:FIT_ROWS]])
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -158,3 +158,21 @@ def test_gains_are_differences_of_compressed_lengths(spark):
     x = docs.mapInArrow(compression_toxicity._feature_rows(ordinary, ordinary + toxic), "doc_id long, label int, x array<double>").first()["x"]
     assert x[9] == max(gain) and x[10] == sum(gain) > 0 and x[13] == sum(gain) / 2
     assert x[:6] == [np.log1p(sum(gain >= k)) for k in range(1, 7)]
+
+
+def test_language_sample_is_the_smallest_hashes_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(ppm_language, "FIT_ROWS", 20)
+    monkeypatch.setattr(ppm_language, "FIT_BYTES", 5000)
+    taken = []
+    monkeypatch.setattr(ppm_language, "fit", taken.extend)
+    rows = [(i, "ab"[i % 2], f"text {i} " + "x" * (6000 if i % 10 == 0 else i)) for i in range(500)]
+    rows += [(77, "b", "again")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    ppm_language.train(docs, F.lit(True))
+    want = []
+    hashed = docs.withColumn("draw", F.expr("pmod(xxhash64(doc_id), 2147483648)")).collect()
+    for lang in "ab":
+        own = sorted((r["draw"], r["doc_id"], r["text"].encode()) for r in hashed if r["lang"] == lang and len(r["text"]) <= 5000)
+        limit = int(2**31 * min(1.0, 22 / len(own)))
+        want += [(lang, text) for draw, _, text in own[:20] if draw <= limit]
+    assert taken == want and {lang for lang, _ in taken} == {"a", "b"}
