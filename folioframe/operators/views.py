@@ -67,6 +67,17 @@ def load_catalog(entities: DataFrame, members: DataFrame, page_files: int = 100_
     )
 
 
+def entity_texts() -> Column:
+    """What a search looks at in an entity itself."""
+    return F.array_compact(
+        F.concat(
+            F.array("title"),
+            F.coalesce("authors", F.array().cast("array<string>")),
+            F.array("series", "isbn13", "isbn10"),
+        )
+    )
+
+
 def search(entities: DataFrame, members: DataFrame, text: str) -> DataFrame:
     """Entities with ``text`` in a title, author, series, identifier or file name.
 
@@ -76,13 +87,6 @@ def search(entities: DataFrame, members: DataFrame, text: str) -> DataFrame:
         return entities
     needle = key(F.lit(text))
     found_in = lambda c: F.contains(key(c), needle)
-    own = F.array_compact(
-        F.concat(
-            F.array("title"),
-            F.coalesce("authors", F.array().cast("array<string>")),
-            F.array("series", "isbn13", "isbn10"),
-        )
-    )
     in_files = (
         members.filter(found_in(filename(F.col("path"))))
         .groupBy(F.col("book_id").alias("id"))
@@ -90,7 +94,7 @@ def search(entities: DataFrame, members: DataFrame, text: str) -> DataFrame:
     )
     return (
         entities.join(in_files, "id", "left")
-        .filter(F.coalesce("_in_files", F.lit(False)) | F.exists(own, found_in))
+        .filter(F.coalesce("_in_files", F.lit(False)) | F.exists(entity_texts(), found_in))
         .drop("_in_files")
     )
 

@@ -19,6 +19,7 @@ from folioframe.operators import (
     overrides,
     provenance,
     renames,
+    search_index,
     similarity,
     snapshot,
     views,
@@ -1330,15 +1331,29 @@ def load_catalog(spark, d):
     )
 
 
-@query(
-    f"{S.CATALOG}, m AS (SELECT DISTINCT book_id FROM member WHERE contains({S.key("string_split(path, '/')[-1]")}, '7 1')) "
-    f"SELECT id, title FROM entity WHERE contains({S.key('title')}, '7 1') OR len(list_filter(authors, lambda a: "
-    f"contains({S.key('a')}, '7 1'))) > 0 OR contains({S.key("coalesce(series, '')")}, '7 1') OR id IN (SELECT book_id FROM m)"
-)
+def search_sql(needle: str) -> str:
+    return (
+        f"{S.CATALOG}, m AS (SELECT DISTINCT book_id FROM member WHERE contains({S.key("string_split(path, '/')[-1]")}, "
+        f"'{needle}')) SELECT id, title FROM entity WHERE contains({S.key('title')}, '{needle}') OR "
+        f"len(list_filter(authors, lambda a: contains({S.key('a')}, '{needle}'))) > 0 OR "
+        f"contains({S.key("coalesce(series, '')")}, '{needle}') OR id IN (SELECT book_id FROM m)"
+    )
+
+
+@query(search_sql("7 1"))
 def search(spark, d):
     return views.search(*order_catalog(spark, d), "7-1").select("id", "title")
 
 
+@query(search_sql("17 1"))
+def search_by_index(spark, d):
+    entities, members = order_catalog(spark, d)
+    folder = f"{work_folder(spark)}/search-{uuid.uuid4().hex}"
+    search_index.write_index(entities, members, folder)
+    index = search_index.read_index(spark, folder)
+    return search_index.search(entities, members, index, "17-1").select("id", "title")
+
+
 @query(f"{S.CATALOG} SELECT id FROM entity WHERE id IN (SELECT book_id FROM member WHERE format = 'pdf')")
 def with_format(spark, d):
     return views.with_format(*order_catalog(spark, d), "pdf").select("id")
