@@ -651,7 +651,6 @@ def detached_members(spark, d):
     """Orders as entities to take apart, their line items as members with own metadata."""
     entity = V.order_entities(spark, d)
     members = V.line_members(spark, d).withColumn("manual_group_id", V.null("string"))
-    members = materialize(members.dropDuplicates(["path"]))
     found = members.select(
         "path",
         F.when(F.col("format") == "epub", F.concat(F.lit("Own "), F.col("size_bytes"))).alias("title"),
@@ -670,7 +669,7 @@ def detached_members(spark, d):
 
 
 UNGROUPED = (
-    f"{S.CATALOG}, files AS (SELECT DISTINCT ON (path) * FROM member), "
+    f"{S.CATALOG}, files AS (SELECT * FROM member), "
     "g AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY path) AS place, "
     "count(*) OVER (PARTITION BY book_id) AS n FROM files), "
     "last AS (SELECT max(id) AS top FROM entity), "
@@ -709,7 +708,7 @@ def ungroup_entities(spark, d):
 
 
 @query(
-    f"{S.CATALOG}, files AS (SELECT DISTINCT ON (path) * FROM member), "
+    f"{S.CATALOG}, files AS (SELECT * FROM member), "
     "ask AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n, count_if(format = 'pdf') OVER (PARTITION BY book_id) "
     "AS asked, min(CASE WHEN format = 'pdf' THEN path END) OVER (PARTITION BY book_id) AS first_asked FROM files), "
     "last AS (SELECT max(id) AS top FROM entity), "
@@ -746,6 +745,37 @@ def edit_diff(spark, d):
     return provenance.edit_diff(edited, original).withColumn("fields", F.array_join("fields", "|"))
 
 
+EDITED_TITLE = "CASE WHEN p_size % 3 = 0 THEN 'The ' || upper(title) ELSE title END"
+
+
+@query(
+    f"WITH e AS ({S.PARTS}), n AS (SELECT id, p_size, {EDITED_TITLE} AS title, CASE WHEN p_size % 15 = 0 THEN ['Ann Lee'] "
+    "ELSE authors END AS authors FROM e) "
+    f"SELECT id, title, {S.title_sort('title')} AS title_sort, array_to_string(authors, '|') AS authors, "
+    f"CASE WHEN len(authors) = 0 THEN '' ELSE lower({S.last_first('authors[1]')}) END AS author_sort, "
+    "CASE WHEN p_size % 3 = 0 THEN 'complete' ELSE 'unresolved' END AS metadata_status, p_size % 3 = 0 AS edited FROM n"
+)
+def apply_edits(spark, d):
+    original = V.part_entities(spark, d)
+    edited = original.filter("p_size % 3 = 0").withColumns(
+        {
+            "title": F.concat(F.lit("The "), F.upper("title")),
+            "authors": F.when(F.col("p_size") % 15 == 0, F.array(F.lit("Ann Lee"))).otherwise(F.col("authors")),
+            "year": F.coalesce("year", F.lit(1970)),
+        }
+    )
+    rows = overrides.apply_edits(original, edited, F.timestamp_seconds(F.lit(2_000_000_000)))
+    return rows.select(
+        "id",
+        "title",
+        "title_sort",
+        joined("authors"),
+        "author_sort",
+        "metadata_status",
+        (F.col("updated_at") > F.col("created_at")).alias("edited"),
+    )
+
+
 # ---- provenance ----------------------------------------------------------------------------
 
 
@@ -1155,11 +1185,11 @@ NAME_PARTS = "p_brand || ' - ' || p_name || CASE WHEN p_size % 4 <> 0 THEN ' - '
     "CASE WHEN year IS NOT NULL AND language IS NULL THEN 'language' ELSE '' END AS missing FROM e"
 )
 def render_names(spark, d):
-    template = "{series? {series} #{series_index} }{author_sort}: {title}{year? ({year}, {language})}.{ext}"
+    template = "{series?{series} #{series_index} }{author_sort}: {title}{year? ({year}, {language})}.{ext}"
     entity = V.part_entities(spark, d).withColumn("authors", F.array("p_brand"))
     columns = ["title", "authors", "year", "series", "series_index", "isbn13", "isbn10", "language", "publisher"]
     values = naming.token_values(*[F.col(c) for c in columns], ext=F.lit("EPUB"))
-    text, missing = naming.render(template.replace("{series? ", "{series?"), values)
+    text, missing = naming.render(template, values)
     return entity.select("id", text.alias("name"), F.array_join(missing, "|").alias("missing"))
 
 
@@ -1435,17 +1465,18 @@ def selection_summary(spark, d):
     return views.selection_summary(views.selection(views.catalog_view(*order_catalog(spark, d)), chosen))
 
 
+PREVIEW_NAME = "(coalesce(authors[1], '') || ' - ' || title || '.' || string_split(path, '.')[-1])"
+
+
 @query(
     f"{S.CATALOG}, first AS (SELECT e.*, m.path FROM entity e JOIN (SELECT book_id, min(path) AS path FROM member "
     "GROUP BY book_id) m ON id = book_id ORDER BY title_sort, id LIMIT 3) SELECT id, string_split(path, '/')[-1] AS "
-    "current_name, coalesce(authors[1], '') || ' - ' || title || '.' || string_split(path, '.')[-1] AS proposed, "
+    f"current_name, {S.sanitize(PREVIEW_NAME, "string_split(path, '.')[-1]")} AS proposed, "
     "CASE WHEN len(authors) = 0 THEN 'author' ELSE '' END AS tokens FROM first"
 )
 def template_preview(spark, d):
     rows = views.template_preview(*order_catalog(spark, d), "{author} - {title}.{ext}")
-    # A leading separator of an empty author is tidied away; show the rendered text as it would be.
-    shown = F.when(F.size("tokens") > 0, F.concat(F.lit(" - "), "proposed")).otherwise(F.col("proposed"))
-    return rows.select("id", "current_name", shown.alias("proposed"), joined("tokens"))
+    return rows.select("id", "current_name", "proposed", joined("tokens"))
 
 
 # ---- whole refresh and snapshots -----------------------------------------------------------
