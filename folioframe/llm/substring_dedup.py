@@ -8,7 +8,8 @@ hit is compared, by 96 hash bits, with all such runs elsewhere, and consecutive
 Documents are dealt to buckets by id, and each bucket sends a hash once however many of its documents hold it. A
 passage that a third of all documents share therefore costs one entry for each bucket and hash, no pair of documents
 is ever formed, and the answer for a hash (it occurs in an earlier document of another bucket) needs no list of
-documents either. The number of buckets is the session's number of shuffle partitions, so it grows with the input.
+documents either. There are as many buckets as the session has shuffle partitions, and more where a bucket would hold
+over ``BUCKET_BYTES`` of text on average, so that what a task holds does not hang on that setting.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from folioframe.llm import arrays
 
 BLOCK = 25
+# Text in one bucket, on average.
+BUCKET_BYTES = 64 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -36,7 +39,7 @@ def remove_repeats(
     """
     if window < 2 * BLOCK - 1:
         raise ValueError(f"window must be at least {2 * BLOCK - 1} words")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(docs, text_column)
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(0))
     texts = docs.select(
         F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"),
@@ -65,6 +68,11 @@ def remove_repeats(
     )
 
 
+def _buckets(docs: DataFrame, text_column: str) -> int:
+    total = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
 def _packed(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays(

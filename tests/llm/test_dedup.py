@@ -191,3 +191,18 @@ def test_lines_by_distinct_sites(spark):
 def test_line_dedup_stays_in_the_jvm(spark):
     plan = line_spread.remove_boilerplate(frame(spark, [(1, "a", "s")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_buckets_follow_the_bytes_of_the_input(spark, monkeypatch):
+    """More buckets than shuffle partitions, and the same result."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{rng.randrange(900)}" for _ in range(80))
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(60)) + (" " + shared if i % 3 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, "")], "doc_id long, text string")
+    want = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 2000)
+    assert substring_dedup._buckets(docs, "text") > 10
+    assert {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()} == want
+    assert {i for i, r in want.items() if r["n_removed"]} == set(range(3, 60, 3))
+    assert {r["n_removed"] for r in want.values()} == {0, 80}
+    assert substring_dedup._buckets(docs.limit(0), "text") == int(spark.conf.get("spark.sql.shuffle.partitions"))
