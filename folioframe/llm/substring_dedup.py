@@ -23,7 +23,7 @@ from folioframe.llm import arrays
 
 BLOCK = 25
 # Text in one bucket, on average.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
