@@ -47,11 +47,12 @@ def stem_conflicts(identities: DataFrame) -> DataFrame:
     )
 
 
-def member_keys(identities: DataFrame) -> DataFrame:
+def member_keys(identities: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(path, token, isbn_node, meta_node, stem_node): the evidence each member carries.
 
     Members with a manual token carry only that. In a stem with conflicting authors the author is
-    part of the key, and members without an author share one key of their own.
+    part of the key, and members without an author share one key of their own. ``carry`` names
+    further columns to keep.
     """
     automatic = F.col("manual_group_id").isNull()
     keyed = identities.withColumn("stem_key", F.nullif(stem_key(F.col("stem")), F.lit("")))
@@ -70,6 +71,7 @@ def member_keys(identities: DataFrame) -> DataFrame:
         F.when(automatic & F.col("stem_key").isNotNull(), _node("stem", stem_part)).alias(
             "stem_node"
         ),
+        *carry,
     )
 
 
@@ -107,7 +109,47 @@ def resolve_groups(identities: DataFrame) -> DataFrame:
     inside an entity means file names joined it, more than one identifier-stage component means
     metadata did.
     """
-    members = materialize(member_keys(identities))
+    return _resolve(materialize(member_keys(identities)))
+
+
+def resolve_touched(identities: DataFrame) -> DataFrame:
+    """``resolve_groups`` of those members alone whose entity may become another one.
+
+    ``identities`` has two columns more: ``owner``, the entity a member belongs to (null: none yet), and ``changed``,
+    true if what the member says of itself is new. An entity is touched if one of its members is new or changed, or holds
+    a key that such a member or a member of another entity holds as well. All keys of any other entity are its own, so a
+    full run would give its members to it again: one aggregate over keys decides that, without any graph, whatever has
+    been done to the catalog since it was last resolved. Members of touched entities are resolved whole, with the author
+    conflicts of all members.
+    """
+    keys = materialize(member_keys(identities, ("owner", "changed")))
+    nodes = F.array_compact(F.array(_node("token", F.col("token")), "isbn_node", "meta_node", "stem_node"))
+    # One row per key and owner: a key that a third of all members hold is reduced before the shuffle.
+    held = (
+        keys.select("owner", "changed", F.explode(nodes).alias("key"))
+        .groupBy("key", "owner")
+        .agg(F.bool_or("changed").alias("changed"))
+    )
+    contested = (
+        held.groupBy("key")
+        .agg(F.bool_or("changed").alias("changed"), F.min("owner").alias("a"), F.max("owner").alias("b"))
+        .filter(F.col("changed") | (F.col("a") != F.col("b")))
+    )
+    owners = (
+        held.join(contested.select("key"), "key", "left_semi")
+        .select("owner")
+        .unionByName(keys.filter("changed").select("owner"))
+        .filter(F.col("owner").isNotNull())
+        .distinct()
+    )
+    known = keys.filter(F.col("owner").isNotNull()).join(owners, "owner", "left_semi")
+    touched = materialize(known.unionByName(keys.filter(F.col("owner").isNull())).drop("owner", "changed"))
+    discard(keys)
+    return _resolve(touched)
+
+
+def _resolve(members: DataFrame) -> DataFrame:
+    """``resolve_groups`` of a written table of member keys."""
     staged = _link(members, "isbn_node", "meta_node", "meta_component")
     linked = _link(staged, "meta_component", "stem_node", "group")
     own = _node("path", F.col("path"))

@@ -1554,6 +1554,23 @@ def refresh_again(spark, d):
     return result.catalog.member.select("path", "book_id", "id", "missing")
 
 
+@query(
+    REFRESHED + "SELECT r.path, n.id AS book_id, row_number() OVER (ORDER BY r.path) AS id, f.lang = 'de' AS missing, "
+    "n.group_method FROM resolved r JOIN numbered n ON n.component = r.component JOIN (SELECT f.path, d.lang FROM f JOIN "
+    "documents d USING (doc_id)) f ON f.path = r.path"
+)
+def refresh_touched(spark, d):
+    """All German files have gone and the French ones were saved again: only their entities are resolved."""
+    listing, metadata = document_metadata(spark, d)
+    first = refresh_catalog(listing, metadata, empty_catalog(spark)).catalog
+    saved = Catalog(*[materialize(t) for t in (first.entity, first.member, first.provenance)])
+    again = F.when(F.col("path").startswith("/lib/fr/"), F.timestamp_seconds(F.lit(99))).otherwise(F.col("modified_at"))
+    later = listing.filter("path NOT LIKE '/lib/de/%'").withColumn("modified_at", again)
+    result = refresh_catalog(later, metadata, saved, only_touched=True).catalog
+    methods = result.entity.select(F.col("id").alias("book_id"), "group_method")
+    return result.member.select("path", "book_id", "id", "missing").join(methods, "book_id")
+
+
 @query(RESOLVED + "SELECT f.path, f.isbn AS embedded_isbn FROM f")
 def refresh_partial(spark, d):
     """Extraction fails for the German files in the first run; the second run reads them after all."""

@@ -11,7 +11,7 @@ from folioframe.functions import text as X
 from folioframe.functions.fields import has_items
 from folioframe.functions.identifiers import filename_guess
 from folioframe.operators import merge, provenance
-from folioframe.operators.grouping import identity, resolve_groups
+from folioframe.operators.grouping import identity, resolve_groups, resolve_touched
 from folioframe.operators.overrides import status_column
 from folioframe.operators.ranking import number_rows
 from folioframe.operators.snapshot import scan_summary, snapshot_diff
@@ -34,6 +34,8 @@ class Refresh:
     summary: DataFrame
     # Parse notes of this run, one row per member, whatever their number.
     notes: DataFrame
+    # (path, component, method) of the members that were resolved in this run.
+    groups: DataFrame
 
 
 def refresh_catalog(
@@ -42,6 +44,7 @@ def refresh_catalog(
     catalog: Catalog,
     overrides: DataFrame | None = None,
     now=None,
+    only_touched: bool = False,
 ) -> Refresh:
     """New catalog version for ``listing``.
 
@@ -51,14 +54,22 @@ def refresh_catalog(
     manual_group_id) replace the tokens of the files they name, new ones included; they and the
     catalog are read after ``metadata`` has been written, so decisions made while files were being
     read are respected.
+
+    With ``only_touched`` the members of entities that nothing in this run touches are not resolved
+    again (``resolve_touched``): every member comes to the entity that a full run gives it, and
+    entities left alone keep their row as it is, ``updated_at`` and ``group_method`` included.
     """
     now = F.current_timestamp() if now is None else now
     metadata = materialize(metadata)
-    diff = snapshot_diff(listing, catalog.member)
+    diff = snapshot_diff(listing, catalog.member).withColumn("repinned", F.lit(False))
     if overrides is not None:
         tokens = overrides.select("path", F.col("manual_group_id").alias("_token"))
         diff = (
             diff.join(tokens, "path", "left")
+            .withColumn(
+                "repinned",
+                F.col("_token").isNotNull() & ~F.col("_token").eqNullSafe(F.col("known_manual_group_id")),
+            )
             .withColumn("known_manual_group_id", F.coalesce("_token", "known_manual_group_id"))
             .drop("_token")
         )
@@ -86,19 +97,23 @@ def refresh_catalog(
         )
         .drop("_fresh")
     )
-    groups = resolve_groups(
-        state.select(
-            *identity(
-                *[
-                    F.col(c)
-                    for c in (
-                        "path", "format", "stem", "key_isbn", "key_title", "key_author",
-                        "known_manual_group_id",
-                    )
-                ]
-            )
-        )
+    identities = state.select(
+        *identity(
+            *[
+                F.col(c)
+                for c in (
+                    "path", "format", "stem", "key_isbn", "key_title", "key_author",
+                    "known_manual_group_id",
+                )
+            ]
+        ),
+        F.col("known_book_id").alias("owner"),
+        (F.col("known_book_id").isNull() | F.col("fresh") | F.col("repinned")).alias("changed"),
     )
+    if only_touched:
+        groups = materialize(resolve_touched(identities))
+    else:
+        groups = resolve_groups(identities.drop("owner", "changed"))
     grouped = state.join(groups, "path")
 
     # Groups that own known members keep an entity id; the others get new ids in path order.
@@ -195,6 +210,14 @@ def refresh_catalog(
     )
     # Entities that lost every member to other groups disappear with their provenance.
     entity = rows.select(*catalog.entity.columns)
+    members = assigned
+    if only_touched:
+        rest = state.join(groups.select("path"), "path", "left_anti").withColumn("entity_id", F.col("known_book_id"))
+        alone = rest.select(F.col("entity_id").alias("id")).distinct()
+        entity = entity.unionByName(
+            catalog.entity.join(alone, "id", "left_semi").select(*catalog.entity.columns)
+        )
+        members = assigned.unionByName(rest, allowMissingColumns=True)
 
     filled = provenance.as_records(
         rows.select("id", F.col("filled").alias("fields")), F.lit("embedded"), now
@@ -220,11 +243,12 @@ def refresh_catalog(
     ).join(entity.select(F.col("id").alias("book_id")), "book_id", "left_semi")
 
     return Refresh(
-        catalog=Catalog(entity, upsert_members(assigned, catalog.member), records),
+        catalog=Catalog(entity, upsert_members(members, catalog.member), records),
         summary=scan_summary(state),
         notes=assigned.filter(F.col("parse_error_note").isNotNull()).select(
             F.col("entity_id").alias("book_id"), "path", "parse_error_note"
         ),
+        groups=groups,
     )
 
 

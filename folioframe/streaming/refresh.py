@@ -66,7 +66,8 @@ def refresh_store(
         files = files.unionByName(listing.scan_listing(spark, root).select(*files.columns))
     changed = to_extract(snapshot_diff(files, member)).select("path", "format")
     metadata = packages.extract_metadata(listing.read_contents(changed), tagged)
-    result = refresh_catalog(files, metadata, Catalog(tables["entity"], member, tables["provenance"]), overrides, now)
+    catalog = Catalog(tables["entity"], member, tables["provenance"])
+    result = refresh_catalog(files, metadata, catalog, overrides, now, only_touched=True)
     written = {
         "entity": result.catalog.entity,
         "member": result.catalog.member,

@@ -210,3 +210,66 @@ def test_overrides_reach_new_files(spark):
     ).catalog
     assert result.entity.count() == 1
     assert {r["manual_group_id"] for r in result.member.collect()} == {"t"}
+
+
+def random_library(rng, n):
+    """Files whose titles, authors, identifiers and stems often meet, some without any of them."""
+    rows = []
+    for i in range(n):
+        stem = f"{rng.choice(['alpha', 'beta', 'gamma', 'delta', 'omega'])} {rng.randrange(n // 3)}"
+        title = rng.choice([None, f"T{rng.randrange(n // 2)}"])
+        authors = rng.choice([[], [f"A{rng.randrange(4)}"]])
+        isbn = rng.choice([None, None, None, f"97804411{rng.randrange(n // 2):05d}"])
+        rows.append((f"/r/{i:04d}/{stem}.epub", title, authors, isbn))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_touched_entities_alone_give_the_full_result(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = random_library(rng, 300)
+    first = saved(
+        refresh_catalog(listing(spark, [r[0] for r in rows]), metadata(spark, rows), empty(spark), now=now()).catalog
+    )
+    # Upkeep between two runs: a file is dropped, another belongs to a group of its own.
+    handled = {r["book_id"] for r in first.member.filter(F.col("path").isin(rows[7][0], rows[9][0])).collect()}
+    member = first.member.filter(F.col("path") != rows[7][0]).withColumn(
+        "manual_group_id", F.when(F.col("path") == rows[9][0], "own").otherwise(F.col("manual_group_id"))
+    )
+    first = saved(Catalog(first.entity, member, first.provenance))
+    gone = {rows[i][0] for i in rng.sample(range(300), 4)} | {rows[7][0]}
+    changed = {}
+    for i in rng.sample(range(300), 4):
+        if rows[i][0] not in gone:
+            changed[rows[i][0]] = (rows[i][0], f"T{rng.randrange(150)}", [f"A{rng.randrange(4)}"], None)
+    added = [("/r/new/" + r[0].split("/", 2)[2].replace("/", "-"), *r[1:]) for r in random_library(rng, 300)[:4]]
+    kept = [r[0] for r in rows if r[0] not in gone and r[0] not in changed]
+    files = listing(spark, kept + [r[0] for r in added]).union(listing(spark, list(changed) or ["/r/none.epub"], size=77))
+    pins = spark.createDataFrame([(rows[20][0], "x"), (rows[21][0], "x")], schemas.OVERRIDE)
+    fresh = metadata(spark, [*changed.values(), *added])
+    later = F.timestamp_seconds(F.lit(1_800_000_000))
+    full = refresh_catalog(files, fresh, first, pins, now=later)
+    part = refresh_catalog(files, fresh, first, pins, now=later, only_touched=True)
+    a, b = saved(full.catalog), saved(part.catalog)
+    assert summary(full) == summary(part)
+    for name in ("member", "provenance"):
+        left, right = getattr(a, name), getattr(b, name)
+        assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    # The two entities that upkeep has handled can be untouched; such a one keeps the evidence it had.
+    left, right = (c.entity.drop("updated_at", "group_method") for c in (a, b))
+    assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    methods = [{r["id"]: r["group_method"] for r in c.entity.collect()} for c in (a, b)]
+    assert {i for i in methods[0] if methods[0][i] != methods[1][i]} <= handled
+    assert 0 < part.groups.count() < full.groups.count() / 2
+
+
+def test_nothing_touched_resolves_nothing(spark, first):
+    _, catalog = first
+    result = refresh_catalog(
+        listing(spark, [r[0] for r in LIBRARY]), metadata(spark, []), catalog, now=now(), only_touched=True
+    )
+    assert result.groups.isEmpty()
+    assert result.catalog.entity.exceptAll(catalog.entity).isEmpty() and result.catalog.entity.count() == 5
+    assert result.catalog.member.exceptAll(catalog.member).isEmpty() and result.catalog.member.count() == 7
