@@ -5,10 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Words ignored in file stems. "e-book" can never match because dashes are removed
 # before words are compared; it is listed for completeness.
@@ -26,29 +24,42 @@ SPACE = r"[\s\p{Z}]"
 NOT_ALPHANUMERIC = r"[^\p{L}\p{M}\p{N}]+"
 
 
-@lru_cache(maxsize=1)
-def fold_table() -> tuple[str, str]:
-    """Character map for folding, derived from the Unicode database of the running Python.
+# Hangul syllables are numbered by leading consonant, vowel and final consonant (none first).
+_HANGUL, _LEADS, _VOWELS, _TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+_N_VOWELS, _N_TAILS, _N_SYLLABLES = 21, 28, 11172
+# Stand-ins for letters that become several; which letter one stands for is its place in the table.
+_STAND_IN = 0xF0000
+
 
-    Latin, Greek, Cyrillic, Hebrew, Arabic and half/full-width characters: a character maps to
-    its lower-cased compatibility decomposition without combining marks when that is one
-    character; combining marks themselves are deleted. ``fold_unicode`` covers everything else.
+@lru_cache(maxsize=1)
+def fold_table() -> tuple[str, str, str, str]:
+    """Character maps for folding, derived from the Unicode database of the running Python.
+
+    A lower-case character maps to its compatibility decomposition without combining marks. The
+    first two texts map characters to one character (combining marks at the end of the first are
+    deleted), the third holds the characters that become several and the fourth, separated by
+    U+2028, what they become. Hangul syllables follow from their number and are not listed;
+    white space of its own kind stays.
     """
-    source, target, dropped = [], [], []
-    ranges = [(0x80, 0x700), (0x1E00, 0x2000), (0xFF00, 0xFFF0)]
-    for start, stop in ranges:
+    source, target, dropped, many, parts = [], [], [], [], []
+    for start, stop in [(0x80, _HANGUL), (_HANGUL + _N_SYLLABLES, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20)]:
         for code in range(start, stop):
             char = chr(code)
-            if unicodedata.category(char) in ("Cn", "Zs"):
+            if unicodedata.category(char) in ("Cn", "Zs") or char.lower() != char:
                 continue
             if unicodedata.combining(char):
                 dropped.append(char)
                 continue
             base = fold_text(char)
-            if base != char and len(base) == 1:
+            if base == char:
+                continue
+            if len(base) == 1:
                 source.append(char)
                 target.append(base)
-    return "".join(source + dropped), "".join(target)
+            else:
+                many.append(char)
+                parts.append(base)
+    return "".join(source + dropped), "".join(target), "".join(many), "\u2028".join(parts)
 
 
 def fold_text(text: str) -> str:
@@ -58,23 +69,51 @@ def fold_text(text: str) -> str:
 
 
 def fold(text: Column) -> Column:
-    """Fold case, diacritics and width inside the JVM; ASCII text only needs its case folded."""
+    """Fold case, diacritics, width and compatibility forms inside the JVM.
+
+    ASCII text only needs its case folded; a text is taken apart by characters only if it has
+    letters that become several (ligatures, Roman numerals, fractions, Hangul syllables).
+    """
     return F.when(_is_ascii(text), F.lower(text)).otherwise(_fold_any(text))
 
 
+# The fold is whole for every letter.
+fold_unicode = fold
+
+
 def _is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
 def _fold_any(text: Column) -> Column:
-    source, target = fold_table()
-    return F.translate(F.lower(text), source, target)
-
-
-@F.pandas_udf(StringType())
-def fold_unicode(text: pd.Series) -> pd.Series:
-    """Full Unicode fold (also letters that decompose to several), in Arrow batches."""
-    return text.map(fold_text, na_action="ignore")
+    source, target, many, _ = fold_table()
+    single = F.translate(F.lower(text), source, target)
+    syllables = f"[{chr(_HANGUL)}-{chr(_HANGUL + _N_SYLLABLES - 1)}]"
+    several = (F.translate(single, many, "") != single) | single.rlike(syllables)
+    apart = F.array_join(F.transform(F.split(single, ""), _letters), "")
+    return F.when(several, apart).otherwise(single)
+
+
+def _letters(char: Column) -> Column:
+    """The letters that one character becomes."""
+    _, _, many, parts = fold_table()
+    stand_ins = "".join(chr(_STAND_IN + i) for i in range(len(many)))
+    stand_in = F.translate(char, many, stand_ins)
+    number = F.ascii(char) - _HANGUL
+    tail = number % _N_TAILS
+    pick = lambda first, count, at: F.substr(
+        F.lit("".join(chr(first + i) for i in range(count))), (at + 1).cast("int"), F.lit(1)
+    )
+    syllable = F.concat(
+        pick(_LEADS, 19, F.floor(number / (_N_VOWELS * _N_TAILS))),
+        pick(_VOWELS, _N_VOWELS, F.floor(number / _N_TAILS) % _N_VOWELS),
+        F.when(tail > 0, pick(_TAILS, _N_TAILS, tail)).otherwise(""),
+    )
+    return (
+        F.when(stand_in != char, F.get(F.split(F.lit(parts), "\u2028"), F.ascii(stand_in) - _STAND_IN))
+        .when(number.between(0, _N_SYLLABLES - 1), syllable)
+        .otherwise(char)
+    )
 
 
 def key(text: Column, folded: Column | None = None) -> Column:

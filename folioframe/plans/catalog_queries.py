@@ -74,6 +74,26 @@ def normalize_key_unicode(spark, d):
     )
 
 
+LETTERS = "doc_id * 37 % 11172"
+
+
+@query(
+    f"SELECT doc_id, trim({S.key('text')} || ' ' || chr((4352 + {LETTERS} // 588)::INTEGER) || chr((4449 + {LETTERS} % 588 // "
+    f"28)::INTEGER) || CASE WHEN {LETTERS} % 28 > 0 THEN chr((4519 + {LETTERS} % 28)::INTEGER) ELSE '' END || ' viii 1 2') AS "
+    "text_key FROM documents WHERE text IS NOT NULL"
+)
+def fold_letters(spark, d):
+    """Letters that become several: ligatures all over the texts, a Hangul syllable, a numeral and a fraction behind them."""
+    number = (F.lit(0xAC00) + F.col("doc_id") * 37 % 11172).cast("long")
+    syllable = F.decode(F.unhex(F.hex(number)), "UTF-16BE")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "ff", "ﬀ"), "fi", "ﬁ"), "st", "ﬆ")
+    return (
+        V.table(spark, d, "documents")
+        .filter("text IS NOT NULL")
+        .select("doc_id", X.key(F.concat(text, F.lit(" "), syllable, F.lit(" Ⅷ ½"))).alias("text_key"))
+    )
+
+
 STEM = "'(' || p_type || ') ' || p_name || '_v' || (p_size % 9) || '.[ocr] Final-' || p_brand"
 
 
