@@ -29,7 +29,7 @@ from folioframe.plans import sql_text as S
 from folioframe.plans import stand_ins as V
 from folioframe.plans.refresh import Catalog, refresh_catalog
 from folioframe.session import materialize, work_folder
-from folioframe.sources import export, providers, store, tagged
+from folioframe.sources import export, member_log, providers, store, tagged
 from folioframe.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -443,6 +443,22 @@ def snapshot_diff(spark, d):
     )
 
 
+@query(f"WITH {S.LISTINGS} SELECT path, size_bytes, known_size_bytes, known_missing, change FROM diff")
+def member_log_diff(spark, d):
+    """The difference to members that were written in two versions, the second with what the first did not hold."""
+    new, known = V.listings(spark, d)
+    had = set(known.columns)
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schemas.MEMBER).schema}
+    members = known.select(*[(F.col(c) if c in had else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+    folder = f"{work_folder(spark)}/log-{uuid.uuid4().hex}"
+    member_log.create(spark, folder)
+    early = F.coalesce(F.col("size_bytes") % 3 > 0, F.lit(False))
+    member_log.write(members.filter(early).withColumn("size_bytes", F.col("size_bytes") + F.col("size_bytes") % 2), folder, 1)
+    member_log.write(members, folder, 2)
+    diff = snapshot.snapshot_diff(new, member_log.read(spark, folder))
+    return diff.select("path", "size_bytes", "known_size_bytes", "known_missing", "change")
+
+
 @query(
     f"WITH {S.LISTINGS} SELECT count_if(change = 'added')::BIGINT AS added, "
     "count_if(change = 'updated')::BIGINT AS updated, count_if(change = 'unchanged')::BIGINT AS unchanged, "
