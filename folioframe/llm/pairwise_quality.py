@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm import arrays
-from folioframe.llm.fitting import logistic, sample_rows, stands_for
+from folioframe.operators.ranking import number_rows
+from folioframe.session import discard, materialize
 
 CUT = 0.7
-# Fit bounds: labelled rows of each label, and preference pairs for each row of the rarer one.
-FIT_ROWS = 10_000
+# Preference pairs for each row of the rarer label; every row of the other one is in a pair at least.
 PAIRS = 10
+# The ridge of the weights for a thousand differences.
+RIDGE = 1.0
 
 _PUNCTUATION = np.array([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 _UPPER = np.zeros(256, bool)
@@ -93,31 +95,111 @@ def features(piece: arrays.Texts) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, weights: dict[int, float] | None = None) -> Model | None:
-    """Weights from preference pairs of labelled rows; None if a label is missing."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return None
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    x = (x - mean) / scale
-    draw = np.random.default_rng(0)
-    pairs = PAIRS * min(len(good), len(bad))
-    difference = x[draw.permutation(np.resize(good, max(pairs, len(good))))[:pairs]] - x[np.resize(bad, pairs)]
-    # Each pair stands in both directions, which makes the constant 0.
-    both = np.concatenate([difference, -difference])
-    learned = logistic(both, np.repeat([1.0, 0.0], len(difference)), ridge=1.0)[1:]
-    worth = x @ learned
-    weight = np.array([(weights or {}).get(int(v), 1.0) for v in y])
-    order = np.argsort(worth, kind="stable")
-    below = np.cumsum(weight[order])
-    share = weight[y == 0].sum() / weight.sum()
-    at = min(int(np.searchsorted(below, share * below[-1])), len(order) - 1)
-    return Model(mean, scale, learned, float(worth[order[at]]))
+def _vectors(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1))
+    )
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _summed(table: DataFrame, measure) -> np.ndarray | None:
+    """The sum of what ``measure`` makes of the batches; a task adds up its own, only the sums reach the driver."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = measure(batch)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([_vectors(total[None])], ["total"])
+
+    parts = table.mapInArrow(add, "total array<double>").toArrow()["total"]
+    return _matrix(parts.combine_chunks()).sum(axis=0) if len(parts) else None
+
+
+def _spread(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of every feature."""
+    total = _summed(table, lambda b: np.append(_matrix(b.column("x")).sum(axis=0), b.num_rows))
+    mean = total[:-1] / total[-1]
+    square = _summed(table, lambda b: ((_matrix(b.column("x")) - mean) ** 2).sum(axis=0))
+    return mean, np.sqrt(square / total[-1]) + 1e-6
+
+
+def _pairs(table: DataFrame, sizes: dict[int, int], scale: np.ndarray) -> DataFrame:
+    """(d): differences, good less bad, of preference pairs that every row takes part in.
+
+    Rows are numbered in the order of the hashes of their ids. Row i of the label with more rows meets the rows i, i + 1
+    and so on of the other label (counted round), as many as give each of those ``PAIRS`` pairs, and one at least.
+    """
+    many, few = (1, 0) if sizes[1] >= sizes[0] else (0, 1)
+    rounds = max(1, -(-PAIRS * sizes[few] // sizes[many]))
+    order = ["hash", "doc_id", "x"]
+    ranked = {
+        v: number_rows(table.filter(F.col("label") == v).select(F.xxhash64("doc_id").alias("hash"), "doc_id", "x"), order, "n")
+        for v in (many, few)
+    }
+    turns = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    left = ranked[many].select(F.col("x").alias("a"), "n", turns.alias("turn")).select(
+        "a", ((F.col("n") + F.col("turn")) % sizes[few] + 1).alias("n")
+    )
+    met = left.join(ranked[few].select("n", F.col("x").alias("b")), "n").select("a", "b")
+    sign = 1 if many == 1 else -1
+
+    def subtract(batches):
+        for batch in batches:
+            if batch.num_rows:
+                gap = sign * (_matrix(batch.column("a")) - _matrix(batch.column("b"))) / scale
+                yield pa.RecordBatch.from_arrays([_vectors(gap)], ["d"])
+
+    return materialize(met.mapInArrow(subtract, "d array<double>"))
+
+
+def _bradley_terry(pairs: DataFrame, size: int) -> np.ndarray:
+    """Weights of the logistic loss on all pairs, by Newton steps; each is one pass over the table of pairs.
+
+    A pair stands in both directions, which makes the constant 0 and doubles the sums.
+    """
+    weights = np.zeros(size)
+    for _ in range(40):
+
+        def slopes(batch, weights=weights):
+            d = _matrix(batch.column("d"))
+            p = 1 / (1 + np.exp(-np.clip(d @ weights, -30, 30)))
+            return np.concatenate([[len(d)], (1 - p) @ d, ((d * (p * (1 - p))[:, None]).T @ d).reshape(-1)])
+
+        total = 2 * _summed(pairs, slopes)
+        penalty = RIDGE * total[0] / 1000
+        gradient, curve = total[1 : size + 1], total[size + 1 :].reshape(size, size)
+        step = np.linalg.solve(curve + (penalty + 1e-9) * np.eye(size), gradient - penalty * weights)
+        weights = weights + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return weights
+
+
+def _cut(table: DataFrame, model: Model, below: int) -> float:
+    """The worth that ``below`` rows do not exceed, by the place of every row in the order of worths."""
+
+    def worths(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_worth(model, _matrix(batch.column("x"))))], ["worth"])
+
+    numbered = number_rows(table.select("x").mapInArrow(worths, "worth double"), ["worth"], "n")
+    return numbered.filter(F.col("n") == below).first()["worth"]
+
+
+def _worth(model: Model, x: np.ndarray) -> np.ndarray:
+    return ((x - model.mean) / model.scale) @ model.weights
 
 
 def _score(model: Model, x: np.ndarray) -> np.ndarray:
-    worth = ((x - model.mean) / model.scale) @ model.weights
-    return 1 / (1 + np.exp(-np.clip(worth - model.cut + np.log(CUT / (1 - CUT)), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(_worth(model, x) - model.cut + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
 def _feature_rows(batches):
@@ -125,28 +207,34 @@ def _feature_rows(batches):
         rows = [features(piece) for piece in arrays.pieces(batch.column("text"))]
         if not rows:
             continue
-        values = np.concatenate(rows)
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.reshape(-1))
-        )
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), lists], ["doc_id", "label", "x"]
-        )
+        lists = _vectors(np.concatenate(rows))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality") -> Model | None:
-    """A model from at most ``FIT_ROWS`` rows of each label among the label rows that ``keep`` selects.
+    """A model from all label rows that ``keep`` selects whose document has a text; None if a label has no rows.
 
-    Features are computed where the texts are; only they reach the driver.
+    Features are computed where the texts are; only they meet the labels, and are written once. Means, weights and the cut
+    come from passes over all of them; sums of one task each, and sizes of partitions, are all that reaches the driver.
     """
-    sample = sample_rows(docs, labels, label, keep, FIT_ROWS)
-    table = sample.mapInArrow(_feature_rows, "doc_id long, label int, x array<double>").toArrow()
-    table = table.sort_by("doc_id")
-    y = table.column("label").to_numpy()
-    if not len(y):
+    known = labels.filter(keep & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    known = known.select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.mapInArrow(_feature_rows, "doc_id long, x array<double>")
+    # The labels grow with the documents: no broadcast.
+    table = materialize(rows.join(known.hint("merge"), "doc_id"))
+    sizes = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
+    if set(sizes) != {0, 1}:
+        discard(table)
         return None
-    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
-    return fit(x, y, stands_for(labels, label, keep, FIT_ROWS))
+    mean, scale = _spread(table)
+    pairs = _pairs(table, sizes, scale)
+    model = Model(mean, scale, _bradley_terry(pairs, len(mean)), 0.0)
+    model.cut = _cut(table, model, sizes[0])
+    discard(pairs)
+    discard(table)
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

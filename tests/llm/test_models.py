@@ -176,3 +176,30 @@ def test_language_sample_is_the_smallest_hashes_of_whole_texts(spark, monkeypatc
         limit = int(2**31 * min(1.0, 22 / len(own)))
         want += [(lang, text) for draw, _, text in own[:20] if draw <= limit]
     assert taken == want and {lang for lang, _ in taken} == {"a", "b"}
+
+
+def test_every_labelled_row_takes_part_in_the_quality_model(spark, monkeypatch):
+    """More rows than the fit once took of a label: weights and cut against a plain fit of all rows and all pairs."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["one", "Two", "3", "!!", "a,b", "FOUR"][: 3 + 3 * (i % 4 == 0)]) for _ in range(8)), int(i % 4 != 0)) for i in range(14_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    seen = []
+    cut, pairs = pairwise_quality._cut, pairwise_quality._pairs
+    monkeypatch.setattr(pairwise_quality, "_cut", lambda table, model, below: seen.append((table.count(), below)) or cut(table, model, below))
+
+    def counted(*args):
+        found = pairs(*args)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(pairwise_quality, "_pairs", counted)
+    model = pairwise_quality.train(docs, labels, F.lit(True))
+    # 10,500 good rows, 3,500 bad ones: four partners for each of the good rows, twelve for each of the bad ones.
+    assert seen == [42_000, (14_000, 3500)]
+    x = np.concatenate([pairwise_quality.features(p) for p in arrays.pieces(pa.array([t for _, t, _ in rows]))])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    worth = np.sort(pairwise_quality._worth(model, x))
+    assert math.isclose(model.cut, worth[3499], rel_tol=1e-9, abs_tol=1e-9)
+    right = {r["doc_id"]: r["score"] >= 0.7 for r in pairwise_quality.scored(docs, model).collect()}
+    assert sum(right[i] == bool(y) for i, _, y in rows) > 0.95 * len(rows)
