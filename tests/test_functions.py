@@ -284,3 +284,12 @@ def test_byte_cap_cuts_on_graphemes(spark):
     frame = spark.createDataFrame([("y" * 251, ".pdf")], "s string, x string")
     name = frame.select(naming.counted(F.col("s"), F.col("x"), F.lit(12)).alias("n")).first()["n"]
     assert name == "y" * 246 + " (12).pdf" and len(name) == 255
+
+
+def test_a_text_is_folded_once_for_all_that_is_asked_of_it(spark):
+    """Each key translates its text in one place (and in two behind it for texts with stand-ins of their own)."""
+    frame = spark.createDataFrame([("ﬁn \U000f0005 Ⅷ 각", "fin viii 각")], "a string, b string")
+    plan = frame.select(X.similarity(F.col("a"), F.col("b")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 2 * 3
+    row = frame.select(X.key(F.col("a")).alias("k"), X.fold(F.col("a")).alias("f"), X.similarity(F.col("a"), F.col("b")).alias("s")).first()
+    assert (row["k"], row["f"], row["s"]) == ("fin viii 각", "fin \U000f0005 viii 각", 1.0)
