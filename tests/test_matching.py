@@ -187,3 +187,28 @@ def test_apply(spark):
     assert (kept["year"], kept["title"], kept["changed"]) == (1965, "Dune", ["authors", "publisher"])
     with pytest.raises(ValueError, match="policy"):
         matching.apply_candidates(entities, chosen, nothing, "sometimes")
+
+
+def test_entities_that_ask_the_same_are_answered_once(spark, monkeypatch):
+    """No step ranks the answers of every entity; an id with two titles keeps the first of both."""
+    rows = [(i, None, "red fox", "Ann Lee") for i in range(300)] + [(7, None, "blue owl", "Ann Lee"), (7, None, "red fox", "Ann Lee")]
+    asked = spark.createDataFrame(rows, "entity_id long, isbn string, title string, author string")
+    records = [(f"c{i:02}", "s", t, ["Lee"], None, None) for i, t in enumerate(["red fox"] * 15 + ["blue owl"] * 4 + ["red fox tale"])]
+    catalog = spark.createDataFrame(
+        records, "candidate_id string, source string, title string, authors array<string>, isbn10 string, isbn13 string"
+    )
+    ranked, plain = [], matching.first_per_group
+
+    def counted(df, *rest):
+        ranked.append(df.count())
+        return plain(df, *rest)
+
+    monkeypatch.setattr(matching, "first_per_group", counted)
+    found = matching.find_candidates(asked, catalog)
+    assert max(ranked) < 300
+    ids = {}
+    for r in found.collect():
+        ids.setdefault(r["entity_id"], []).append(r["candidate_id"])
+    assert len(ids) == 300
+    assert {tuple(sorted(v)) for k, v in ids.items() if k != 7} == {tuple(f"c{i:02}" for i in range(10))}
+    assert sorted(ids[7]) == [f"c{i:02}" for i in range(10)]
