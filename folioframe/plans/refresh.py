@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as X
@@ -85,9 +85,6 @@ def refresh_catalog(
                 "key_isbn": F.when(fresh, F.coalesce("isbn13", "isbn10")).otherwise(
                     F.col("known_embedded_isbn")
                 ),
-                "key_title": F.when(fresh, X.key(F.col("title"))).otherwise(
-                    F.col("known_embedded_title_key")
-                ),
                 "key_author": F.when(
                     fresh, F.when(has_items(F.col("authors")), X.author_set_key(F.col("authors")))
                 ).otherwise(F.col("known_embedded_author_key")),
@@ -97,15 +94,17 @@ def refresh_catalog(
         )
         .drop("_fresh")
     )
+    # Titles can be long: their keys are not stored, and digests of them tell files apart.
+    digest = F.md5(F.nullif(key_title(), F.lit("")))
     identities = state.select(
         *identity(
-            *[
-                F.col(c)
-                for c in (
-                    "path", "format", "stem", "key_isbn", "key_title", "key_author",
-                    "known_manual_group_id",
-                )
-            ]
+            F.col("path"),
+            F.col("format"),
+            F.col("stem"),
+            F.col("key_isbn"),
+            digest,
+            F.col("key_author"),
+            F.col("known_manual_group_id"),
         ),
         F.col("known_book_id").alias("owner"),
         (F.col("known_book_id").isNull() | F.col("fresh") | F.col("repinned")).alias("changed"),
@@ -114,7 +113,7 @@ def refresh_catalog(
         groups = materialize(resolve_touched(identities))
     else:
         groups = resolve_groups(identities.drop("owner", "changed"))
-    grouped = state.join(groups, "path")
+    grouped = state.select("path", "known_book_id").join(groups, "path")
 
     # Groups that own known members keep an entity id; the others get new ids in path order.
     owners = merge.elect_owner(grouped, "component", "known_book_id").select(
@@ -126,7 +125,8 @@ def refresh_catalog(
     ids = owners.withColumn("is_new", F.lit(False)).unionByName(
         created.withColumn("is_new", F.lit(True))
     )
-    assigned = materialize(grouped.join(ids, "component"))
+    # Only paths and ids are stored here; what else is known of a file joins them where it is wanted.
+    assigned = state.join(materialize(groups.join(ids, "component")), "path")
 
     # Two groups can elect one entity: they are folded in the order of their first paths.
     order = ["component", "path"]
@@ -252,6 +252,11 @@ def refresh_catalog(
     )
 
 
+def key_title() -> Column:
+    """Title key of a row of the state; a file that has not been read keeps the one it had."""
+    return F.when(F.col("fresh"), X.key(F.col("title"))).otherwise(F.col("known_embedded_title_key"))
+
+
 def upsert_members(assigned: DataFrame, current: DataFrame) -> DataFrame:
     """New member table: known rows updated, new rows numbered, vanished rows marked missing."""
     listed = F.col("change") != "missing"
@@ -267,9 +272,18 @@ def upsert_members(assigned: DataFrame, current: DataFrame) -> DataFrame:
         (~listed).alias("missing"),
         F.col("known_manual_group_id").alias("manual_group_id"),
         F.col("key_isbn").alias("embedded_isbn"),
-        F.col("key_title").alias("embedded_title_key"),
+        key_title().alias("embedded_title_key"),
         F.col("key_author").alias("embedded_author_key"),
     )
     last = current.agg(F.max("id")).first()[0] or 0
-    fresh = number_rows(rows.filter(F.col("id").isNull()).drop("id"), ["path"], "id", start=last)
-    return rows.filter(F.col("id").isNotNull()).unionByName(fresh).select(*current.columns)
+    # Paths alone are numbered; the first number of a path and the place among its rows, if it has several, make the id.
+    paths = assigned.filter(F.col("known_id").isNull()).select("path")
+    firsts = number_rows(paths, ["path"], "_first", start=last).groupBy("path").agg(F.min("_first").alias("_first"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("path")) - 1
+    fresh = (
+        rows.filter(F.col("id").isNull())
+        .drop("id")
+        .join(firsts.hint("merge"), "path")
+        .withColumn("id", F.col("_first") + place)
+    )
+    return rows.filter(F.col("id").isNotNull()).select(*current.columns).unionByName(fresh.select(*current.columns))
