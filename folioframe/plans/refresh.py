@@ -197,7 +197,6 @@ def refresh_catalog(
         .unionByName(kept_rows.select(*columns))
         .withColumns(
             {
-                "title_sort": X.title_sort_key(F.col("title")),
                 "group_method": F.col("_method"),
                 "metadata_status": status_column(),
                 "updated_at": now,
@@ -209,7 +208,7 @@ def refresh_catalog(
         )
     )
     # Entities that lost every member to other groups disappear with their provenance.
-    entity = rows.select(*catalog.entity.columns)
+    entity = rows.withColumn("title_sort", X.title_sort_key(F.col("title"))).select(*catalog.entity.columns)
     members = assigned
     if only_touched:
         rest = state.join(groups.select("path"), "path", "left_anti").withColumn("entity_id", F.col("known_book_id"))

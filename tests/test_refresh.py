@@ -273,3 +273,24 @@ def test_nothing_touched_resolves_nothing(spark, first):
     assert result.groups.isEmpty()
     assert result.catalog.entity.exceptAll(catalog.entity).isEmpty() and result.catalog.entity.count() == 5
     assert result.catalog.member.exceptAll(catalog.member).isEmpty() and result.catalog.member.count() == 7
+
+
+def test_long_titles_are_not_stored_with_ids_and_keys(spark, monkeypatch):
+    """No table of a run but the metadata, the state and the folded rows holds a title, and none its key."""
+    from folioframe.operators import ranking
+    from folioframe.plans import refresh
+
+    stored = []
+
+    def kept(df):
+        stored.append(set(df.columns))
+        return materialize(df)
+
+    monkeypatch.setattr(refresh, "materialize", kept)
+    monkeypatch.setattr(ranking, "materialize", kept)
+    result = refresh_catalog(listing(spark, [r[0] for r in LIBRARY]), metadata(spark), empty(spark), now=now())
+    assert sum("title" in columns for columns in stored) == 4
+    assert not any({"key_title", "embedded_title_key", "title_sort"} & columns for columns in stored)
+    rows = {r["path"]: r for r in result.catalog.member.collect()}
+    assert sorted(r["id"] for r in rows.values()) == list(range(1, len(LIBRARY) + 1))
+    assert rows["/lib/a/rework.epub"]["embedded_title_key"] == "rework"
