@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.session import materialize
+from folioframe.session import materialize, shuffles_removed
 
 SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 8_192
@@ -148,7 +148,7 @@ def write_archives(
     alone = F.col("first.rows") == 1
     place = F.monotonically_increasing_id().cast("string")
     # A response that is the only row of its page and payload is named by its digest, so that revisits can name it.
-    hashed.join(first, "digest", "left").select(
+    records = hashed.join(first, "digest", "left").select(
         "page_id",
         "url",
         F.when(other & F.col("first").isNotNull(), F.lit(None)).otherwise(F.col("payload")).alias("payload"),
@@ -156,9 +156,10 @@ def write_archives(
         F.when(other, F.col("first.page_id")).alias("refers_to"),
         F.when(other & alone, F.col("digest")).alias("response"),
         F.when(~other & alone, F.col("digest")).otherwise(place).alias("own_name"),
-    ).mapInArrow(_page_records(segment_bytes), "value string").write.option("maxRecordsPerFile", file_records).text(
-        folder, compression="gzip", lineSep="\n"
-    )
+    ).mapInArrow(_page_records(segment_bytes), "value string")
+    # The join moves whole payloads; they are in the archives once it is over.
+    with shuffles_removed(pages.sparkSession):
+        records.write.option("maxRecordsPerFile", file_records).text(folder, compression="gzip", lineSep="\n")
 
 
 _ROW = pa.schema(
@@ -330,7 +331,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema(
         "path string, modificationTime timestamp, length long, content binary"
     ).load(folder)
-    records = materialize(files.select("content").mapInArrow(_parse, _ROW_DDL))
+    records = materialize(files.select("content").mapInArrow(_parse, _ROW_DDL), "zstd")
     first = F.col("number") == 1
     of_origin = ("record_id", "page_id", "record_type", "target_uri", "digest", "refers_to_id", "refers_to", "http")
     joined = (

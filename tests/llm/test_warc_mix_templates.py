@@ -7,6 +7,7 @@ import hashlib
 import base64
 import math
 import tempfile
+import time
 import uuid
 
 import pytest
@@ -328,3 +329,28 @@ def test_benchmark_passages_of_the_table(spark):
     words = {d: set(t.split()) for d, t in texts}
     asked = {i["item_id"]: set(plain(i["text"]).split()) for i in items}
     assert all(len(asked[i] & words[d]) >= 0.9 * len(asked[i]) for d, i in got)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_archives_leave_no_shuffled_payloads(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"http://x.example/{i}", f"page {i % 7} " * 50) for i in range(40)], "page_id long, url string, html string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = _shuffle_files(spark), spark.conf.get(name, None)
+    warc.write_archives(table, str(tmp_path / "archives"))
+    deadline = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(name, None) == conf
+    assert warc.read_archives(spark, str(tmp_path / "archives")).filter("record_type = 'response'").count() == 7
+
+
+def test_parsed_records_take_little_disk(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"http://x.example/{i}", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string")
+    warc.write_archives(table, str(tmp_path / "archives"))
+    files = warc.read_archives(spark, str(tmp_path / "archives")).inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
