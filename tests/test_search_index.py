@@ -5,7 +5,13 @@ from __future__ import annotations
 import random
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 from folioframe import schemas
+from folioframe.functions.text import filename, key
 from folioframe.operators import search_index, views
 
 
@@ -53,3 +59,34 @@ def test_empty_catalog(spark):
     folder = tempfile.mkdtemp() + "/index"
     search_index.write_index(entities, members, folder)
     assert search_index.search(entities, members, search_index.read_index(spark, folder), "dune").count() == 0
+
+
+def pairs_of(ids, texts):
+    return {(text[at : at + 3], i) for i, text in zip(ids, texts) if i is not None for at in range(len(text) - 2)}
+
+
+@pytest.mark.parametrize("letters, n, most", [("ab \U0001d54fé", 200, 9), ([chr(c) for c in range(0x20000, 0x2A6D0)] + [chr(c) for c in range(0x4E00, 0xD7A4)], 40_000, 9)])
+def test_lists_hold_every_pair_once(letters, n, most):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for _ in range(n)]
+    ids = [rng.choice([-(2**62), -3, 7, k]) for k in range(n)]
+    lists = search_index._lists(np.array(ids), pa.array(texts)).to_pylist()
+    assert len({r["piece"] for r in lists}) == len(lists)
+    assert all(r["ids"] == sorted(set(r["ids"])) for r in lists)
+    assert {(r["piece"], i) for r in lists for i in r["ids"]} == pairs_of(ids, texts)
+    assert search_index._lists(np.array(ids), pa.array(["ab"] * n)) is None
+
+
+def test_a_list_for_each_block_is_stored(spark):
+    rng = random.Random(4)
+    entities = spark.createDataFrame([], schemas.ENTITY)
+    rows = [(k, None if k % 50 == 0 else k // 3, f"/d/{rng.randint(0, 10**6)}-K\U0001d54f.epub", "epub", 1, None, False, None, None, None, None) for k in range(6000)]
+    members = spark.createDataFrame(rows, schemas.MEMBER)
+    folder = tempfile.mkdtemp() + "/index"
+    search_index.write_index(entities, members, folder)
+    stored, index = spark.read.parquet(folder), search_index.read_index(spark, folder)
+    names = members.select("book_id", key(filename(F.col("path"))).alias("name")).collect()
+    got = {(r["piece"], r["id"]) for r in index.collect()}
+    assert got == pairs_of([r["book_id"] for r in names], [r["name"] for r in names])
+    assert index.count() == len(got)
+    assert stored.count() * 3 < len(got)
